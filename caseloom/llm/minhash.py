@@ -40,7 +40,7 @@ class MinMax:
     perms: int = 3
     seed: int = 17
     slack: int = 10
-    block: int = 1024
+    block: int = 512
     ids_to_send: int = 1_000_000
 
 
@@ -108,29 +108,42 @@ def set_batches(batches: Iterator[pa.RecordBatch], p: MinMax) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
 
+def similar(x: np.ndarray, y: np.ndarray, p: MinMax) -> bool:
+    if 100 * min(len(x), len(y)) < p.percent * max(len(x), len(y)):
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= p.percent * (len(x) + len(y) - shared)
+
+
 def linked_batches(batches: Iterator[pa.RecordBatch], p: MinMax) -> Iterator[pa.RecordBatch]:
     """(a, b, set_a, set_b) to the pairs (a, b) whose full sets are similar enough."""
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
         for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
             x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            if 100 * min(len(x), len(y)) >= p.percent * max(len(x), len(y)):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * shared >= p.percent * (len(x) + len(y) - shared)
+            keep[i] = similar(x, y, p)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _root(parent: dict[int, int], x: int) -> int:
+    while parent.setdefault(x, x) != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
 def apart_batches(batches: Iterator[pa.RecordBatch], p: MinMax) -> Iterator[pa.RecordBatch]:
-    """Blocks (unit, asks, id, component, n_shingles, bucket, bands, values), sorted by unit, to likely pairs (a, b).
+    """Blocks (unit, asks, id, component, bucket, bands, values, shingles), sorted by unit, to links (a, b) on full sets.
 
-    The asking rows are compared with every row of their block by signature. Pairs of one component, pairs that meet
-    in an earlier band as well, and pairs whose sizes or estimates rule out a link are left out.
+    The asking rows are compared with every row of their block by signature, and on their full sets where a link is
+    possible, likely ones first. Pairs of one component, pairs that meet in an earlier band as well, and pairs that
+    links found here already connect are left out, so a block gives fewer links than it has components.
     """
     for block in runs_of(batches, "unit"):
         asks = block.column("asks").to_numpy(zero_copy_only=False)
-        ids, parts, sizes = (block.column(k).to_numpy() for k in ("id", "component", "n_shingles"))
+        ids, parts = (block.column(k).to_numpy() for k in ("id", "component"))
         values = np.frombuffer(b"".join(block.column("values").to_pylist()), np.uint16).reshape(len(ids), -1)
         bands = block.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        sets = [np.frombuffer(v, np.uint64) for v in block.column("shingles").to_pylist()]
         bucket, (q, t) = block.column("bucket")[0].as_py(), (np.flatnonzero(asks), np.flatnonzero(~asks))
         same = np.zeros((len(q), len(t)), np.uint16)
         for k in range(values.shape[1]):
@@ -138,28 +151,34 @@ def apart_batches(batches: Iterator[pa.RecordBatch], p: MinMax) -> Iterator[pa.R
         likely = 100 * same.astype(np.uint32) >= (p.percent - p.slack) * values.shape[1]
         likely &= parts[q][:, None] != parts[t][None, :]
         i, j = np.nonzero(likely)
-        i, j = q[i], t[j]
-        near = 100 * np.minimum(sizes[i], sizes[j]) >= p.percent * np.maximum(sizes[i], sizes[j])
-        i, j = i[near], j[near]
+        order = np.argsort(-same[i, j].astype(np.int32), kind="stable")
+        i, j = q[i[order]], t[j[order]]
         first = bands[i, np.argmax(bands[i] == bands[j], axis=1)] == bucket if len(i) else np.zeros(0, bool)
-        a, b = np.minimum(ids[i], ids[j])[first], np.maximum(ids[i], ids[j])[first]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, p: MinMax) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts' full sets are similar enough, written.
-
-    Each pair brings one set to where the other is; a text's set is made once.
-    """
-    pairs = written(pairs, "pairs")
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
-    few = ends.count() <= p.ids_to_send
+        parent: dict[int, int] = {}
+        links = []
+        for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
+            one, two = _root(parent, int(parts[x])), _root(parent, int(parts[y]))
+            if one != two and similar(sets[x], sets[y], p):
+                parent[one] = two
+                links.append((int(ids[x]), int(ids[y])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def cards_of(ids: DataFrame, firsts: DataFrame, docs: DataFrame, p: MinMax) -> DataFrame:
+    """firsts of the given ids with their full sets, written; a text's set is made once."""
+    ids = written(ids, "ids")
+    few = ids.count() <= p.ids_to_send
     texts = docs.select(F.col("doc_id").alias("id"), text_of("text").alias("text"))
-    texts = texts.join(F.broadcast(ends) if few else ends.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    texts = texts.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     sets = written(texts.mapInArrow(partial(set_batches, p=p), "id long, shingles binary"), "sets")
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
-    near = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "set_a", "set_b")
+    return written(firsts.join(sets.hint("merge"), "id"), "cards")
+
+
+def confirmed(pairs: DataFrame, cards: DataFrame, p: MinMax) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, written. Each pair brings one set to where the other is."""
+    right = cards.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
+    left = cards.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
+    near = written(pairs, "pairs").join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "set_a", "set_b")
     return written(near.mapInArrow(partial(linked_batches, p=p), "a long, b long"), "confirmed")
 
 
@@ -181,7 +200,8 @@ def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     centres = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "n_shingles"), F.xxhash64("id", "bucket")).alias("centre")).filter("n > 1")
     members = written(members.join(written(centres, "centres").hint("merge"), "bucket"), "members")
     pairs = members.filter((F.col("id") != F.col("centre.id")) & (100 * F.least("n_shingles", "centre.n_shingles") >= p.percent * F.greatest("n_shingles", "centre.n_shingles")))
-    links = confirmed(pairs.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct(), docs, p)
+    cards = cards_of(members.select("id").distinct(), firsts, docs, p)
+    links = confirmed(pairs.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct(), cards, p)
     parts = components(links)
 
     # Buckets that still hold several components: all but their largest one ask every member of another component.
@@ -192,10 +212,10 @@ def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     asking = placed.filter("component != main").select("*", every.alias("other")).select("bucket", "id", "component", F.col("block").alias("x"), F.col("other").alias("y"), F.lit(True).alias("asks"))
     asked = placed.select("*", every.alias("other")).select("bucket", "id", "component", F.col("other").alias("x"), F.col("block").alias("y"), F.lit(False).alias("asks"))
-    units = written(asking.unionByName(asked), "units").join(firsts.hint("merge"), "id").withColumn("unit", F.concat_ws(".", "bucket", "x", "y"))
-    units = units.select("unit", "asks", "id", "component", "n_shingles", "bucket", "bands", "values")
-    likely = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(partial(apart_batches, p=p), "a long, b long").distinct()
-    more = confirmed(likely, docs, p)
+    units = written(asking.unionByName(asked), "units").join(cards.hint("merge"), "id").withColumn("unit", F.concat_ws(".", "bucket", "x", "y"))
+    units = units.select("unit", "asks", "id", "component", "bucket", "bands", "values", "shingles")
+    more = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(partial(apart_batches, p=p), "a long, b long")
+    more = written(more, "more")
     if not more.isEmpty():
         parts = components(links.unionByName(more))
 
