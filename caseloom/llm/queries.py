@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import drop_repeated_lines
+
+    got = drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("+", s["start"], s["length"])), ",")
+    cut = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["length"])
+    return got.select("doc_id", "n_units", F.size("spans").alias("n_removed"), cut.alias("removed_chars"), spans.alias("spans"), F.length("cleaned").cast("long").alias("n_chars"), F.sha2("cleaned", 256).alias("text_sha256"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import Packing, pack
 
@@ -36,18 +46,57 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+#: The tool that the conversations' questions call, and what it takes.
+_TOOLS = "name string, fields array<struct<field:string,type:string,required:boolean,most:double>>"
+_REPLY = [("reply", [("query", "string", True, None), ("turn", "integer", True, 4.0)])]
+
+
+def op5_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a call of the tool "reply", the turn after it as its result; a call waits for the user turn before."""
+    from .chat import link_tools
+
+    turns = _table(spark, sf_dir, "conversations")
+    name = lambda turn: F.concat_ws("-", "conv_id", turn)
+    arguments = F.to_json(F.struct("turn", F.col("text").alias("query")))
+    calls = turns.filter("role = 'user'").select(name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), name(F.col("turn") - 2).alias("after"))
+    results = turns.filter("role = 'assistant'").select(name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return link_tools(calls, results, spark.createDataFrame(_REPLY, _TOOLS))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_duplicates
 
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+#: (host, path, verdict) of the listed entries.
+_LISTED = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(_LISTED, "host string, path string, verdict string"))
+
+
 def op8_min_max_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import MinMax, near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), MinMax(words=3, percent=85))
 
 
+def op9_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sampling import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pagetext import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -55,13 +104,58 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op3_source_mixing, op4_toxicity, op6_exact_dedup, op8_min_max_near_dedup, pipeline)
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_best_fit_packing,
+        op3_source_mixing,
+        op4_toxicity,
+        op5_tool_linking,
+        op6_exact_dedup,
+        op7_url_filter,
+        op8_min_max_near_dedup,
+        op9_weighted_fingerprints,
+        op10_page_text,
+        pipeline,
+    )
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+u as (select doc_id, unnest(lines) as raw, generate_subscripts(lines, 1) as unit from d),
+n as (select *, sum(length(raw) + 1) over (partition by doc_id order by unit) - length(raw) - 1 as start,
+  trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm from u),
+m as (select *, length(norm) - length(replace(norm, ' ', '')) + 1 >= 5 as compared from n),
+f as (select *, compared and row_number() over (partition by norm, compared order by doc_id, unit) > 1 as gone from m)
+select doc_id, count(*)::int as n_units, (count(*) filter (gone))::int as n_removed,
+  coalesce(sum(length(raw)) filter (gone), 0)::bigint as removed_chars,
+  coalesce(string_agg(start::bigint || '+' || length(raw), ',' order by unit) filter (gone), '') as spans,
+  length(coalesce(string_agg(raw, chr(10) order by unit) filter (not gone), '')) as n_chars,
+  sha256(coalesce(string_agg(raw, chr(10) order by unit) filter (not gone), '')) as text_sha256
+from f group by doc_id""",
+    "op5_tool_linking": """
+with c as (select conv_id, turn, conv_id || '-' || turn as call_id, text from conversations where role = 'user'),
+r as (select conv_id || '-' || (turn - 1) as call_id, text from conversations where role = 'assistant'),
+l as (select c.*, turn - 2 in (select turn from c as b where b.conv_id = c.conv_id) as waits from c),
+v as (select *, turn - 2 * row_number() over (partition by conv_id order by turn) as chain from l),
+w as (select *, row_number() over (partition by conv_id, chain order by turn) - 1 as level from v),
+e as (select w.*, r.text as content, r.call_id is not null as linked,
+  concat_ws('; ', case when w.text = '' then 'query is empty' end, case when turn > 4 then 'turn is too large' end) as errors
+  from w left join r using (call_id))
+select call_id, 'reply' as name, linked, level, errors = '' as valid, errors,
+  case when linked then to_json({'arguments': {'query': text, 'turn': turn}, 'id': call_id, 'level': level, 'name': 'reply', 'result': content})
+  else to_json({'arguments': {'query': text, 'turn': turn}, 'id': call_id, 'level': level, 'name': 'reply'}) end::varchar as json from e""",
     "op6_exact_dedup": r"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 n as (select doc_id, length(text) as n_chars, sha256(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as sha from d),
 g as (select sha, count(*) as group_size, first(doc_id order by n_chars desc, doc_id) as keep_id from n group by sha)
 select n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id as kept, n.sha as text_sha256 from n join g using (sha)""",
+    "op7_url_filter": r"""
+with u as (select page_id, case when url like '%://%' then substring(url, position('://' in url) + 3) else '' end as rest from pages),
+h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+l(h, p, says) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+d as (select host, path, max_by(l.h || l.p, length(l.h || l.p)) as rule, max_by(says, length(l.h || l.p)) as says
+  from (select distinct host, path from h), l where (host = l.h or ends_with(host, '.' || l.h)) and starts_with(path, l.p) group by host, path)
+select page_id, host, path, rule, coalesce(says, 'allow') as verdict from h left join d using (host, path)""",
 }
