@@ -174,7 +174,7 @@ def signs_of(node: Node) -> tuple[str, ...]:
     """Features of a run of text, each with its own potential."""
     words, share = node.text.count(" ") + 1, node.linked / max(1, len(node.text))
     size = next(name for name, most in (("1", 2), ("2", 7), ("3", 20), ("4", 1 << 60)) if words <= most)
-    return ("words " + size, "links " + ("none" if share == 0 else "some" if share < 0.5 else "all"), "ends " + str(node.text[-1] in ".!?:;…\"'”»"), "tag " + (node.tag if node.tag in ("li", "td", "th", "a") else "other"))
+    return ("words " + size, "links " + ("none" if share == 0 else "some" if share < 0.5 else "all"), "ends " + str(node.text[-1] in ".!?:;…\"'”»"))
 
 
 def labels_of(nodes: list[Node]) -> list[int] | None:
