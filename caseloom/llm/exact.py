@@ -31,12 +31,13 @@ class Exact:
     files: int = 1000
 
 
-#: RocksDB keeps the state on disk, its memory bounded, and uploads changes only.
+#: RocksDB keeps the state on disk, its memory bounded and nothing allocated ahead, and uploads changes only.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
