@@ -100,12 +100,13 @@ def exact_duplicates(docs: DataFrame, p: Exact = Exact()) -> DataFrame:
     rows = spark.read.parquet(folder)
     classes = written(seen(spark, folder, state, p).select("digest", "n", F.col("keep.doc_id").alias("keep_id")), "classes")
 
-    # Full bytes of every hit against the content of the row that stays.
+    # Full bytes of every hit against the content of the row that stays; the join feeds no grouping, so that a digest
+    # with many hits can be split.
     groups = classes.filter("n > 1")
     texts = docs.select("doc_id", normalised(F.col("text")).alias("bytes")).withColumn("digest", p.digest(F.col("bytes")))
     hits = written(texts.join(groups.hint("merge"), "digest"), "hits")
     first = written(hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"]).select("digest", F.col("bytes").alias("kept_bytes")), "firsts")
-    differ = written(hits.join(first.hint("merge"), "digest").filter("bytes != kept_bytes").select("digest").distinct(), "differ")
+    differ = written(hits.join(first.hint("merge"), "digest").filter("bytes != kept_bytes").select("digest"), "differ")
 
     good = rows.join(classes.hint("merge"), "digest").select("*", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("occurrence") == 1)).alias("kept"))
     out = ["doc_id", "keep_id", F.col("n").alias("group_size"), "kept", F.col("sha").alias("text_sha256")]
