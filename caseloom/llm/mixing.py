@@ -32,7 +32,7 @@ class Mix:
     most: int = 3
     seed: int = 29
     fitted: int = 1 << 16
-    bucket: int = 2000
+    bucket: int = 500
 
 
 def word_count(text: Column) -> Column:
