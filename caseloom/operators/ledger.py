@@ -84,3 +84,114 @@ def focus_items(facts: DataFrame, critical: list[str]) -> DataFrame:
 
 def urgency(photo: Column, icsr: Column, multi: Column) -> Column:
     return F.when(photo | (icsr & multi), "CRITICAL").when(icsr, "EXPEDITED").otherwise("STANDARD")
+
+
+# Types of evidence, results of a verification, codes of a status change with their severity and note.
+EVIDENCE_TYPES = ("email", "pdf", "table_cell", "image", "scanned", "literature")
+RESULTS = ("SUPPORTS", "CONTRADICTS", "INSUFFICIENT")
+CHANGES = {
+    "CONFLICT": ("WARNING", "to CONFLICT due to contradictory evidence."),
+    "CONFIRMED": ("INFO", "to CONFIRMED based on supporting evidence."),
+    "UNCERTAIN": ("WARNING", "to UNCERTAIN: candidate evidence is INSUFFICIENT to verify."),
+}
+
+
+def _issues(rows: DataFrame, keys: list[str], rules: list[tuple[Column, str, str]]) -> DataFrame:
+    found = F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for rule, code, severity in rules)))
+    return rows.select(*keys, F.inline(found))
+
+
+def evidence_issues(evidence: DataFrame, types: tuple[str, ...] = EVIDENCE_TYPES) -> DataFrame:
+    """Broken rules of evidence and of its verification.
+
+    evidence: envelope_id, evidence_id, source_id, known_sources (array), source_type, snippet, page, page_count,
+    char_start, char_end, result, confidence, method (null: never verified).
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    source = key(F.col("source_id"))
+    known = F.exists("known_sources", lambda s: source.contains(key(s)) | key(s).contains(source))
+    start, end = F.col("char_start"), F.col("char_end")
+    return _issues(evidence, ["envelope_id", "evidence_id"], [
+        (blank("evidence_id"), "EVIDENCE_MISSING_ID", "ERROR"),
+        (blank("source_id"), "EVIDENCE_EMPTY_SOURCE", "ERROR"),
+        (~blank("source_id") & (F.size("known_sources") > 0) & ~known, "EVIDENCE_DANGLING_SOURCE", "ERROR"),
+        (~F.coalesce(F.col("source_type").isin(*types), F.lit(False)), "EVIDENCE_INVALID_TYPE", "ERROR"),
+        (blank("snippet"), "EVIDENCE_EMPTY_SNIPPET", "ERROR"),
+        (F.col("page") < 1, "EVIDENCE_INVALID_PAGE", "ERROR"),
+        ((F.col("page_count") > 0) & (F.col("page") > F.col("page_count")), "EVIDENCE_PAGE_EXCEEDS_TOTAL", "ERROR"),
+        ((start < 0) | (end < start), "EVIDENCE_INVALID_OFFSETS", "ERROR"),
+        (~F.coalesce(F.col("result").isin(*RESULTS), F.lit(False)), "VERIFICATION_UNKNOWN_RESULT", "ERROR"),
+        (~valid_confidence(F.col("confidence")), "CONFIDENCE_OUT_OF_BOUNDS", "ERROR"),
+        ((F.col("method") == "fallback") & (F.col("result") == "SUPPORTS"), "VERIFICATION_FALLBACK_ILLEGAL_SUPPORT", "ERROR"),
+        (F.col("method").isNull() & (F.col("result") == "INSUFFICIENT") & (F.col("confidence") == 0), "VERIFICATION_UNVERIFIED_CANDIDATE", "WARNING"),
+    ])
+
+
+def unstated_issues(facts: DataFrame) -> DataFrame:
+    """NOT_STATED facts that claim something: a value with a normalised one, supporting evidence (n_supports), a supported state."""
+    none = F.col("status") == "NOT_STATED"
+    return _issues(facts, ["envelope_id", "pos"], [
+        (none & ~is_unstated(F.col("value"), "validate") & F.col("normalized").isNotNull(), "FACT_NOT_STATED_INCONSISTENT_VALUE", "ERROR"),
+        (none & (F.col("n_supports") > 0), "FACT_NOT_STATED_HAS_SUPPORTING_EVIDENCE", "ERROR"),
+        (none & (F.col("state") == "SUPPORTS"), "FACT_NOT_STATED_VERIFICATION_SUPPORTED", "ERROR"),
+    ])
+
+
+def reconcile(facts: DataFrame) -> DataFrame:
+    """facts (status, state, notes) with the status that verification leaves, the note appended, and code and severity of a change."""
+    new = reconciled(F.col("status"), F.col("state"))
+    moved = new != F.col("status")
+    note = F.concat(F.lit("Status reconciled from "), F.col("status"), F.lit(" "), F.element_at(F.create_map(*(F.lit(x) for k, (_, n) in CHANGES.items() for x in (k, n))), new))
+    severity = F.element_at(F.create_map(*(F.lit(x) for k, (s, _) in CHANGES.items() for x in (k, s))), new)
+    notes = F.when(moved, F.concat_ws(" | ", F.nullif(F.col("notes"), F.lit("")), note)).otherwise(F.col("notes"))
+    return facts.select("*", F.when(moved, F.concat(F.lit("FACT_RECONCILED_TO_"), new)).alias("code"), F.when(moved, severity).alias("severity"), new.alias("_new"), notes.alias("_notes")).drop("status", "notes").withColumnsRenamed({"_new": "status", "_notes": "notes"})
+
+
+def payload_issues(cases: DataFrame) -> DataFrame:
+    """Categories whose record is missing, and irrelevant cases that carry one: has_<c> is the category, <c> the record (null: none)."""
+    rules = [(F.col(f"has_{c}") & F.col(c).isNull(), f"CATEGORY_PAYLOAD_MISMATCH_{c.upper()}", "ERROR") for c in ("icsr", "pqc", "mi", "not_relevant")]
+    polluted = F.col("has_not_relevant") & F.coalesce("icsr", "pqc", "mi").isNotNull()
+    return _issues(cases, ["envelope_id"], [*rules, (polluted, "CATEGORY_NOT_RELEVANT_POLLUTED", "ERROR")])
+
+
+def related(facts: DataFrame) -> DataFrame:
+    """facts (envelope_id, pos, field, snippet) with the other fields, in order, that rest on the same snippet of their envelope."""
+    stated = facts.filter(~is_unstated(F.col("snippet"), "view")).withColumn("_same", key(F.col("snippet")))
+    groups = stated.groupBy("envelope_id", "_same").agg(F.array_sort(F.collect_list(F.struct("pos", "field"))).alias("all"))
+    rows = groups.select("envelope_id", "all", F.inline("all"))
+    others = F.transform(F.filter("all", lambda x: x["field"] != F.col("field")), lambda x: x["field"])
+    return rows.select("envelope_id", "pos", "field", others.alias("related")).filter(F.size("related") > 0)
+
+
+# Sentences for a reviewer.
+CLOSE_IT = "Submission does not meet adverse event or quality complaint reportability thresholds; candidate for administrative closure."
+CRITICAL_CASE = "Critical priority intake; expedited medical assessment and containment evaluation required."
+EXPEDITED_CASE = "Potential 15-day expedited reporting consideration; subject to medical/regulatory review."
+PHOTO = "Product defect image requires human visual inspection in viewer."
+HANDWRITTEN = "Handwritten source documentation requires reviewer manual verification."
+
+
+def attention(cases: DataFrame, facts: DataFrame, critical: list[str]) -> DataFrame:
+    """Ordered, distinct sentences per case.
+
+    cases: envelope_id, not_relevant, multi, categories (array), urgency, has_icsr, photo, language (null: no other one),
+    handwritten. facts: envelope_id, pos, field, value, status.
+    """
+    low, status = F.lower("field"), F.col("status")
+    missing = (
+        F.when(low.contains("dose"), "Administered dose is not stated — reviewer confirmation required.").when(low.contains("lot"), "Product lot/batch is not stated.")
+        .when(low.contains("age") & F.col("has_icsr"), "Patient age is not stated.").when(F.col("field").isin(*critical), F.concat("field", F.lit(" is not stated in source documentation.")))
+    )
+    doubt = F.when(~low.contains("dose"), F.concat("field", F.lit(" is marked uncertain ('"), "value", F.lit("') — reviewer verification required.")))
+    clash = F.concat(F.lit("Discrepancy detected for "), "field", F.lit(" ('"), "value", F.lit("') across source materials — resolve conflict."))
+    said = F.when(status == "NOT_STATED", F.struct(F.lit(7).alias("rule"), F.col("pos"), missing.alias("text"))).when(status == "UNCERTAIN", F.struct(F.lit(8).alias("rule"), F.col("pos"), doubt.alias("text"))).when(status == "CONFLICT", F.struct(F.lit(9).alias("rule"), F.col("pos"), clash.alias("text")))
+    own = facts.join(cases.select("envelope_id", "has_icsr"), "envelope_id").withColumn("x", said).filter("x.text is not null")
+    own = own.groupBy("envelope_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]).alias("own"))
+    dual = F.concat(F.lit("Dual regulatory domain ("), F.array_join("categories", " & "), F.lit("); review across both safety and quality workflows."))
+    tongue = F.concat(F.lit("Non-English source documentation ("), F.col("language"), F.lit("); verify verbatim original text against extraction."))
+    general = F.array_compact(F.array(
+        F.when(F.col("multi"), dual), F.when(F.col("urgency") == "CRITICAL", CRITICAL_CASE).when(F.col("has_icsr") & (F.col("urgency") == "EXPEDITED"), EXPEDITED_CASE),
+        F.when(F.col("photo"), PHOTO), tongue, F.when(F.col("handwritten"), HANDWRITTEN),
+    ))
+    every = F.array_distinct(F.concat(general, F.coalesce("own", F.array().cast("array<string>"))))
+    return cases.join(own, "envelope_id", "left").select("envelope_id", F.when(F.col("not_relevant"), F.array(F.lit(CLOSE_IT))).otherwise(every).alias("sentences"))

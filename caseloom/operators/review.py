@@ -67,3 +67,18 @@ def changed(before: DataFrame, after: DataFrame, key_column: str, column: str) -
     both = b.join(a, key_column, "full_outer")
     kind = F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "gone").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     return both.withColumn("kind", kind).filter("kind is not null").select(key_column, "kind")
+
+
+def accept(messages: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages after acceptance (REVIEWED), and an audit row for each action on a message that exists."""
+    known = actions.join(messages.select("message_id"), "message_id", "left_semi")
+    done = messages.join(known.select("message_id").distinct().withColumn("done", F.lit(True)), "message_id", "left")
+    audit = known.select("message_id", F.coalesce("reviewer_username", F.lit("reviewer")).alias("reviewer_username"), F.lit("ACCEPT").alias("action"), "ts")
+    return done.withColumn("status", F.when(F.col("done"), "REVIEWED").otherwise(F.col("status"))).drop("done"), audit
+
+
+def matched(expected: DataFrame, found: DataFrame, key_column: str, digest: str) -> DataFrame:
+    """Entries of a manifest against files: missing, unlisted, or with another digest."""
+    e, f = expected.select(key_column, F.col(digest).alias("want")), found.select(key_column, F.col(digest).alias("got"))
+    kind = F.when(F.col("got").isNull(), "missing").when(F.col("want").isNull(), "unlisted").when(F.col("got") != F.col("want"), "changed")
+    return e.join(f, key_column, "full_outer").withColumn("kind", kind).filter("kind is not null").select(key_column, "kind")
