@@ -29,17 +29,27 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * common(a, b) / (len(a) + len(b))
 
 
-def partial(a: str, b: str) -> float:
-    """Best ratio of the shorter string to a window of the longer one, windows cut by its ends included."""
+def partial(a: str, b: str, floor: float = 0.0) -> float:
+    """Best ratio of the shorter string to a window of the longer one, windows cut by its ends included; ``floor`` if none is over it.
+
+    A window one place on has at most one character more in common, so places that can't beat the best are left out.
+    """
     a, b = sorted((a, b), key=len)
     if not a:
         return 0.0 if b else 100.0
     if a in b:
         return 100.0
-    n, own = len(a), set(a)
-    # a window that ends (at the string's end: begins) with another character is no better than its neighbour
-    windows = {b[max(0, i - n + 1) : i + 1] for i, ch in enumerate(b) if ch in own} | {b[i:] for i, ch in enumerate(b) if ch in own and i + n > len(b)}
-    return max((ratio(a, w) for w in windows), default=0.0)
+    n, m, best, at = len(a), len(b), floor, 1 - len(a)
+    while at < m:
+        had = common(a, b[max(0, at) : at + n])
+        best = max(best, 200.0 * had / (n + min(m, at + n) - max(0, at)))
+        at += 1
+        while at < m:
+            had, width = had + 1, min(m, at + n) - max(0, at)
+            if 200.0 * min(had, width) > best * (n + width):
+                break
+            at += 1
+    return best
 
 
 def token_set(a: str, b: str) -> float:
@@ -59,11 +69,12 @@ def _score(values: pd.Series, snippets: pd.Series) -> pd.Series:
     out = np.full(len(values), -1)
     for i, (v, s) in enumerate(zip(values, snippets, strict=True)):
         if v is not None and s is not None:
-            out[i] = max(int(np.rint(partial(v, s))), int(np.rint(token_set(v, s))))
+            words = token_set(v, s)
+            out[i] = np.rint(max(words, partial(v, s, max(words, 59.0))))
     return pd.Series(out)
 
 
 def fuzzy_score(value: Column, snippet: Column, open_: Column) -> Column:
-    """0 to 100 where ``open_`` holds, else -1: only those rows carry strings to Python."""
+    """0 to 100 (under 60: at most 59, as nothing hangs on it) where ``open_`` holds, else -1: only those rows carry strings to Python."""
     low = lambda c: F.when(open_, F.lower(F.trim(c)))
     return _score(low(value), low(snippet))

@@ -36,9 +36,9 @@ def hybrid(t):
     return H.retrieve_hybrid(doc_facts(t), E.chunk_lines(t("documents")))
 
 
-@query(f"{_SQL_HYBRID} select document_id, field, rank, pos, strategy, round(lex, 4) as lexical, round(sem, 4) as semantic, round(relevance, 4) as relevance from hy where rank <= 3")
+@query(f"{_SQL_HYBRID} select document_id, field, rank, pos, strategy, {', '.join(f'floor({c} * 1e6::double + 0.5::double) / 1e6::double as {n}' for c, n in (('lex', 'lexical'), ('sem', 'semantic'), ('relevance', 'relevance')))} from hy where rank <= 3")
 def hybrid_topk(t):
-    return hybrid(t).select("document_id", "field", F.col("rank").cast("long"), F.col("pos").cast("long"), "strategy", *(F.round(c, 4).alias(c) for c in ("lexical", "semantic", "relevance")))
+    return hybrid(t).select("document_id", "field", F.col("rank").cast("long"), F.col("pos").cast("long"), "strategy", *((F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in ("lexical", "semantic", "relevance")))
 
 
 @query(None)
