@@ -19,15 +19,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lines import drop_repeated_lines
+def _cut_units(docs: DataFrame, **options: str) -> DataFrame:
+    from .lines import Lines, drop_repeated_lines
 
-    got = drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    got = drop_repeated_lines(docs, Lines(**options))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("+", s["start"], s["length"])), ",")
     cut = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["length"])
     return got.select("doc_id", "n_units", F.size("spans").alias("n_removed"), cut.alias("removed_chars"), spans.alias("spans"), F.length("cleaned").cast("long").alias("n_chars"), F.sha2("cleaned", 256).alias("text_sha256"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_units(_table(spark, sf_dir, "documents"))
+
+
+def op1_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like op1_line_dedup with the sentences of each line as units."""
+    return _cut_units(_table(spark, sf_dir, "documents"), stops=".!?")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import Packing, pack
 
@@ -107,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup,
+        op1_sentence_dedup,
         op2_best_fit_packing,
         op3_source_mixing,
         op4_toxicity,
@@ -134,6 +144,20 @@ select doc_id, count(*)::int as n_units, (count(*) filter (gone))::int as n_remo
   length(coalesce(string_agg(raw, chr(10) order by unit) filter (not gone), '')) as n_chars,
   sha256(coalesce(string_agg(raw, chr(10) order by unit) filter (not gone), '')) as text_sha256
 from f group by doc_id""",
+    "op1_sentence_dedup": r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as at_line from d),
+s as (select doc_id, at_line, string_split(regexp_replace(line, '([.!?][\x20\x09\x0B-\x0D]+)', '\1' || chr(10), 'g'), chr(10)) as parts from l),
+u as (select doc_id, at_line, unnest(parts) as raw, generate_subscripts(parts, 1) as part, len(parts) as n_parts from s),
+n as (select *, sum(length(raw) + (part = n_parts)::int) over (partition by doc_id order by at_line, part) - length(raw) - (part = n_parts)::int as start,
+  trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm from u),
+m as (select *, length(norm) - length(replace(norm, ' ', '')) + 1 >= 5 as compared from n),
+f as (select *, compared and row_number() over (partition by norm, compared order by doc_id, at_line, part) > 1 as gone from m),
+g as (select doc_id, at_line, coalesce(string_agg(raw, '' order by part) filter (not gone), '') as stays, bool_or(gone) as cut from f group by doc_id, at_line),
+c as (select doc_id, coalesce(string_agg(stays, chr(10) order by at_line) filter (not cut or regexp_matches(stays, '[^\x20\x09-\x0D]')), '') as cleaned from g group by doc_id),
+r as (select doc_id, count(*)::int as n_units, (count(*) filter (gone))::int as n_removed, coalesce(sum(length(raw)) filter (gone), 0)::bigint as removed_chars,
+  coalesce(string_agg(start::bigint || '+' || length(raw), ',' order by at_line, part) filter (gone), '') as spans from f group by doc_id)
+select doc_id, n_units, n_removed, removed_chars, spans, length(cleaned) as n_chars, sha256(cleaned) as text_sha256 from r join c using (doc_id)""",
     "op5_tool_linking": """
 with c as (select conv_id, turn, conv_id || '-' || turn as call_id, text from conversations where role = 'user'),
 r as (select conv_id || '-' || (turn - 1) as call_id, text from conversations where role = 'assistant'),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from caseloom.llm.chat import link_tools
 from caseloom.llm.exact import Exact, arrivals, exact_duplicates, seen
-from caseloom.llm.lines import drop_repeated_lines
+from caseloom.llm.lines import Lines, drop_repeated_lines
 from caseloom.llm.minhash import MinMax, near_duplicates
 from caseloom.llm.mixing import fit, mix_sources
 from caseloom.llm.packing import Packing, best_fit, pack
@@ -217,6 +217,48 @@ def test_lines(docs, corpus):
     assert {r.doc_id: (r.n_units, [tuple(s) for s in r.spans], r.cleaned) for r in drop_repeated_lines(docs).collect()} == want
 
 
+def test_sentences_inside_lines(spark):
+    passage = "A passage of several words stands here. Its second sentence is also quite long! "
+    texts = {1: passage + "Only the first one says this much.", 2: "Other prose comes first in this one. " + passage + "Then 3.5 more words follow it.\n" + passage.strip() + "\nEnd"}
+    texts |= {3: None, 4: passage * 2}
+    first, want = {}, {}
+    for i, t in texts.items():
+        spans, lines, at, n = [], [], 0, 0
+        for line in (t or "").split("\n"):
+            units, begin = [], 0
+            for k, c in enumerate(line):
+                if c == " " and line[k - 1] in ".!?":
+                    units.append(line[begin : k + 1])
+                    begin = k + 1
+            left, cut = "", False
+            for unit in [*units, line[begin:]]:
+                key = " ".join(unit.lower().split())
+                if len(key.split()) >= 5 and first.setdefault(key, (i, at)) != (i, at):
+                    spans.append((at, len(unit)))
+                    cut = True
+                else:
+                    left += unit
+                at, n = at + len(unit), n + 1
+            lines += [left] if left.strip() or not cut else []
+            at += 1
+        want[i] = (n, spans, "\n".join(lines))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert want[2][2] == "Other prose comes first in this one. Then 3.5 more words follow it.\nEnd"
+    assert {r.doc_id: (r.n_units, [tuple(s) for s in r.spans], r.cleaned) for r in drop_repeated_lines(docs, Lines(stops=".!?")).collect()} == want
+
+
+def test_sentence_query_gives_what_its_sql_gives(spark):
+    import duckdb
+
+    from caseloom.llm.queries import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    got, want = QUERIES["op1_sentence_dedup"](spark, sf), con.execute(ORACLES["op1_sentence_dedup"])
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_fingerprints(docs, corpus):
     got = sorted(fingerprints(docs).collect(), key=lambda r: r.doc_id)
     rows, errors = sorted(corpus), []
