@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm._common import written
-from caseloom.llm.exact import exact_duplicates
+from caseloom.llm._common import text_of, written
+from caseloom.llm.exact import exact_duplicates, normalised
 from caseloom.llm.minhash import MinMax, near_duplicates
 from caseloom.llm.mixing import mix_sources
 from caseloom.llm.packing import Packing, pack
@@ -15,32 +15,54 @@ from caseloom.llm.toxicity import toxicity
 
 
 def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs, in its columns, whose doc_id keep has; several rows with one doc_id stay together."""
-    return docs.join(keep.select("doc_id").distinct().hint("merge"), docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    """The rows of docs, in its columns, whose row number keep has."""
+    return docs.join(keep.select("doc_id").distinct().hint("merge"), docs["row"] == keep["doc_id"], "left_semi").drop("row")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row: its doc_id; a number above all of them where doc_id is null, no number, or another row's as well."""
+    known = F.col("doc_id").cast("long")
+    counts = docs.groupBy(known.alias("id")).agg(F.count("*").alias("n"))
+    odd = written(counts.filter("id is null or n > 1").select(F.col("id").alias("odd"), F.lit(True).alias("is_odd")), "odd")
+    if odd.isEmpty():
+        return docs.withColumn("row", known)
+    top = docs.agg(F.max(known)).first()[0]
+    rows = docs.join(odd.hint("merge"), known.eqNullSafe(F.col("odd")), "left")
+    above = F.lit(0 if top is None else max(top + 1, 0)) + F.monotonically_increasing_id()
+    return written(rows.select(*docs.columns, F.when(F.col("is_odd"), above).otherwise(known).alias("row")), "numbered")
+
+
+def _by_number(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.col("row")).drop("row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
-    verdicts = written(toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "verdicts")
-    return _kept(docs, verdicts.filter("predicted = 0"))
+    """Documents that the classifier doesn't reject; each row is judged by its own text, whatever its doc_id."""
+    return toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), also=docs.columns).filter("predicted = 0").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    verdicts = written(exact_duplicates(docs), "verdicts")
-    return _kept(docs, verdicts.filter("kept")).dropDuplicates(["doc_id"])
+    """One document of each group of equal texts, whatever their doc_ids; different texts under one doc_id, or none, stay."""
+    keep = written(exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha")), "verdicts")
+    rows = docs.withColumn("sha", F.sha2(normalised(F.col("text")), 256))
+    rows = rows.join(keep.hint("merge"), (F.col("sha") == F.col("keep_sha")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    # Rows with one doc_id and equal texts are left: the longest of them stays, then the greatest.
+    best = rows.groupBy("sha").agg(F.max(F.struct(F.length(text_of("text")).alias("length"), F.struct(*docs.columns).alias("row"))).alias("best"))
+    return best.select("best.row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, on shingles of five words and a similarity of 0.8 or more."""
-    verdicts = written(near_duplicates(docs, MinMax()), "verdicts")
-    return _kept(docs, verdicts.filter("kept"))
+    rows = _numbered(docs)
+    verdicts = written(near_duplicates(_by_number(rows), MinMax()), "verdicts")
+    return _kept(rows, verdicts.filter("kept"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    taken = written(mix_sources(docs).filter("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times")), "verdicts")
-    repeated = docs.join(taken.withColumnRenamed("doc_id", "id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")))
+    rows = _numbered(docs)
+    taken = written(mix_sources(_by_number(rows)).filter("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times")), "verdicts")
+    repeated = rows.join(taken.withColumnRenamed("doc_id", "id").hint("merge"), F.col("row") == F.col("id"))
     return repeated.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
 
 
