@@ -155,6 +155,18 @@ def test_toxicity(spark):
     assert {x.score for x in toxicity(docs, labels.filter("toxic = 0")).collect()} == {0.1}
 
 
+def test_toxicity_thresholds_follow_the_whole_tables_ratio(spark):
+    r, rows = random.Random(4), []
+    for i in range(2700):  # of nine rows one is toxic; sign0 to sign9 say so less and less
+        bad = i % 9 == 0
+        sign = r.choices(range(10), range(10, 0, -1) if bad else range(1, 11))[0]
+        rows.append((i, " ".join(r.choice("abcdefgh") * 3 for _ in range(8)) + f" {sign}sign", int(bad)))
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([x[::2] for x in rows], "doc_id long, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity(docs, labels, Toxicity(most_rows=(150, 150))).collect()}
+    # Signs 0 to 4 are likelier in toxic rows, but only sign 0 stands in more toxic rows than clean ones.
+    assert np.mean([got[i] for i, _, y in rows if not y]) < 0.15 and np.mean(list(got.values())) > 0
+
+
 def test_exact_with_and_without_colliding_digests(docs, corpus, empty):
     norm = lambda t: "".join(c for c in (t or "") if c not in " \t\n\x0b\x0c\r")
     groups = collections.defaultdict(list)
