@@ -49,7 +49,7 @@ _NAMES = re.compile(r"[^a-z]+")
 class Node:
     """An element, or a run of text; parents stand before their children in a page's list.
 
-    kind: "text", or "main", "apart" and "open" elements; "under": whatever stands inside a part that is apart.
+    kind: "text", or "main", "apart", "mixed" (named apart, but is or holds a main part) and "open" elements; "under": whatever stands inside a part that is apart.
     """
 
     parent: int
@@ -70,11 +70,34 @@ class PageModel:
 
 
 def kind_of(tag: str, attrs: list[tuple[str, str | None]], in_main: bool) -> str:
-    """What an element's tag and names say: apart, main or open."""
-    names = {x for k, v in attrs if k in ("class", "id", "role") and v for x in _NAMES.split(v.lower())}
-    if tag in APART_TAGS or tag == "header" and not in_main or names & APART:
+    """What an element's tag and names say: apart, main, open; mixed, if its names say both; named: apart, but by names alone."""
+    if tag in APART_TAGS or tag == "header" and not in_main:
         return "apart"
-    return "main" if tag in MAIN_TAGS or tag != "body" and names & MAIN else "open"
+    if tag in ("html", "body"):
+        return "open"  # their names are about the page
+    names = [set(_NAMES.split(x)) for k, v in attrs if k in ("class", "id", "role") and v for x in v.lower().split()]
+    main = any(x & MAIN and not x & APART for x in names)
+    if any(x & APART for x in names):
+        return "mixed" if main else "named"
+    return "main" if tag in MAIN_TAGS or main else "open"
+
+
+def settle(nodes: list[Node]) -> None:
+    """Decide the named elements and what stands under apart ones.
+
+    A named element is mixed if it is an article or main element or holds one that isn't named itself (comments often are
+    articles, by name apart like the list they stand in); else it is apart.
+    """
+    holds = [False] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):  # children stand after their parents
+        node = nodes[i]
+        if node.kind != "apart" and (holds[i] or node.tag in MAIN_TAGS and node.kind in ("main", "mixed")):
+            holds[node.parent] = True
+    for node, held in zip(nodes[1:], holds[1:], strict=True):
+        if nodes[node.parent].kind in ("apart", "under"):
+            node.kind = "under"
+        elif node.kind == "named":
+            node.kind = "mixed" if held or node.tag in MAIN_TAGS else "apart"
 
 
 class _Tree(HTMLParser):
@@ -89,13 +112,10 @@ class _Tree(HTMLParser):
         self.parts: list[str] = []
         self.linked = 0
 
-    def _apart(self) -> bool:
-        return self.nodes[self.open[-1]].kind in ("apart", "under")
-
     def flush(self) -> None:
         text = _SPACES.sub(" ", "".join(self.parts)).strip(" ")
         if text:
-            self.nodes.append(Node(self.open[-1], "under" if self._apart() else "text", self.nodes[self.open[-1]].tag, text, self.linked))
+            self.nodes.append(Node(self.open[-1], "text", self.nodes[self.open[-1]].tag, text, self.linked))
         self.parts, self.linked = [], 0
 
     def _close_to(self, depth: int) -> None:
@@ -134,8 +154,8 @@ class _Tree(HTMLParser):
                     break
         if tag == "hr":
             return
-        in_main = any(self.nodes[i].kind == "main" for i in self.open)
-        self.nodes.append(Node(self.open[-1], "under" if self._apart() else kind_of(tag, attrs, in_main), tag))
+        in_main = any(self.nodes[i].kind in ("main", "mixed") or self.nodes[i].tag in MAIN_TAGS for i in self.open)
+        self.nodes.append(Node(self.open[-1], kind_of(tag, attrs, in_main), tag))
         self.open.append(len(self.nodes) - 1)
 
     def handle_endtag(self, tag: str) -> None:
@@ -167,6 +187,7 @@ def tree_of(html: str) -> list[Node]:
     tree.feed(html)
     tree.close()
     tree.flush()
+    settle(tree.nodes)
     return tree.nodes
 
 
@@ -189,13 +210,13 @@ def labels_of(nodes: list[Node]) -> list[int] | None:
 
 
 #: Pseudo-counts of (kind of child, label of parent) to (not content, content), for kinds that a sample may lack.
-_BEFORE = {("apart", 0): (50.0, 0.5), ("apart", 1): (20.0, 1.0), ("main", 0): (1.0, 4.0), ("main", 1): (0.5, 20.0), ("open", 0): (4.0, 1.0), ("open", 1): (0.5, 20.0), ("text", 0): (4.0, 1.0), ("text", 1): (0.5, 20.0), ("under", 0): (50.0, 0.1), ("under", 1): (0.5, 20.0)}
+_BEFORE = {("apart", 0): (50.0, 0.5), ("apart", 1): (20.0, 1.0), ("main", 0): (1.0, 4.0), ("main", 1): (0.5, 20.0), ("mixed", 0): (4.0, 1.0), ("mixed", 1): (1.0, 4.0), ("open", 0): (4.0, 1.0), ("open", 1): (0.5, 20.0), ("text", 0): (4.0, 1.0), ("text", 1): (0.5, 20.0), ("under", 0): (50.0, 0.1), ("under", 1): (0.5, 20.0)}
 #: Share of its signs that text inside a part that is apart brings along: long comments are no article.
 _UNDER = 0.1
 
 
 def learn(pages: list[str], base: PageModel = PageModel()) -> PageModel:
-    """Count the potentials on the labelled pages of a sample; a neutral part's share is bounded so that its text can outvote it."""
+    """Count the potentials on the labelled pages of a sample; the shares of neutral and mixed parts are bounded so that their text can outvote them."""
     turn = {k: list(v) for k, v in _BEFORE.items()}
     emit: dict[str, list[float]] = {}
     total = [1.0, 1.0]
@@ -214,6 +235,8 @@ def learn(pages: list[str], base: PageModel = PageModel()) -> PageModel:
         share = yes / (no + yes)
         if kind == "open" or kind == "text":
             share = min(max(share, 0.1), 0.97)
+        elif kind == "mixed":
+            share = min(max(share, 0.1), 0.9)
         chance[kind, above] = (log(1 - share), log(share))
     odds = {sign: tuple(max(-2.5, min(-0.01, log((n + 1) / (t + 4)))) for n, t in zip(v, total, strict=True)) for sign, v in emit.items()}
     return PageModel(base.most_pages, base.most_chars, chance, odds)

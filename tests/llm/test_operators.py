@@ -320,6 +320,24 @@ def test_pages(spark):
     assert main_text(plain, model) == "Head\n\nFirst long paragraph of the story with many words in it, and more."
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<html class='no-js has-sidebar'><body class='single has-sidebar'><article>", "</article></body></html>"),
+        ("<body><div id='content' class='with-sidebar'>", "</div></body>"),
+        ("<body><div class='with-sidebar'><article>", "</article></div></body>"),
+        ("<body><article class='post category-social'>", "</article></body>"),
+        ("<body class='has-sidebar'><div class='with-sidebar'><main><article class='post tag-ads'>", "</article></main></div></body>"),
+    ],
+)
+def test_names_do_not_empty_the_page(before, after):
+    first, second = "First long paragraph of the story with many words in it, and more.", "Second paragraph of it, also with many words, and then it ends."
+    ad, menu = "<div class='ad'>Buy this now, it is cheap.</div>", "<nav><a href='/'>Home</a></nav>"
+    talk = "<div id='comments' class='comments-area'><ol class='comment-list'><li class='comment'><article class='comment-body'><p>I think that this was a great article, really great.</p></article></li></ol></div>"
+    model = learn_pages([f"<body>{menu}{ad}<article><h1>Head</h1><p>{first}</p><p>{second}</p></article><footer>All words reserved.</footer></body>"] * 30)
+    assert main_text(f"{before}{menu}{ad}<p>{first}</p><p>{second}</p>{talk}{after}", model) == f"{first}\n\n{second}"
+
+
 @pytest.mark.parametrize("run", [lambda d: pack(d, Packing(tokenizer_path())), mix_sources, near_duplicates, drop_repeated_lines, fingerprints, lambda d: toxicity(d, d.select("doc_id", F.lit(1).alias("toxic")))])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
