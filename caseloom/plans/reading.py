@@ -89,16 +89,25 @@ def schema_gate(t):
     return rows.select("doc_id", jsonfix.schema_fault(F.col("answer"), active, F.col("text")).alias("fault"))
 
 
+def _runs(text):
+    """Hashes of all runs of five words, whatever their case and punctuation."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    runs = lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - 4), lambda i: F.xxhash64(F.slice(ws, i, 5)))
+    return F.array_distinct(F.flatten(F.transform(F.array(words), lambda ws: F.when(F.size(ws) >= 5, runs(ws)).otherwise(F.array().cast("array<bigint>")))))
+
+
 @query(None)
 def snippet_anchor(t):
-    """Lines of a document, or a benchmark item, looked for in it: as they are, respaced, or with one clause only."""
+    """A line of a document looked for in it, as it is, respaced, or with one clause only; and every benchmark item that shares five words in a row with it."""
     items = t("benchmark").select(F.col("item_id").alias("n"), F.col("text").alias("item"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 40)
     line = F.coalesce(F.try_element_at(lines, F.lit(-1)), F.col("text"))
-    docs = t("documents").select("doc_id", "text", line.alias("line"), (F.xxhash64("doc_id") % 40).alias("h")).withColumn("n", F.abs("h"))
+    docs = t("documents").select("doc_id", "text", line.alias("line"))
     k = F.col("doc_id") % 4
-    snippet = F.when(k == 0, F.col("line")).when(k == 1, F.regexp_replace("line", " ", "  ")).when(k == 2, F.concat(F.lit("Seen: x; "), F.col("line"))).otherwise(F.col("item"))
-    rows = docs.join(items, "n", "left").withColumn("snippet", snippet)
+    own = F.when(k == 0, F.col("line")).when(k == 1, F.regexp_replace("line", " ", "  ")).when(k == 2, F.concat(F.lit("Seen: x; "), F.col("line")))
+    pairs = docs.select("doc_id", F.explode(_runs(F.col("text"))).alias("run")).join(items.select("n", F.explode(_runs(F.col("item"))).alias("run")), "run").select("doc_id", "n").distinct()
+    found = docs.join(pairs, "doc_id").join(items, "n").select("doc_id", "text", F.col("item").alias("snippet"))
+    rows = docs.select("doc_id", "text", own.alias("snippet")).unionByName(found)
     place = anchors.anchor(F.col("text"), F.col("snippet"), F.lit(None).cast("int"), F.lit(None).cast("int"))
     return rows.withColumn("x", place).select("doc_id", "snippet", "x.state", "x.tier", "x.char_start", "x.char_end")
 

@@ -138,3 +138,14 @@ def test_attention_short_circuits(spark):
     facts = spark.createDataFrame([(2, 0, "product_dose", "Not stated", "NOT_STATED"), (2, 1, "lot", "7", "CONFLICT"), (2, 2, "dose", "1", "UNCERTAIN"), (2, 3, "total_dose", "", "NOT_STATED")], "envelope_id int, pos int, field string, value string, status string")
     got = {r.envelope_id: r.sentences for r in L.attention(cases, facts, []).collect()}
     assert got[1] == [L.CLOSE_IT] and len(got[2]) == 6 and got[2][1] == L.EXPEDITED_CASE and got[2][-1].startswith("Discrepancy")
+
+
+def test_every_benchmark_item_is_looked_for(spark, tmp_path):
+    import __spark_entry__
+
+    item = lambda i: " ".join(f"item{i}word{k}" for k in range(12)) + "."
+    docs = [(i, f"Some prose stands before it. {item(i)} And after it {item(199 - i)}") for i in range(200)]
+    spark.createDataFrame([(i, item(i)) for i in range(200)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.snippet, r.tier, r.char_start) for r in __spark_entry__.queries()["snippet_anchor"](spark, str(tmp_path)).collect()}
+    assert {(i, item(j), "exact", text.index(item(j))) for i, text in docs for j in (i, 199 - i)} <= got
