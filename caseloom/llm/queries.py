@@ -19,22 +19,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _cut_units(docs: DataFrame, **options: str) -> DataFrame:
-    from .lines import Lines, drop_repeated_lines
-
-    got = drop_repeated_lines(docs, Lines(**options))
+def _digest(got: DataFrame) -> DataFrame:
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("+", s["start"], s["length"])), ",")
     cut = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["length"])
     return got.select("doc_id", "n_units", F.size("spans").alias("n_removed"), cut.alias("removed_chars"), spans.alias("spans"), F.length("cleaned").cast("long").alias("n_chars"), F.sha2("cleaned", 256).alias("text_sha256"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cut_units(_table(spark, sf_dir, "documents"))
+    """Paragraphs of 30 words from the beginning of every line, sentence and clause."""
+    from .passages import drop_repeated_passages
+
+    return _digest(drop_repeated_passages(_table(spark, sf_dir, "documents")))
 
 
 def op1_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like op1_line_dedup with the sentences of each line as units."""
-    return _cut_units(_table(spark, sf_dir, "documents"), stops=".!?")
+    """The sentences of each line as units."""
+    from .lines import Lines, drop_repeated_lines
+
+    return _digest(drop_repeated_lines(_table(spark, sf_dir, "documents"), Lines(stops=".!?")))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,18 +134,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": r"""
-with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
-u as (select doc_id, unnest(lines) as raw, generate_subscripts(lines, 1) as unit from d),
-n as (select *, sum(length(raw) + 1) over (partition by doc_id order by unit) - length(raw) - 1 as start,
-  trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm from u),
-m as (select *, length(norm) - length(replace(norm, ' ', '')) + 1 >= 5 as compared from n),
-f as (select *, compared and row_number() over (partition by norm, compared order by doc_id, unit) > 1 as gone from m)
-select doc_id, count(*)::int as n_units, (count(*) filter (gone))::int as n_removed,
-  coalesce(sum(length(raw)) filter (gone), 0)::bigint as removed_chars,
-  coalesce(string_agg(start::bigint || '+' || length(raw), ',' order by unit) filter (gone), '') as spans,
-  length(coalesce(string_agg(raw, chr(10) order by unit) filter (not gone), '')) as n_chars,
-  sha256(coalesce(string_agg(raw, chr(10) order by unit) filter (not gone), '')) as text_sha256
-from f group by doc_id""",
+with d as (select doc_id, coalesce(text, '') as text from documents),
+l as (select doc_id, regexp_extract(text, '^[\x20\x09-\x0D]*') as lead, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') as toks from d),
+n as (select *, list_transform(toks, lambda t: translate(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as norms from l),
+w as (select doc_id, lead, len(toks) as n, unnest(toks) as raw, unnest(norms) as norm, generate_subscripts(toks, 1) - 1 as pos from n),
+o as (select *, length(lead) + sum(length(raw)) over (partition by doc_id order by pos) - length(raw) as start,
+  coalesce(lag(right(norm, 1) in ('.', '!', '?', ',', ';', ':', '|') or contains(raw, chr(10))) over (partition by doc_id order by pos), true) as begins from w),
+p as (select doc_id, pos, md5(array_to_string(norms[pos + 1:pos + 30], ' ')) as digest from o join n using (doc_id) where begins and pos + 30 <= n),
+r as (select *, row_number() over first as rank, first_value(doc_id) over first as first_doc, first_value(pos) over first as first_pos from p window first as (partition by digest order by doc_id, pos)),
+c as (select doc_id, case when doc_id = first_doc then greatest(pos, first_pos + 30) else pos end as lo, pos + 30 as hi from r where rank > 1),
+e as (select doc_id, pos, sum(step) as step from (select doc_id, lo as pos, 1 as step from c union all select doc_id, hi, -1 from c) group by all),
+g as (select o.*, coalesce(sum(step) over (partition by doc_id order by o.pos), 0) > 0 as gone from o left join e using (doc_id, pos)),
+s as (select *, sum((not gone)::int) over (partition by doc_id order by pos) as island from g),
+i as (select doc_id, min(start) as start, sum(length(raw)) as length from s where gone group by doc_id, island),
+x as (select doc_id, count(*)::int as n_removed, sum(length)::bigint as removed_chars, string_agg(start::bigint || '+' || length::bigint, ',' order by start) as spans from i group by doc_id),
+t as (select doc_id, string_agg(raw, '' order by pos) filter (not gone) as rest from g group by doc_id),
+u as (select doc_id, count(*)::int as n_units from p group by doc_id),
+f as (select doc_id, lead || coalesce(rest, '') as cleaned from l left join t using (doc_id))
+select doc_id, coalesce(n_units, 0) as n_units, coalesce(n_removed, 0) as n_removed, coalesce(removed_chars, 0) as removed_chars, coalesce(spans, '') as spans, length(cleaned) as n_chars, sha256(cleaned) as text_sha256
+from f left join u using (doc_id) left join x using (doc_id)""",
     "op1_sentence_dedup": r"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
 l as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as at_line from d),
