@@ -5,7 +5,10 @@ of its path that have a listed length. A blocked Bloom filter, one row of eight
 possible hits pass; an exact hash join with the list removes the false ones, and the longest entry decides.
 
 Defined results: null URLs and those without "://" have an empty host and path; URLs that no entry fits get
-``Filter.default``. Rows are judged one by one, repeated ones alike. Extra columns are ignored.
+``Filter.default``. Of several entries for one host and path the least verdict counts ("allow" before "block"); entries with a null
+host, path or verdict are left out. Rows are judged one by one, repeated ones alike, whatever their page_id. A URL of any length is
+probed at the listed lengths that it has; their set goes to the driver, bounded by the longest listed path. An empty
+table gives no rows, an empty list the default for every page. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from ._common import written
 
 @dataclass(frozen=True)
 class Filter:
-    """Verdict where nothing is listed, bits to an entry, most blocks and entries that are broadcast."""
+    """Verdict where nothing is listed, bits to an entry, most entries that are broadcast (more are joined by a shuffle whose hot keys can be split)."""
 
     default: str = "allow"
     bits: int = 16
@@ -56,13 +59,14 @@ def bloom(keys: DataFrame, blocks: int) -> DataFrame:
 
 def judge(pages: DataFrame, listed: DataFrame, p: Filter = Filter()) -> DataFrame:
     """pages (page_id, url) and listed (host, path, verdict) to page_id, host, path, rule, verdict of every page."""
+    listed = listed.dropna(subset=["host", "path", "verdict"])
     entry = listed.select(F.concat("host", "path").alias("rule"), F.length("path").alias("len"), F.concat_ws("\n", "host", "path").alias("key"), F.col("verdict").alias("says"))
     entry = written(entry.groupBy("key").agg(F.min("rule").alias("rule"), F.min("len").alias("len"), F.min("says").alias("says")), "listed")
     size = entry.count()
-    lengths = sorted(r[0] for r in entry.select("len").distinct().limit(1000).collect())
+    lengths = entry.agg(F.sort_array(F.collect_set("len"))).first()[0]
     blocks = max(1, -(-size * p.bits // (_LANES * _LANE_BITS)))
     send = size <= p.most_sent
-    near = (lambda df: F.broadcast(df)) if send else (lambda df: df.hint("shuffle_hash"))
+    near = (lambda df: F.broadcast(df)) if send else (lambda df: df.hint("merge"))
 
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -70,8 +74,9 @@ def judge(pages: DataFrame, listed: DataFrame, p: Filter = Filter()) -> DataFram
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     known = known.select("host", "path", F.explode(suffixes).alias("suffix"))
-    starts = F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)) if lengths else F.array().cast("array<string>")
-    known = known.select("host", "path", "suffix", F.explode(F.array_compact(starts)).alias("start")).withColumn("key", F.concat_ws("\n", "suffix", "start"))
+    fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("path"))
+    starts = F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))
+    known = known.select("host", "path", "suffix", F.explode(starts).alias("start")).withColumn("key", F.concat_ws("\n", "suffix", "start"))
     words = written(bloom(entry, blocks), "bloom")
     passed = known.withColumn("block", _block(F.col("key"), blocks)).join(near(words), "block")
     test = F.lit(True)

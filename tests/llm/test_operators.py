@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.llm.chat import link_tools
+from caseloom.llm.chat import levels, link_tools, orphans
 from caseloom.llm.exact import Exact, arrivals, exact_duplicates, seen
 from caseloom.llm.lines import Lines, drop_repeated_lines
 from caseloom.llm.minhash import MinMax, near_duplicates
@@ -21,7 +21,7 @@ from caseloom.llm.pagetext import extract, learn as learn_pages, main_text
 from caseloom.llm.queries import tokenizer_path
 from caseloom.llm.sampling import fingerprints
 from caseloom.llm.toxicity import Toxicity, toxicity
-from caseloom.llm.urls import judge
+from caseloom.llm.urls import Filter, judge
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, bin string, h string"
 
@@ -295,18 +295,49 @@ def test_urls(spark):
     }
 
 
+def test_urls_with_many_listed_lengths_repeats_and_odd_rows(spark, tmp_path):
+    path = "/" + "abcdefghij" * 130
+    listed = [("x.org", path[:n], "block" if n % 2 else "allow") for n in range(1, 1200)] + [("y.org", "/", "block"), ("y.org", "/", "allow"), (None, "/", "block"), ("z.org", None, "block")]
+    listed = spark.createDataFrame(listed, "host string, path string, verdict string")
+    urls = [(1, "http://a.x.org" + path[:1150]), (1, "http://a.x.org" + path[:1150]), (2, "http://x.org" + path), (None, "http://y.org/"), (3, None), (4, "http://z.org/" + "q" * 50_000)]
+    pages = spark.createDataFrame([(i, u, "r", "h", 1) for i, u in urls], "page_id long, url string, rule string, host string, len int")
+    want = [(None, "y.org/", "allow"), (1, "x.org" + path[:1150], "allow"), (1, "x.org" + path[:1150], "allow"), (2, "x.org" + path[:1199], "block"), (3, None, "allow"), (4, None, "allow")]
+    for p in (Filter(), Filter(most_sent=0)):
+        assert sorted(((r.page_id, r.rule, r.verdict) for r in judge(pages, listed, p).collect()), key=repr) == sorted(want, key=repr)
+    assert judge(pages.limit(0), listed).count() == 0 and {r.verdict for r in judge(pages, listed.limit(0), Filter(default="block")).collect()} == {"block"}
+
+
 def test_tools(spark):
-    calls = spark.createDataFrame(
-        [("a", "f", '{"z": 1, "q": "x"}', None), ("b", "f", '{"q": ""}', "a"), ("c", "f", "[1]", "b"), ("d", "g", "{}", "nobody"), ("e", "f", '{"q": "y", "z": 9}', "h"), ("h", "f", '{"q": "y", "z": 1.5}', "e")],
-        "call_id string, name string, arguments string, after string",
-    )
-    results = spark.createDataFrame([("a", "r2"), ("a", "r1"), ("x", "lost")], "call_id string, content string")
-    tools = spark.createDataFrame([("f", [("q", "string", True, None), ("z", "integer", False, 5.0)])], "name string, fields array<struct<field:string,type:string,required:boolean,most:double>>")
-    got = {r.call_id: r for r in link_tools(calls, results, tools).collect()}
-    assert {k: (r.linked, r.level, r.errors) for k, r in got.items()} == {
-        "a": (True, 0, ""), "b": (False, 1, "q is empty"), "c": (False, 2, "no object"), "d": (False, 0, "no schema"), "e": (False, None, "z is too large"), "h": (False, None, "z is no integer"),
+    rows = [
+        ("a", "f", '{"z": 1, "q": "x"}', None), ("b", "f", '{"q": ""}', ["a", "a", None]), ("c", "f", "[1]", ["b"]), ("d", "g", "{}", ["nobody"]), ("e", "f", '{"q": "y", "z": 9}', ["h"]), ("h", "f", '{"q": "y", "z": 1.5}', ["e"]),
+        ("i", "f", '{"q": 5}', ["a", "c"]), ("j", "f", '{"q": "y", "on": "no"}', ["i", "d"]), ("k", "f", '{"q": "y", "on": true, "more": [1]}', ["j"]), ("l", "f", None, ["e", "a"]), ("m", "f", "", ["l"]), ("n", "f", '{"q": "' + "long " * 50_000 + '"}', ["n"]),
+        ("d", "g", "{}", ["k"]), (None, "f", "{}", ["a"]),
+    ]
+    calls = spark.createDataFrame([(*r, 0, "x") for r in rows], "call_id string, name string, arguments string, after array<string>, level int, content string").repartition(3)
+    results = spark.createDataFrame([("a", "r2"), ("a", "r1"), ("x", "lost"), (None, "none")], "call_id string, content string")
+    tools = spark.createDataFrame([("f", [("q", "string", True, None), ("z", "integer", False, 5.0), ("on", "boolean", False, None), ("more", "object", False, None)])], "name string, fields array<struct<field:string,type:string,required:boolean,most:double>>")
+    out = link_tools(calls, results, tools).collect()
+    got = {r.call_id: r for r in out}
+    assert len(out) == len(rows) and {k: (r.linked, r.level, r.errors) for k, r in got.items()} == {
+        "a": (True, 0, ""), "b": (False, 1, "q is empty"), "c": (False, 2, "no object"), "d": (False, None, "no schema"), "e": (False, None, "z is too large"), "h": (False, None, "z is no integer"),
+        "i": (False, 3, "q is no string"), "j": (False, None, "on is no boolean"), "k": (False, None, "more is no object"), "l": (False, None, "no object"), "m": (False, None, "no object"), "n": (False, None, ""), None: (False, None, "q is missing"),
     }
+    assert [r.call_id for r in out][:4] == ["a", "b", "c", "i"]
     assert got["a"].json == '{"arguments":{"q":"x","z":1},"id":"a","level":0,"name":"f","result":"r1"}' and json.loads(got["b"].json)["arguments"] == {"q": ""}
+    assert [r.content for r in orphans(calls, results).collect()].count("lost") == 1
+    assert link_tools(calls.limit(0), results, tools).count() == 0 and link_tools(calls, results.limit(0), tools.limit(0)).filter("errors = 'no schema'").count() == len(rows)
+
+
+def test_levels_are_the_longest_ways(spark):
+    r, names = random.Random(6), [f"c{i:03d}" for i in range(120)]
+    waits = {n: r.sample(names[:i], min(i, r.choice([0, 1, 1, 1, 2, 3]))) for i, n in enumerate(names)}
+    waits |= {f"x{i:03d}": [f"x{i - 1:03d}"] if i else [] for i in range(300)}
+    waits["x150"] = ["x149", "c119", "x003"]
+    want: dict[str, int] = {}
+    for n, others in waits.items():
+        want[n] = 1 + max((want[o] for o in others), default=-1)
+    got = levels(spark.createDataFrame(list(waits.items()), "call_id string, after array<string>")).collect()
+    assert {x.call_id: x.level for x in got} == want
 
 
 def test_pages(spark):
