@@ -69,7 +69,7 @@ def op5_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations")
     name = lambda turn: F.concat_ws("-", "conv_id", turn)
     arguments = F.to_json(F.struct("turn", F.col("text").alias("query")))
-    calls = turns.filter("role = 'user'").select(name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), name(F.col("turn") - 2).alias("after"))
+    calls = turns.filter("role = 'user'").select(name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.array(name(F.col("turn") - 2)).alias("after"))
     results = turns.filter("role = 'assistant'").select(name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return link_tools(calls, results, spark.createDataFrame(_REPLY, _TOOLS))
 
