@@ -21,9 +21,11 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set and one machine does all."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), f"caseloom-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -38,15 +40,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read back: its lineage ends here, and lost executors cost nothing."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a written stage that nothing reads any more."""
+    """Delete a folder that nothing reads any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def forget(*stages: DataFrame) -> None:
+    """Delete written stages, once everything that reads them is written itself."""
+    for stage in stages:
+        drop_path(stage.sparkSession, stage.written_path)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches small enough for long texts."""
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):

@@ -3,10 +3,13 @@
 Each permutation of the shingle hashes is evaluated once and gives two signature values, the least and the greatest
 hash; both agree between two sets with a probability equal to their Jaccard similarity. Bands of these values name
 buckets. Inside a bucket no pairs are formed: members are compared with chosen members of the bucket, and what is
-still apart afterwards is compared with the rest, in blocks. Every link is confirmed on the full sets.
+still apart afterwards is compared with the rest, in blocks, the likeliest pairs by their retained signatures first, so that most of the
+others are already connected when their turn comes. No estimate decides: every link is confirmed on the full sets.
 
 Defined results: null and empty texts have an empty set, stand alone and are kept. Rows with one doc_id are one
-document each, with the same component. Extra columns are ignored.
+document each, with the same component. A row with a null doc_id has the component of the rows whose set it shares and isn't kept; where none
+of these has a doc_id its component is null, it is linked with nothing and kept. A long text is worked on as a whole, in numpy. An
+empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, runs_of, text_of, text_slices, written
+from ._common import bounded_batches, forget, runs_of, text_of, text_slices, written
 from ._words import mix, words_of
 from .components import components
 
@@ -29,7 +32,6 @@ from .components import components
 class MinMax:
     """Words to a shingle, least similarity in hundredths, bands, permutations to a band (two values each), seed.
 
-    slack: estimates may lie so many hundredths under the least similarity, about three deviations of an estimate.
     block: most members of a bucket that one numpy step compares with as many others.
     ids_to_send: most ids that are broadcast to pick texts; beyond it the texts are joined by a shuffle.
     """
@@ -39,7 +41,6 @@ class MinMax:
     bands: int = 20
     perms: int = 3
     seed: int = 17
-    slack: int = 10
     block: int = 512
     ids_to_send: int = 1_000_000
 
@@ -86,8 +87,10 @@ def signature_batches(batches: Iterator[pa.RecordBatch], p: MinMax) -> Iterator[
                     for k in range(band * p.perms, (band + 1) * p.perms):
                         ranks = every * factors[k]
                         ranks += shifts[k]
-                        for edge in (np.minimum, np.maximum):
-                            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + edge.reduceat(ranks, at))
+                        for side, edge in enumerate((np.minimum, np.maximum)):
+                            value = edge.reduceat(ranks, at)
+                            some[full, 2 * k + side] = mix(value) >> np.uint64(48)
+                            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + value)
                     got[full, band] = key
             sizes.append(size), one.append(sums[0]), two.append(sums[1]), bands.append(got), values.append(some)
         if not sizes:
@@ -134,8 +137,8 @@ def _root(parent: dict[int, int], x: int) -> int:
 def apart_batches(batches: Iterator[pa.RecordBatch], p: MinMax) -> Iterator[pa.RecordBatch]:
     """Blocks (unit, asks, id, component, bucket, bands, values, shingles), sorted by unit, to links (a, b) on full sets.
 
-    The asking rows are compared with every row of their block by signature, and on their full sets where a link is
-    possible, likely ones first. Pairs of one component, pairs that meet in an earlier band as well, and pairs that
+    The asking rows are compared with every row of their block on their full sets, those whose signatures agree most first.
+    Pairs of one component, pairs whose sizes rule a link out, pairs that meet in an earlier band as well, and pairs that
     links found here already connect are left out, so a block gives fewer links than it has components.
     """
     for block in runs_of(batches, "unit"):
@@ -148,9 +151,11 @@ def apart_batches(batches: Iterator[pa.RecordBatch], p: MinMax) -> Iterator[pa.R
         same = np.zeros((len(q), len(t)), np.uint16)
         for k in range(values.shape[1]):
             same += values[q, k][:, None] == values[t, k][None, :]
-        likely = 100 * same.astype(np.uint32) >= (p.percent - p.slack) * values.shape[1]
-        likely &= parts[q][:, None] != parts[t][None, :]
-        i, j = np.nonzero(likely)
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        x, y = size[q][:, None], size[t][None, :]
+        possible = 100 * np.minimum(x, y) >= p.percent * np.maximum(x, y)
+        possible &= parts[q][:, None] != parts[t][None, :]
+        i, j = np.nonzero(possible)
         order = np.argsort(-same[i, j].astype(np.int32), kind="stable")
         i, j = q[i[order]], t[j[order]]
         first = bands[i, np.argmax(bands[i] == bands[j], axis=1)] == bucket if len(i) else np.zeros(0, bool)
@@ -171,7 +176,9 @@ def cards_of(ids: DataFrame, firsts: DataFrame, docs: DataFrame, p: MinMax) -> D
     texts = docs.select(F.col("doc_id").alias("id"), text_of("text").alias("text"))
     texts = texts.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     sets = written(texts.mapInArrow(partial(set_batches, p=p), "id long, shingles binary"), "sets")
-    return written(firsts.join(sets.hint("merge"), "id"), "cards")
+    cards = written(firsts.join(sets.hint("merge"), "id"), "cards")
+    forget(ids, sets)
+    return cards
 
 
 def confirmed(pairs: DataFrame, cards: DataFrame, p: MinMax) -> DataFrame:
@@ -205,20 +212,22 @@ def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     parts = components(links)
 
     # Buckets that still hold several components: all but their largest one ask every member of another component.
-    placed = written(members.select("bucket", "n", "id").join(parts.hint("merge"), "id", "left").select("bucket", "n", "id", F.coalesce("component", "id").alias("component")), "placed")
-    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    placed_ = written(members.select("bucket", "n", "id").join(parts.hint("merge"), "id", "left").select("bucket", "n", "id", F.coalesce("component", "id").alias("component")), "placed")
+    counts = placed_.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     mixed = written(counts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1"), "mixed")
-    placed = placed.join(mixed.hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("n") / p.block)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    placed = placed_.join(mixed.hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("n") / p.block)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     asking = placed.filter("component != main").select("*", every.alias("other")).select("bucket", "id", "component", F.col("block").alias("x"), F.col("other").alias("y"), F.lit(True).alias("asks"))
     asked = placed.select("*", every.alias("other")).select("bucket", "id", "component", F.col("other").alias("x"), F.col("block").alias("y"), F.lit(False).alias("asks"))
-    units = written(asking.unionByName(asked), "units").join(cards.hint("merge"), "id").withColumn("unit", F.concat_ws(".", "bucket", "x", "y"))
-    units = units.select("unit", "asks", "id", "component", "bucket", "bands", "values", "shingles")
-    more = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(partial(apart_batches, p=p), "a long, b long")
+    units = written(asking.unionByName(asked), "units")
+    held = units.join(cards.hint("merge"), "id").withColumn("unit", F.concat_ws(".", "bucket", "x", "y"))
+    held = held.select("unit", "asks", "id", "component", "bucket", "bands", "values", "shingles")
+    more = held.repartition("unit").sortWithinPartitions("unit").mapInArrow(partial(apart_batches, p=p), "a long, b long")
     more = written(more, "more")
     if not more.isEmpty():
         parts = components(links.unionByName(more))
 
+    forget(members, cards, placed_, mixed, units)
     heads = classes.join(parts.hint("merge"), "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     out = marks.select("doc_id", *key).join(written(heads, "heads").hint("merge"), key, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

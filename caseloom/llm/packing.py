@@ -4,8 +4,11 @@ Each task tokenises its documents and packs their pieces best-fit, longest first
 others become items of the next round, in which the bins of several tasks meet and are packed best-fit again, until
 one group is left. Only lengths and places travel; a bin's pieces learn their place by one join at the end.
 
-Defined results: null and empty texts are one piece, the end token. Rows with one doc_id are packed as documents of
-their own. An empty table gives no rows. Extra columns are ignored.
+Where more underfull bins are left than one task may hold (``Packing.window``), a round deals them to several groups by hash, and those of the
+last round never meet: each such group may leave its own underfull bins, at most a few to a group of 100,000 bins.
+
+Defined results: null and empty texts are one piece, the end token. Rows with one doc_id, or none, are packed as documents of
+their own. A long text is encoded as a whole and cut by tokens. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import Encoder
-from ._common import bounded_batches, drop_path, text_of, written
+from ._common import bounded_batches, text_of, written
 
 
 @dataclass(frozen=True)

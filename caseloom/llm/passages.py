@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, text_of, text_slices, written
+from ._common import bounded_batches, forget, text_of, text_slices, written
 from ._words import Words, mix, words_of
 
 
@@ -126,11 +126,13 @@ def drop_repeated_passages(docs: DataFrame, p: Passages = Passages()) -> DataFra
     # Half a digest, counted before anything else moves, leaves out what stands once.
     often = written(units.groupBy("d1").agg(F.count("*").alias("n")).filter("n > 1").select("d1"), "often")
     again = written(units.join(often.hint("merge"), "d1"), "repeated")
+    forget(units, often)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", "at")
     first = written(again.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
     later = again.join(first.hint("merge"), ["d1", "d2"]).filter(place != F.col("first"))
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
     part = F.struct(F.when(own, F.greatest("at", F.col("first.at") + p.words)).otherwise(F.col("at")).alias("lo"), (F.col("at") + p.words).alias("hi"))
     gone = written(later.select("doc_id", "h", part.alias("part")).groupBy("doc_id", "h").agg(F.collect_set("part").alias("parts")), "gone")
+    forget(again, first)
     marked = docs.alias("d").join(gone.alias("g").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.h") == F.col("g.h")), "left")
     return marked.select("d.doc_id", "text", "parts").mapInArrow(partial(cut_batches, p=p), f"doc_id {kind}, n_units int, spans array<struct<start:long,length:long>>, cleaned string")
