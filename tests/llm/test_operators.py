@@ -12,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.llm.chat import levels, link_tools, orphans
-from caseloom.llm.exact import Exact, arrivals, exact_duplicates, seen
+from caseloom.llm.exact import Exact, exact_duplicates, seen, without_copies
 from caseloom.llm.lines import Lines, drop_repeated_lines
-from caseloom.llm.minhash import MinMax, near_duplicates
+from caseloom.llm.minhash import MinMax, near_duplicates, signature_batches
 from caseloom.llm.mixing import fit, mix_sources
 from caseloom.llm.packing import Packing, best_fit, pack
 from caseloom.llm.pagetext import extract, learn as learn_pages, main_text
@@ -173,23 +173,30 @@ def test_exact_with_and_without_colliding_digests(docs, corpus, empty):
     for i, t in corpus:
         groups[norm(t)].append((-len(t or ""), i))
     want = sorted((i, min(groups[norm(t)])[1], len(groups[norm(t)]), min(groups[norm(t)])[1] == i, hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in corpus)
-    for p in (Exact(), Exact(digest=lambda text: F.substring(F.sha2(text, 256), 1, 1))):
-        assert sorted(map(tuple, exact_duplicates(docs, p).collect())) == want
+    short = Exact(digest=lambda text: F.substring(F.sha2(text, 256), 1, 1), arrivals=3)
+    for p in (Exact(), short):
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_duplicates(docs, p).collect()) == want
+    kept = without_copies(docs, short)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [x[0] for x in want if x[3]]
     assert exact_duplicates(empty).count() == 0
 
 
 def test_exact_state_outlives_a_run(spark, tmp_path):
-    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
-    batch = lambda *rows: arrivals(spark.createDataFrame(rows, "doc_id long, text string")).write.mode("append").parquet(folder)
-    batch((5, "a b"), (7, "c"))
-    assert {(r.n, r.keep.doc_id) for r in seen(spark, folder, state).collect()} == {(1, 5), (1, 7)}
-    batch((2, "ab"), (3, "a  b"), (9, "d"))
-    assert {(r.n, r.keep.doc_id) for r in seen(spark, folder, state).collect()} == {(3, 3), (1, 7), (1, 9)}
+    """Later arrivals meet retained digests; their bytes are checked against the content at the locator, in an earlier arrival."""
+    store, p = str(tmp_path / "store"), Exact(digest=lambda text: F.when(text.isin("x", "y"), F.lit("same")).otherwise(F.sha2(text, 256)))
+    batch = lambda *rows: {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), p, store).collect()}
+    assert batch((5, "a b"), (7, "c"), (20, "x")) == {(5, 5, 1, True), (7, 7, 1, True), (20, 20, 1, True)}
+    assert {(r.first.arrival, r.n) for r in seen(spark, store).collect()} == {(0, 1)}
+    assert batch((2, "ab"), (3, "a  b"), (9, "d")) == {(2, 3, 3, False), (3, 3, 3, True), (9, 9, 1, True)}
+    assert {(r.first.arrival, r.n, r.keep.doc_id) for r in seen(spark, store).collect()} == {(0, 3, 3), (0, 1, 7), (1, 1, 9), (0, 1, 20)}
+    assert batch((21, "y"), (22, " y"), (23, "x")) == {(21, 22, 2, False), (22, 22, 2, True), (23, 20, 2, False)}
 
 
 def test_repeated_rows_keep_one(spark):
-    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_duplicates(docs).collect()) == [(1, 1, 3, False), (1, 1, 3, True), (2, 1, 3, False)]
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (None, None), (None, ""), (None, " ")], "doc_id long, text string")
+    got = exact_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got if r.doc_id) == [(1, 1, 3, False), (1, 1, 3, True), (2, 1, 3, False)]
+    assert sorted((r.keep_id, r.group_size, r.kept) for r in got if not r.doc_id) == [(None, 3, False), (None, 3, False), (None, 3, True)]
 
 
 @pytest.mark.parametrize("p", [MinMax(words=3, percent=85), MinMax(), MinMax(block=4)])
@@ -214,6 +221,24 @@ def test_near_duplicates(docs, corpus, p):
     assert {i: (len(sets[i]), root(i), root(i) == i) for i in sets} == {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()}
 
 
+def test_near_duplicates_without_ids_and_with_repeated_rows(spark):
+    one, two, three = (words(60, k) for k in (301, 302, 303))
+    rows = [(4, one), (4, one), (None, one), (9, one + " more"), (None, two), (None, two), (None, two + " more"), (5, three), (None, None), (6, "")]
+    got = near_duplicates(spark.createDataFrame([(i, t, 1, "b") for i, t in rows], "doc_id long, text string, id int, bands string"), MinMax()).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=repr) == sorted(
+        [(4, 4, True), (4, 4, True), (None, 4, False), (9, 4, False), (None, None, True), (None, None, True), (None, None, True), (5, 5, True), (None, None, True), (6, 6, True)], key=repr
+    )
+
+
+def test_signatures_estimate_the_similarity():
+    one = words(400, 310).split()
+    other = one[:300] + words(100, 311).split()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([" ".join(one), " ".join(other)])], ["doc_id", "text"])
+    x, y = (np.frombuffer(v, np.uint16) for v in next(signature_batches(iter([batch]), MinMax(words=1))).column("values").to_pylist())
+    true = len(set(one) & set(other)) / len(set(one) | set(other))
+    assert len(x) == 120 and len(set(x.tolist())) > 100 and abs((x == y).mean() - true) < 0.15
+
+
 def test_lines(docs, corpus):
     first, want = {}, {}
     for i, t in sorted(corpus):
