@@ -1,12 +1,17 @@
-"""A training corpus from raw documents: each stage reads what the one before it kept, written as Parquet."""
+"""A training corpus from raw documents: each stage reads what the one before it kept, written as Parquet.
+
+Defined results: a row is judged by its own text and number, so null and repeated doc_ids lose nothing and keep nothing they
+should not. Null and empty texts are scored like others; one of all empty texts stays; mixing takes none of them, as their size is 0. An
+empty table gives no rows. All columns of documents, also others than the usual ones, are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm._common import text_of, written
-from caseloom.llm.exact import exact_duplicates, normalised
+from caseloom.llm._common import written
+from caseloom.llm.exact import without_copies
 from caseloom.llm.minhash import MinMax, near_duplicates
 from caseloom.llm.mixing import mix_sources
 from caseloom.llm.packing import Packing, pack
@@ -43,12 +48,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, whatever their doc_ids; different texts under one doc_id, or none, stay."""
-    keep = written(exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha")), "verdicts")
-    rows = docs.withColumn("sha", F.sha2(normalised(F.col("text")), 256))
-    rows = rows.join(keep.hint("merge"), (F.col("sha") == F.col("keep_sha")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    # Rows with one doc_id and equal texts are left: the longest of them stays, then the greatest.
-    best = rows.groupBy("sha").agg(F.max(F.struct(F.length(text_of("text")).alias("length"), F.struct(*docs.columns).alias("row"))).alias("best"))
-    return best.select("best.row.*")
+    return without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
