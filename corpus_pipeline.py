@@ -7,7 +7,7 @@ empty table gives no rows. All columns of documents, also others than the usual
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm._common import written
@@ -19,31 +19,32 @@ from caseloom.llm.queries import tokenizer_path
 from caseloom.llm.toxicity import toxicity
 
 
-def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs, in its columns, whose row number keep has."""
-    return docs.join(keep.select("doc_id").distinct().hint("merge"), docs["row"] == keep["doc_id"], "left_semi").drop("row")
+def _whole(docs: DataFrame) -> Column:
+    """A row of docs as one column, so that no name of its columns can clash."""
+    return F.struct(*docs.columns).alias("doc")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row: its doc_id; a number above all of them where doc_id is null, no number, or another row's as well."""
+    """(doc, row): whole rows with a number each: its doc_id; a number above all of them where doc_id is null, no number, or another row's as well."""
     known = F.col("doc_id").cast("long")
     counts = docs.groupBy(known.alias("id")).agg(F.count("*").alias("n"))
     odd = written(counts.filter("id is null or n > 1").select(F.col("id").alias("odd"), F.lit(True).alias("is_odd")), "odd")
+    rows = docs.select(_whole(docs), known.alias("row"))
     if odd.isEmpty():
-        return docs.withColumn("row", known)
+        return rows
     top = docs.agg(F.max(known)).first()[0]
-    rows = docs.join(odd.hint("merge"), known.eqNullSafe(F.col("odd")), "left")
     above = F.lit(0 if top is None else max(top + 1, 0)) + F.monotonically_increasing_id()
-    return written(rows.select(*docs.columns, F.when(F.col("is_odd"), above).otherwise(known).alias("row")), "numbered")
+    return written(rows.join(odd.hint("merge"), F.col("row").eqNullSafe(F.col("odd")), "left").select("doc", F.when(F.col("is_odd"), above).otherwise(F.col("row")).alias("row")), "numbered")
 
 
-def _by_number(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc_id", F.col("row")).drop("row")
+def _by_number(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("row").alias("doc_id"), "doc.text", "doc.source")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; each row is judged by its own text, whatever its doc_id."""
-    return toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), also=docs.columns).filter("predicted = 0").select(docs.columns)
+    judged = toxicity(docs.select("doc_id", "text", _whole(docs)), spark.read.parquet(f"{sf_dir}/labels.parquet"), also=("doc",))
+    return judged.filter("predicted = 0").select("doc.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,16 +55,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, on shingles of five words and a similarity of 0.8 or more."""
     rows = _numbered(docs)
-    verdicts = written(near_duplicates(_by_number(rows), MinMax()), "verdicts")
-    return _kept(rows, verdicts.filter("kept"))
+    kept = written(near_duplicates(_by_number(rows), MinMax()).filter("kept").select("doc_id"), "verdicts")
+    return rows.join(kept.hint("merge"), F.col("row") == F.col("doc_id"), "left_semi").select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     rows = _numbered(docs)
     taken = written(mix_sources(_by_number(rows)).filter("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times")), "verdicts")
-    repeated = rows.join(taken.withColumnRenamed("doc_id", "id").hint("merge"), F.col("row") == F.col("id"))
-    return repeated.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
+    repeated = rows.join(taken.hint("merge"), F.col("row") == F.col("doc_id")).select("doc", F.explode(F.sequence(F.lit(1), "times")))
+    return repeated.select("doc.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
