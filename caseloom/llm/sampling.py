@@ -3,7 +3,8 @@
 Each distinct word of a text, weighted by its count, draws for every sample two gamma variables and a uniform one from
 its hash; the least value over the words wins, and two texts agree in a sample with a probability equal to the
 generalised Jaccard similarity of their word counts. A sample is one 64-bit number, value above identity, so that the
-winner is a plain minimum which is combined before anything moves.
+winner is a plain minimum which is combined before anything moves. A text and its edited form share most words; a word with
+one count in both is drawn for once.
 
 Defined results: null and empty texts, and texts of white space, have the fingerprint of the empty word; a null doc_id
 has no next document, its edited text just loses its end, and near_next is null. Rows with one doc_id are documents of their own with the
@@ -32,19 +33,20 @@ class Samples:
 
 def _uniform(bits: Column, upper: bool) -> Column:
     part = F.shiftrightunsigned(bits, 32) if upper else bits.bitwiseAND(F.lit(0xFFFFFFFF))
-    return (part + F.lit(0.5)) / F.lit(float(1 << 32))
+    return (part + F.lit(0.5)) * F.lit(2.0**-32)
 
 
 def sample_of(term: Column, log_weight: Column, k: int, p: Samples = Samples()) -> Column:
     """Sample k of a weighted term: its value, order-preserving, in the upper bits, and its identity in the lower 32."""
-    one = F.xxhash64(term, F.lit(p.seed * 1000 + k))
-    two, three = F.xxhash64(one, F.lit(1)), F.xxhash64(one, F.lit(2))
-    r = -F.log(_uniform(one, True) * _uniform(one, False))
+    one, two = F.xxhash64(term, F.lit(p.seed * 1000 + k)), F.xxhash64(term, F.lit(p.seed * 1000 + 500 + k))
+    # 64 bits give three uniform numbers of 21 bits, or two of 32.
+    third = lambda i: (F.shiftrightunsigned(one, 21 * i).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) * F.lit(2.0**-21)
+    r = -F.log(third(0) * third(1))
     log_c = F.log(-F.log(_uniform(two, True) * _uniform(two, False)))
-    beta = _uniform(three, True)
+    beta = third(2)
     step = F.floor(log_weight / r + beta)
     value = ((log_c - r * (step - beta + 1) + F.lit(160.0)) * F.lit(float(1 << 22))).cast("long")
-    return F.shiftleft(value, 32).bitwiseOR(F.xxhash64(three, step).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.shiftleft(value, 32).bitwiseOR(F.xxhash64(one, step).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def next_of(docs: DataFrame) -> DataFrame:
@@ -75,19 +77,28 @@ def fingerprints(docs: DataFrame, p: Samples = Samples()) -> DataFrame:
     # A text's few facts travel as terms of sides of their own, so that its words carry nothing but their keys.
     facts = [F.col("n_chars"), F.col("next_id")] + [F.conv(F.substring(sha, 1 + 16 * i, 16), 16, -10) for i in range(4)]
     words = lambda text: F.split(text, f"[{SPACE_CLASS}]+")
-    sides = [F.struct(F.lit(0).alias("side"), words("text").alias("words")), F.struct(F.lit(1).alias("side"), words("edited").alias("words"))]
-    sides += [F.struct(F.lit(2 + i).alias("side"), F.array(fact.cast("string")).alias("words")) for i, fact in enumerate(facts)]
+    # Words that end before the edit begins count for both sides (2) at once; what follows them counts for one.
+    rows = rows.withColumn("common", F.regexp_extract(F.expr("substring(text, 1, n_chars - tail)"), f"(?s)^.*[{SPACE_CLASS}]", 0))
+    after = lambda text: F.expr(f"substring({text}, length(common) + 1)")
+    sides = [F.struct(F.lit(0).alias("side"), words(after("text")).alias("words")), F.struct(F.lit(1).alias("side"), words(after("edited")).alias("words")), F.struct(F.lit(2).alias("side"), words("common").alias("words"))]
+    sides += [F.struct(F.lit(3 + i).alias("side"), F.array(fact.cast("string")).alias("words")) for i, fact in enumerate(facts)]
     parts = rows.select("doc_id", "row", F.inline(F.array(*sides))).select("doc_id", "row", "side", F.explode("words").alias("word"))
     # White space at either end of a text leaves an empty word there; it counts only where there is no other.
-    terms = parts.select("doc_id", "row", "side", F.when(F.col("side") >= 2, F.expr("try_cast(word as bigint)")).otherwise(F.xxhash64("word")).alias("term"), (F.col("word") == "").alias("blank"))
-    counts = terms.groupBy("doc_id", "row", "side", "term").agg(F.when(F.bool_or("blank"), F.lit(1)).otherwise(F.count("*")).alias("weight"), F.bool_or("blank").alias("blank"))
-    counts = counts.withColumn("log_weight", F.when(F.col("blank"), F.lit(None)).otherwise(F.log("weight")))
+    terms = parts.select("doc_id", "row", "side", F.when(F.col("side") >= 3, F.expr("try_cast(word as bigint)")).otherwise(F.xxhash64("word")).alias("term"), (F.col("word") == "").alias("blank"))
+    n = lambda *which: F.count_if(F.col("side").isin(*which))
+    counts = terms.groupBy("doc_id", "row", F.greatest("side", F.lit(2)).alias("fact"), "term").agg(n(0, 2).alias("one"), n(1, 2).alias("two"), F.bool_or("blank").alias("blank"))
+    same = F.col("blank") | (F.col("one") == F.col("two"))
+    drawn = F.when(F.col("fact") > 2, F.array(F.struct(F.col("fact").alias("side"), F.lit(0).cast("long").alias("weight")))).when(same, F.array(F.struct(F.lit(2).alias("side"), F.col("one").alias("weight"))))
+    drawn = drawn.otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("weight")), F.struct(F.lit(1).alias("side"), F.col("two").alias("weight"))))
+    counts = counts.select("doc_id", "row", "term", "blank", F.inline(drawn)).filter("weight > 0 or side > 2")
+    counts = counts.withColumn("log_weight", F.when(~F.col("blank") & (F.col("side") <= 2), F.log("weight")))
     least = [F.min(sample_of(F.col("term"), F.col("log_weight"), k, p)).alias(f"s{k}") for k in range(p.count)]
     samples = counts.groupBy("doc_id", "row", "side").agg(F.min("term").alias("term"), *least)
-    shown = F.concat(*(F.lpad(F.lower(F.hex(F.coalesce(f"s{k}", F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0") for k in range(p.count)))
-    samples = samples.select("doc_id", "row", "side", "term", F.when(F.col("side") < 2, shown).alias("print"))
     at = lambda side, column: F.max(F.when(F.col("side") == side, F.col(column)))
-    whole = samples.groupBy("doc_id", "row").agg(at(0, "print").alias("fingerprint"), at(1, "print").alias("edited_fingerprint"), *(at(2 + i, "term").alias(f"f{i}") for i in range(len(facts))))
+    both = lambda side, k: F.min(F.when(F.col("side").isin(side, 2), F.col(f"s{k}"))).alias(f"{'ab'[side]}{k}")
+    whole = samples.groupBy("doc_id", "row").agg(*(both(side, k) for side in (0, 1) for k in range(p.count)), *(at(3 + i, "term").alias(f"f{i}") for i in range(len(facts))))
+    shown = lambda side: F.concat(*(F.lpad(F.lower(F.hex(F.coalesce(f"{side}{k}", F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0") for k in range(p.count)))
+    whole = whole.select("doc_id", shown("a").alias("fingerprint"), shown("b").alias("edited_fingerprint"), *(f"f{i}" for i in range(len(facts))))
     sha_back = F.lower(F.concat(*(F.lpad(F.hex(f"f{i}"), 16, "0") for i in range(2, 6))))
     whole = written(whole.select("doc_id", F.col("f0").alias("n_chars"), F.col("f1").alias("next_id"), sha_back.alias("edited_sha256"), "fingerprint", "edited_fingerprint"), "prints")
     after = written(whole.groupBy(F.col("doc_id").alias("key")).agg(F.min("fingerprint").alias("next_fingerprint")), "after")

@@ -397,3 +397,20 @@ def test_names_do_not_empty_the_page(before, after):
 @pytest.mark.parametrize("run", [lambda d: pack(d, Packing(tokenizer_path())), mix_sources, near_duplicates, drop_repeated_lines, fingerprints, lambda d: toxicity(d, d.select("doc_id", F.lit(1).alias("toxic")))])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
+
+
+def test_fingerprints_are_those_of_each_text_alone(spark):
+    """The fingerprint of an edited text is what the same text has as a document; likeness is the share of equal samples."""
+    texts = [words(200, 400), words(90, 401) + " " + words(50, 402), "one two three four", "a", "", None, " \n", "x" * 5000, words(30, 403) + "\n", words(200, 400), "ab cd"]
+    rows = [(3 * i, t) for i, t in enumerate(texts)]
+    got = sorted(fingerprints(spark.createDataFrame([(i, t, 1, "s", 2) for i, t in rows], "doc_id long, text string, side int, term string, row int")).collect(), key=lambda r: r.doc_id)
+    edited = []
+    for k, (_, t) in enumerate(rows):
+        a, b = t or "", texts[(k + 1) % len(texts)] or ""
+        edited.append(a[: len(a) - len(a) // 4] + b[: len(a) // 4])
+    alone = sorted(fingerprints(spark.createDataFrame(list(enumerate(edited)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    share = lambda x, y: sum(x[8 * k : 8 * k + 8] == y[8 * k : 8 * k + 8] for k in range(32)) / 32
+    for k, r in enumerate(got):
+        assert r.edited_fingerprint == alone[k].fingerprint and r.near_edited == share(r.fingerprint, r.edited_fingerprint)
+        assert r.near_next == share(r.fingerprint, got[(k + 1) % len(got)].fingerprint)
+    assert len({got[k].fingerprint for k in (4, 5, 6)}) == 1 and got[0].fingerprint == got[9].fingerprint != got[1].fingerprint
