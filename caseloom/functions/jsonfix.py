@@ -13,58 +13,93 @@ from pyspark.sql.types import StringType
 
 from .text import UNSTATED, any_of, json_candidate, key
 
-CONTROL = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
-CLOSING = {"{": "}", "[": "]"}
-QUOTES = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'"})
-_PIECE = re.compile(r'\\.|"|[{}\[\]\n\r\t]', re.DOTALL)
-
-
-def mended(text: str) -> str:
-    """One walk over quotes, brackets and control characters: escapes the latter in strings, closes what stays open."""
-    quoted, opened = False, []
-
-    def step(m: re.Match) -> str:
-        nonlocal quoted
-        piece = m[0]
-        if piece == '"':
-            quoted = not quoted
-        elif quoted:
-            return CONTROL.get(piece, piece)
-        elif piece in CLOSING:
-            opened.append(piece)
-        elif opened and piece == CLOSING[opened[-1]]:
-            opened.pop()
-        return piece
-
-    out = _PIECE.sub(step, text).rstrip() + ('"' if quoted else "")
-    out = out.rstrip().removesuffix(",")
-    return out + (' "Not stated"' if out.endswith(":") else "") + "".join(CLOSING[b] for b in reversed(opened))
-
-
-# The passes of a repair, in order; the second try takes single quotes for double ones first.
-_PASSES: list[Callable[[str], str]] = [
-    lambda s: s.translate(QUOTES),
-    lambda s: re.sub(r",\s*(?=[}\]])", "", s),
-    lambda s: re.sub(r"(?<=[{,\s])([A-Za-z_]\w*)\s*:", r'"\1":', s),
-    lambda s: re.sub(r'("|true|false|null|\d|[}\]])\s*\n\s*(?="\w+"\s*:)', r"\1,\n", s),
-    mended,
-    lambda s: re.sub(r",\s*(?=[}\]])", "", s),
-]
-SINGLE = (lambda s: re.sub(r"'(\w+)'\s*:", r'"\1":', s), lambda s: re.sub(r":\s*'([^']*)'", r': "\1"', s))
+#: Quotes and what closes them; typographic ones come in any mix.
+QUOTES = {'"': '"', "'": "'", "\u201c": '"\u201c\u201d', "\u201d": '"\u201c\u201d', "\u2018": "'\u2018\u2019", "\u2019": "'\u2018\u2019"}
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
+#: The value of a key at which the text breaks off.
+LOST = "Not stated"
+_BARE = re.compile(r"[A-Za-z_]\w*")
+_PLAIN = re.compile(r"true|false|null|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?")
+
+
+class _Lenient:
+    """Reads one value from damaged JSON in a single pass: what is missing is supplied, what can't be read is a ValueError.
+
+    Strings may hold raw control characters; keys may be bare; members may stand on lines of their own without commas, and a comma
+    may follow the last; where the text ends everything still open is closed.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def peek(self) -> str:
+        while self.at < len(self.text) and self.text[self.at].isspace():
+            self.at += 1
+        return self.text[self.at : self.at + 1]
+
+    def string(self) -> str:
+        closing, out = QUOTES[self.text[self.at]], []
+        self.at += 1
+        while self.at < len(self.text):
+            c = self.text[self.at]
+            self.at += 1
+            if c in closing:
+                break
+            if c == "\\" and self.at < len(self.text):
+                c = self.text[self.at]
+                self.at += 1
+                code = self.text[self.at : self.at + 4]
+                if c == "u" and len(code) == 4 and all(x in "0123456789abcdefABCDEF" for x in code):
+                    c, self.at = chr(int(code, 16)), self.at + 4
+                else:
+                    c = ESCAPES.get(c, c)
+            out.append(c)
+        return "".join(out)
+
+    def word(self, shape: re.Pattern) -> str:
+        m = shape.match(self.text, self.at)
+        if not m:
+            raise ValueError(f"unexpected text at {self.at}")
+        self.at = m.end()
+        return m[0]
+
+    def value(self):
+        c = self.peek()
+        if c == "{":
+            return dict(self.members(self.pair, "}"))
+        if c == "[":
+            return list(self.members(self.value, "]"))
+        return self.string() if c in QUOTES and c else json.loads(self.word(_PLAIN))
+
+    def pair(self) -> tuple:
+        name = self.string() if self.peek() in QUOTES else self.word(_BARE)
+        colon = self.peek()
+        if colon and colon != ":":
+            raise ValueError(f"no colon at {self.at}")
+        self.at += len(colon)
+        return name, self.value() if self.peek() else LOST
+
+    def members(self, read: Callable[[], object], end: str):
+        self.at += 1
+        while (c := self.peek()) not in ("", end):
+            yield read()
+            before = self.at
+            c = self.peek()
+            if c == ",":
+                self.at += 1
+            elif c not in ("", end) and "\n" not in self.text[before : self.at]:
+                raise ValueError(f"no comma at {self.at}")
+        self.at += len(c)
 
 
 def repair(text: str | None) -> str | None:
-    """An object's JSON from a damaged one, or null: without, then with, single quotes taken for double ones."""
-    for before in ((), SINGLE):
-        s = text or ""
-        for step in (*before, *_PASSES):
-            s = step(s)
-        try:
-            if isinstance(found := json.loads(s), dict):
-                return json.dumps(found, ensure_ascii=False)
-        except ValueError:
-            continue
-    return None
+    """An object's JSON from a damaged one, or null."""
+    reader = _Lenient(text or "")
+    try:
+        found = reader.value()
+    except (ValueError, RecursionError):
+        return None
+    return json.dumps(found, ensure_ascii=False) if isinstance(found, dict) and not reader.peek() else None
 
 
 @F.pandas_udf(StringType())

@@ -1,4 +1,4 @@
-"""Message intake as a stream: late items dropped, copies by message id dropped, known ids left out on arrival."""
+"""Message intake as a stream: items from before the start dropped, copies by message id dropped, known ids left out on arrival."""
 
 from __future__ import annotations
 
@@ -7,21 +7,38 @@ from pyspark.sql import functions as F
 
 
 def intake(spark: SparkSession, folder: str, schema: str, start: str, late: str = "15 seconds") -> DataFrame:
-    """A stream over message files (message_id, ts, ...), from ``late`` before ``start`` on."""
-    rows = spark.readStream.schema(schema).parquet(folder).filter(F.col("ts") >= F.to_timestamp(F.lit(start)) - F.expr(f"interval {late}"))
-    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["message_id"])
+    """A stream over message files (message_id, ts, ...), without what is older than ``start`` by more than ``late``.
 
+    Only the start decides: mail that arrives out of order is kept, however old next to the newest one seen. The checkpoint of
+    ``load`` is the high-water mark: a file that was taken is not read again.
+    """
+    return spark.readStream.schema(schema).parquet(folder).filter(F.col("ts") >= F.to_timestamp(F.lit(start)) - F.expr(f"interval {late}"))
 
-def load(stream: DataFrame, table: str, checkpoint: str) -> None:
-    """Append what the table doesn't have yet, until the stream's present end."""
-    schema = stream.schema
+
+def baseline(messages: DataFrame, table: str) -> None:
+    """Record the ids of what is there at the first start: none of it is taken in later."""
+    messages.select("message_id").distinct().write.mode("overwrite").parquet(f"{table}/ids/baseline")
+
+
+def load(stream: DataFrame, table: str, checkpoint: str, every: str | None = None):
+    """Append what the table doesn't have yet: until the stream's present end, or every so often ("15 seconds"; the query is returned).
+
+    Ids are kept apart from the messages, so a batch reads ids alone to know what it has. A batch that is run again overwrites itself.
+    """
 
     def store(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        known = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{table}/seed", f"{table}/rows")
-        rows.join(known.select("message_id"), "message_id", "left_anti").write.mode("overwrite").parquet(f"{table}/rows/batch={batch:09d}")
-
-    empty = stream.sparkSession.createDataFrame([], schema)
-    for part in ("seed", "rows/none"):
-        empty.write.mode("ignore").parquet(f"{table}/{part}")
-    stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        spark, name = rows.sparkSession, f"batch={batch:09d}"
+        known = spark.read.schema("message_id string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{table}/ids")
+        own = F.input_file_name().contains(f"/ids/{name}/")
+        first = rows.withColumn("_rank", F.struct("ts", F.xxhash64(*rows.columns))).groupBy("message_id").agg(F.min_by(F.struct(*rows.columns), "_rank").alias("m")).select("m.*")
+        new = first.join(known.filter(~own), "message_id", "left_anti")
+        new.write.mode("overwrite").parquet(f"{table}/rows/{name}")
+        spark.read.schema(rows.schema).parquet(f"{table}/rows/{name}").select("message_id").write.mode("overwrite").parquet(f"{table}/ids/{name}")
+
+    session = stream.sparkSession
+    session.createDataFrame([], "message_id string").write.mode("ignore").parquet(f"{table}/ids/none")
+    session.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{table}/rows/none")
+    writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    if every:
+        return writer.trigger(processingTime=every).start()
+    writer.trigger(availableNow=True).start().awaitTermination()
