@@ -82,3 +82,111 @@ def matched(expected: DataFrame, found: DataFrame, key_column: str, digest: str)
     e, f = expected.select(key_column, F.col(digest).alias("want")), found.select(key_column, F.col(digest).alias("got"))
     kind = F.when(F.col("got").isNull(), "missing").when(F.col("want").isNull(), "unlisted").when(F.col("got") != F.col("want"), "changed")
     return e.join(f, key_column, "full_outer").withColumn("kind", kind).filter("kind is not null").select(key_column, "kind")
+
+
+def running_numbers(messages: DataFrame, key_column: str = "id", first: int = 13, deal: int = 1 << 20) -> DataFrame:
+    """messages with ``running``: their place by ascending id, from ``first`` on.
+
+    Ids are counted by ranges of ``deal`` and the ranges' counts summed, so no task ranks more than one range.
+    """
+    part = F.floor(F.col(key_column) / deal)
+    ids = messages.select(F.col(key_column).alias("_id"), part.alias("_part")).distinct()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ids.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    ranked = ids.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_id"))).join(counts.hint("merge"), "_part")
+    return messages.join(ranked.select(F.col("_id").alias(key_column), (F.col("_before") + F.col("_rank") + first - 1).alias("running")), key_column, "left")
+
+
+def by_status(messages: DataFrame, status: str) -> DataFrame:
+    """Messages of a status; NEEDS_REVIEW stands for those received or triaged."""
+    return messages.filter(F.col("status").isin("RECEIVED", "TRIAGED") if status == "NEEDS_REVIEW" else F.col("status") == status)
+
+
+def flagged(messages: DataFrame, flag: str) -> DataFrame:
+    """Messages (with ``flags``) that are CRITICAL, LOW_CONFIDENCE or PHOTO_REVIEW."""
+    return messages.filter({"CRITICAL": F.col("priority") == "CRITICAL", "LOW_CONFIDENCE": F.col("low_confidence"), "PHOTO_REVIEW": F.col("image_review")}[flag])
+
+
+def by_id(rows: DataFrame, value: object, key_column: str = "id") -> DataFrame:
+    return rows.filter(F.col(key_column) == F.lit(value))
+
+
+def newest_first(rows: DataFrame, ts: str = "ts", key_column: str = "id") -> DataFrame:
+    """Latest first, the later key first where times are equal."""
+    return rows.orderBy(F.col(ts).desc_nulls_last(), F.desc(key_column))
+
+
+def queue_rows(messages: DataFrame, attachments: DataFrame, pqc: DataFrame) -> DataFrame:
+    """Messages as the queue lists them: defaults for category and confidence, number of attachments, photo to review.
+
+    attachments and pqc have message ids as ``message``; pqc has requires_human_review.
+    """
+    n = attachments.groupBy(F.col("message").alias("id")).agg(F.count("*").alias("attachment_count"))
+    photo = pqc.groupBy(F.col("message").alias("id")).agg(F.bool_or("requires_human_review").alias("requires_human_review"))
+    rows = messages.join(n, "id", "left").join(photo, "id", "left")
+    return rows.withColumns({"primary_category": F.coalesce("primary_category", F.lit("Pending Triage")), "confidence": F.coalesce("confidence", F.lit(0.0)), "attachment_count": F.coalesce("attachment_count", F.lit(0)), "requires_human_review": F.coalesce("requires_human_review", F.lit(False))})
+
+
+def view_facts(facts: DataFrame, sections: list[str] | None = None, status: str = "ALL") -> DataFrame:
+    """Facts of some sections and of a status; ATTENTION stands for uncertain and conflicting ones."""
+    rows = facts.filter(F.col("section").isin(*sections)) if sections else facts
+    return rows if status == "ALL" else rows.filter(F.col("status").isin("UNCERTAIN", "CONFLICT") if status == "ATTENTION" else F.col("status") == status)
+
+
+# Sections that a category shows.
+VISIBLE = {"ICSR": ("PATIENT", "REPORTER", "PRODUCT", "REACTION", "LABS", "CONCOMITANT", "REGULATORY"), "PQC": ("PRODUCT", "REPORTER", "DEFECT"), "MI": ("INQUIRY", "REPORTER", "PRODUCT"), "NOT_RELEVANT": ("EXCLUSION",)}
+
+
+def visible_facts(facts: DataFrame, cases: DataFrame) -> DataFrame:
+    """Facts in the sections that one of their case's categories shows (cases: envelope_id, categories)."""
+    shown = F.flatten(F.transform("categories", lambda c: F.coalesce(F.try_element_at(F.create_map(*(x for k, v in VISIBLE.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), c), F.array().cast("array<string>"))))
+    return facts.join(cases.select("envelope_id", shown.alias("_shown")), "envelope_id").filter(F.array_contains("_shown", F.col("section"))).drop("_shown")
+
+
+def audit_search(events: DataFrame, text: str) -> DataFrame:
+    """Audit rows with the text in a column or in the case's name, case-<message id>."""
+    named = events.withColumn("_case", F.concat(F.lit("case-"), F.col("message_id").cast("string")))
+    return search(named, text, [c for c in ("reviewer_username", "action", "target_field", "original_value", "new_value", "reviewer_comments", "_case") if c in named.columns]).drop("_case")
+
+
+def override(messages: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages after category overrides (message_id, new_category, reviewer_username, justification), and their audit rows."""
+    known = actions.filter("new_category is not null").join(messages.select("message_id", F.col("primary_category").alias("original_value")), "message_id")
+    done = messages.join(known.select("message_id", "new_category"), "message_id", "left")
+    done = done.withColumn("status", F.when(F.col("new_category").isNotNull(), "OVERRIDDEN").otherwise(F.col("status"))).withColumn("primary_category", F.coalesce("new_category", "primary_category")).drop("new_category")
+    return done, known.select("message_id", F.coalesce("reviewer_username", F.lit("reviewer")).alias("reviewer_username"), F.lit("OVERRIDE_CATEGORY").alias("action"), F.lit("primary_category").alias("target_field"), F.coalesce("original_value", F.lit("")).alias("original_value"), F.col("new_category").alias("new_value"), "justification")
+
+
+def replace_citations(reports: DataFrame, citations: DataFrame) -> DataFrame:
+    """Reports with the citations (message, citations) that are given for them; citations without a report change nothing."""
+    return reports.join(citations.select("message", F.col("citations").alias("_new")), "message", "left").withColumn("citations", F.coalesce("_new", "citations")).drop("_new")
+
+
+def without_parent(children: DataFrame, parents: DataFrame, key_column: str = "message") -> DataFrame:
+    """Children that a deletion of parents takes along are left out: those whose parent is gone."""
+    return children.join(parents.select(key_column), key_column, "left_semi")
+
+
+def mismatched(found: DataFrame, expected: DataFrame, key_column: str, columns: list[str]) -> DataFrame:
+    """(key, column, expected, found) where headers differ from what is expected of them."""
+    e = expected.select(key_column, *(F.col(c).alias(f"_want_{c}") for c in columns))
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"_want_{c}").cast("string").alias("expected"), F.col(c).cast("string").alias("found")) for c in columns))
+    return e.join(found, key_column, "left").select(key_column, F.inline(rows)).filter(~F.col("expected").eqNullSafe(F.col("found")))
+
+
+def accuracy(cases: DataFrame, answers: DataFrame, assertions: DataFrame) -> DataFrame:
+    """Evaluation by case: category (MI stands for medical information), multi flag, and assertions on fields; a missing answer fails.
+
+    cases: case_id, category, multi; answers: case_id, category, multi, fields (map), latency_ms; assertions: case_id, field, expected.
+    """
+    alias = lambda c: F.when(F.upper(c).isin("MI", "MEDICAL INFO REQUEST", "MEDICAL INFORMATION"), "MI").otherwise(F.upper(c))
+    joined = cases.select("case_id", F.col("category").alias("_c"), F.col("multi").alias("_m")).join(answers, "case_id", "left")
+    held = assertions.join(answers.select("case_id", "fields"), "case_id", "left").withColumn("ok", F.coalesce(F.lower(F.try_element_at("fields", F.col("field"))).contains(F.lower("expected")), F.lit(False)))
+    held = held.groupBy("case_id").agg(F.bool_and("ok").alias("_held"))
+    ok = F.coalesce((alias(F.col("category")) == alias(F.col("_c"))) & (F.col("multi") == F.col("_m")), F.lit(False)) & F.coalesce("_held", F.lit(True))
+    return joined.join(held, "case_id", "left").select("case_id", ok.alias("passed"), "latency_ms")
+
+
+def evaluation(judged: DataFrame) -> DataFrame:
+    """Passed cases, percentage of all, whole mean latency."""
+    return judged.agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed"), F.round(100 * F.avg(F.col("passed").cast("int")), 1).alias("accuracy"), F.floor(F.avg("latency_ms")).alias("mean_latency_ms"))
