@@ -9,18 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 
-def common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of bits at a time."""
-    if not a or not b:
-        return 0
+def places(a: str) -> dict[str, int]:
+    """Where each character of a string stands, as bits."""
     at: dict[str, int] = {}
     for i, ch in enumerate(a):
         at[ch] = at.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    left = full
+    return at
+
+
+def common(a: str, b: str, at: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, a row of bits at a time; at: ``places(a)``, if known."""
+    if not a or not b:
+        return 0
+    get = (places(a) if at is None else at).get
+    full = left = (1 << len(a)) - 1
     for ch in b:
-        hit = left & at.get(ch, 0)
-        left = (left + hit | left - hit) & full
+        hit = left & get(ch, 0)
+        if hit:
+            left = (left + hit | left - hit) & full
     return len(a) - left.bit_count()
 
 
@@ -39,10 +45,19 @@ def partial(a: str, b: str, floor: float = 0.0) -> float:
         return 0.0 if b else 100.0
     if a in b:
         return 100.0
-    n, m, best, at = len(a), len(b), floor, 1 - len(a)
+    n, m, best, at, own = len(a), len(b), floor, 1 - len(a), places(a)
+    # A window has no more in common than its characters that stand in the shorter string at all.
+    known = [0]
+    for ch in b:
+        known.append(known[-1] + (ch in own))
     while at < m:
-        had = common(a, b[max(0, at) : at + n])
-        best = max(best, 200.0 * had / (n + min(m, at + n) - max(0, at)))
+        low, high = max(0, at), min(m, at + n)
+        most = known[high] - known[low]
+        if 200.0 * most <= best * (n + high - low):
+            at += 1
+            continue
+        had = common(a, b[low:high], own)
+        best = max(best, 200.0 * had / (n + high - low))
         at += 1
         while at < m:
             had, width = had + 1, min(m, at + n) - max(0, at)
@@ -66,11 +81,14 @@ def token_set(a: str, b: str) -> float:
 
 @F.pandas_udf(IntegerType())
 def _score(values: pd.Series, snippets: pd.Series) -> pd.Series:
-    out = np.full(len(values), -1)
-    for i, (v, s) in enumerate(zip(values, snippets, strict=True)):
-        if v is not None and s is not None:
-            words = token_set(v, s)
-            out[i] = np.rint(max(words, partial(v, s, max(words, 59.0))))
+    out, known = np.full(len(values), -1), {}
+    for i, pair in enumerate(zip(values, snippets, strict=True)):
+        if None in pair:
+            continue
+        if pair not in known:
+            words = token_set(*pair)
+            known[pair] = np.rint(max(words, partial(*pair, max(words, 59.0))))
+        out[i] = known[pair]
     return pd.Series(out)
 
 

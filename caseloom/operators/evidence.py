@@ -30,28 +30,30 @@ def chunk_offsets(docs: DataFrame, key_column: str = "doc_id", text: str = "text
     return placed.filter(F.trim("text") != "").withColumn("char_end", F.col("char_start") + F.length("text"))
 
 
+def bucket_of(gram: Column, buckets: int = BUCKETS) -> Column:
+    """md5 of a gram modulo a power of two up to 256, from its last two digits."""
+    digits, h = F.lit("0123456789abcdef"), F.md5(gram)
+    digit = lambda i: F.instr(digits, F.substring(h, i, 1)) - 1
+    return (digit(31) * 16 + digit(32)) % buckets
+
+
 def gram_rows(chunks: DataFrame, by: list[str]) -> DataFrame:
     """Weighted hash buckets of words (2) and neighbouring words (3), the integer form of a hashed embedding."""
     words = chunks.select(*by, F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)).alias("w"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i.cast("int")), F.element_at("w", (i + 1).cast("int"))))).otherwise(F.array().cast("array<string>"))
-    grams = words.select(*by, F.explode(F.concat(F.transform("w", lambda x: F.struct(x.alias("g"), F.lit(2).alias("k"))), F.transform(pairs, lambda x: F.struct(x.alias("g"), F.lit(3).alias("k"))))).alias("x"))
-    bucket = F.conv(F.substring(F.md5(F.col("x.g")), 31, 2), 16, 10).cast("int") % BUCKETS
-    return grams.groupBy(*by, bucket.alias("bucket")).agg(F.sum("x.k").alias("weight"))
-
-
-def norms(grams: DataFrame, by: list[str]) -> DataFrame:
-    return grams.groupBy(*by).agg(F.sum(F.col("weight") * F.col("weight")).alias("norm2"))
+    both = words.select(*by, F.explode(F.arrays_zip(F.col("w").alias("g"), F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 1)).alias("next"))).alias("x"))
+    gram = lambda g, k: F.struct(g.alias("g"), F.lit(k).alias("k"))
+    pair = F.when(F.col("x.next").isNotNull(), F.concat_ws(" ", "x.g", "x.next"))
+    grams = both.select(*by, F.inline(F.array(gram(F.col("x.g"), 2), gram(pair, 3)))).filter("g is not null")
+    return grams.groupBy(*by, bucket_of(F.col("g")).alias("bucket")).agg(F.sum("k").alias("weight"))
 
 
 def tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9._\-]{2,}"), F.lit(0)))
 
 
-def lexical(value: Column, text: Column) -> Column:
-    """Containment of the whole value, else the share of its words that the text has."""
-    v, t = key(value), F.lower(text)
-    own = tokens(value)
-    share = F.when(F.size(own) > 0, F.size(F.array_intersect(own, tokens(text))) / F.size(own)).otherwise(0.0)
+def lexical(v: Column, t: Column, own: Column, held: Column) -> Column:
+    """Containment of the whole value (as ``key`` gives it) in a lower-cased text, else the share of its words among the text's."""
+    share = F.when(F.size(own) > 0, F.size(F.array_intersect(own, held)) / F.size(own)).otherwise(0.0)
     return F.greatest(F.when((F.length(v) >= 3) & t.contains(v), F.lit(0.9)).otherwise(0.0), share * 0.75)
 
 
@@ -65,8 +67,10 @@ def fused(lex: Column, sem: Column) -> Column:
 
 def retrieve(facts: DataFrame, chunks: DataFrame, k: int = 3, least: float = 0.15) -> DataFrame:
     """The k best chunks of each stated fact, in its own document only; ties go to the earlier chunk."""
-    stated = facts.filter(~is_unstated(F.col("value"), "retrieve"))
-    scored = stated.join(chunks, "document_id").withColumn("relevance", lexical(F.col("value"), F.col("text"))).filter(F.col("relevance") >= least)
+    # What needs one side alone is computed before the join, once per fact or chunk.
+    stated = facts.filter(~is_unstated(F.col("value"), "retrieve")).withColumn("_v", key(F.col("value"))).withColumn("_own", tokens(F.col("value")))
+    held = chunks.withColumn("_t", F.lower("text")).withColumn("_held", tokens(F.col("text")))
+    scored = stated.join(held.hint("merge"), "document_id").withColumn("relevance", lexical(*map(F.col, ("_v", "_t", "_own", "_held")))).drop("_v", "_t", "_own", "_held").filter(F.col("relevance") >= least)
     best = Window.partitionBy("document_id", "field").orderBy(F.desc("relevance"), "pos")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

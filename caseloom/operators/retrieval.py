@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.fuzzy import fuzzy_score
 from ..functions.text import collapse, is_unstated, key
-from .evidence import entails, fused
+from .evidence import bucket_of, entails, fused
 
 # Words that carry nothing in a value, words that carry nothing in a field's name, prefixes of structured fields, units.
 STOPWORDS = ("the", "a", "an", "and", "or", "in", "on", "at", "to", "for", "with", "is", "was", "are", "were", "of", "by", "as", "from", "it", "this", "patient", "level", "levels", "test", "tests", "value", "values")
@@ -35,22 +35,38 @@ def _has(text: str, words: Column) -> Column:
     return F.exists(words, lambda w: F.col(text).contains(F.left(w, F.lit(4))) & ((F.length(w) >= 4) | F.col(text).contains(w)))
 
 
+def fact_terms(facts: DataFrame) -> DataFrame:
+    """facts (value, field; optional: normalized, scope, structured) with what their scores need of them, once per fact."""
+    has, none = facts.columns, F.lit(None).cast("string")
+    given = lambda name, default: F.col(name) if name in has else default
+    rows = facts.withColumn("_v", key(F.col("value"))).withColumns({
+        "_own": F.array_except(tokens(F.col("_v")), F.array(*map(F.lit, STOPWORDS))), "_norm": key(given("normalized", none).cast("string")), "_scope": key(given("scope", none)),
+        "_words": F.filter(F.split(F.lower(F.translate("field", "_", " ")), r"\s+"), lambda w: ~w.isin(*FIELD_WORDS) & (F.length(w) >= 2)),
+        "_structured": F.col("field").rlike("^(" + "|".join(STRUCTURED) + ")") | given("structured", F.lit(False)),
+    })
+    numbers = F.regexp_extract_all(F.col("_v"), F.lit(r"(?U)\b\d+(?:\.\d+)?(?::\d+)?\b"), F.lit(0))
+    letters = lambda c, drop: F.filter(F.regexp_extract_all(c, F.lit("[a-zA-Z]+"), F.lit(0)), lambda w: ~w.isin(*drop) & (F.length(w) >= 2))
+    return rows.withColumns({"_numbers": F.when(F.size(numbers) > 0, numbers).otherwise(F.filter("_own", lambda w: w.rlike("[0-9]"))), "_analytes": F.concat(letters(F.lower("field"), FIELD_WORDS), letters(F.col("_v"), STOPWORDS + UNITS))})
+
+
+def chunk_terms(chunks: DataFrame) -> DataFrame:
+    """chunks (text) with its lower-cased form and its words, once per chunk."""
+    return chunks.withColumn("_t", F.lower("text")).withColumn("_held", tokens(F.col("_t")))
+
+
 def with_lexical(pairs: DataFrame, out: str = "lexical") -> DataFrame:
     """pairs of fact (value, field) and chunk (text) with their lexical score.
 
-    Optional columns: normalized, scope, others (array of other scopes), structured and is_table (booleans).
+    Optional columns: normalized, scope, others (array of other scopes), structured and is_table (booleans), and those of ``fact_terms``
+    and ``chunk_terms``, which are added here if the pairs don't have them.
     """
     has = pairs.columns
     given = lambda name, default: F.col(name) if name in has else default
-    none = F.lit(None).cast("string")
-    rows = pairs.withColumns({
-        "_v": key(F.col("value")), "_t": F.lower("text"), "_own": F.array_except(tokens(key(F.col("value"))), F.array(*map(F.lit, STOPWORDS))),
-        "_norm": key(given("normalized", none).cast("string")), "_scope": key(given("scope", none)),
-        "_words": F.filter(F.split(F.lower(F.translate("field", "_", " ")), r"\s+"), lambda w: ~w.isin(*FIELD_WORDS) & (F.length(w) >= 2)),
-    })
+    rows = pairs if "_own" in has else fact_terms(pairs)
+    rows = rows if "_held" in has else chunk_terms(rows)
     whole = F.when((F.length("_v") >= 3) & F.col("_t").contains(F.col("_v")), 0.9).otherwise(0.0)
     normal = F.when((F.length("_norm") >= 2) & F.col("_t").contains(F.col("_norm")), 0.8).otherwise(0.0)
-    share = F.when(F.size("_own") > 0, F.size(F.array_intersect("_own", tokens(F.col("_t")))) / F.size("_own") * 0.75).otherwise(0.0)
+    share = F.when(F.size("_own") > 0, F.size(F.array_intersect("_own", "_held")) / F.size("_own") * 0.75).otherwise(0.0)
     rows = rows.withColumn("_s", F.greatest(whole, normal, share))
     other = F.exists(given("others", _strings()), lambda o: (F.trim(o) != "") & F.col("_t").contains(key(o)))
     rows = rows.withColumn("_other", F.coalesce(F.col("_scope").isNotNull() & (F.col("_s") > 0) & other, F.lit(False)))
@@ -58,15 +74,11 @@ def with_lexical(pairs: DataFrame, out: str = "lexical") -> DataFrame:
     field = F.when((F.col("_s") > 0) & _has("_t", F.col("_words")), 0.1).otherwise(0.0)
     scope = F.when((F.col("_s") <= 0) | F.col("_scope").isNull(), 0.0).when(mine, F.when(F.col("_other"), -0.2).otherwise(0.4)).when(F.col("_other"), -0.6).otherwise(0.0)
     rows = rows.withColumn("_s", F.col("_s") + field + scope)
-    structured = F.col("field").rlike("^(" + "|".join(STRUCTURED) + ")") | given("structured", F.lit(False))
-    numbers = F.regexp_extract_all(F.col("_v"), F.lit(r"(?U)\b\d+(?:\.\d+)?(?::\d+)?\b"), F.lit(0))
-    numbers = F.when(F.size(numbers) > 0, numbers).otherwise(F.filter("_own", lambda w: w.rlike("[0-9]")))
-    letters = lambda c, drop: F.filter(F.regexp_extract_all(c, F.lit("[a-zA-Z]+"), F.lit(0)), lambda w: ~w.isin(*drop) & (F.length(w) >= 2))
-    analyte = _has("_t", F.concat(letters(F.lower("field"), FIELD_WORDS), letters(F.col("_v"), STOPWORDS + UNITS)))
-    number = F.when(F.size(numbers) > 0, F.exists(numbers, lambda n: F.col("_t").contains(n))).otherwise(F.col("_s") > 0.5)
+    analyte = _has("_t", F.col("_analytes"))
+    number = F.when(F.size("_numbers") > 0, F.exists("_numbers", lambda n: F.col("_t").contains(n))).otherwise(F.col("_s") > 0.5)
     row = F.when(analyte & number & ~F.col("_other"), F.greatest("_s", F.lit(0.98))).otherwise(F.col("_s"))
-    score = F.when(~structured, F.col("_s")).when(given("is_table", F.lit(False)), row).otherwise(F.least("_s", F.lit(0.88)))
-    return rows.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).drop("_v", "_t", "_own", "_norm", "_scope", "_words", "_s", "_other")
+    score = F.when(~F.col("_structured"), F.col("_s")).when(given("is_table", F.lit(False)), row).otherwise(F.least("_s", F.lit(0.88)))
+    return rows.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).drop("_v", "_t", "_own", "_held", "_norm", "_scope", "_words", "_structured", "_numbers", "_analytes", "_s", "_other")
 
 
 def grams(texts: DataFrame, by: list[str], text: str = "text") -> DataFrame:
@@ -79,21 +91,22 @@ def grams(texts: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     word = words.select(*by, F.posexplode("w").alias("i", "g"), "w").select(*by, "g", F.try_element_at("w", (F.col("i") + 2).cast("int")).alias("next"))
     pair = F.when(F.col("next").isNotNull(), F.array(F.struct(F.concat_ws("_", "g", "next").alias("g"), F.lit(3).alias("k")))).otherwise(empty)
     rows = word.select(*by, F.explode(F.concat(each(F.array("g"), 2), parts(F.col("g"), 3), parts(F.col("g"), 4), pair)).alias("x"))
-    bucket = F.conv(F.substring(F.md5(F.col("x.g")), 31, 2), 16, 10).cast("int") % DIMENSION
-    return rows.groupBy(*by, bucket.alias("bucket")).agg(F.sum("x.k").alias("weight"))
+    return rows.groupBy(*by, bucket_of(F.col("x.g"), DIMENSION).alias("bucket")).agg(F.sum("x.k").alias("weight"))
 
 
-def vectors(texts: DataFrame, by: list[str], text: str = "text", out: str = "vector") -> DataFrame:
-    """One sparse vector per row: buckets and weights in order of the bucket, and its square length. At most 128 entries."""
-    items = grams(texts, by, text).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("v"), F.sum(F.col("weight") * F.col("weight")).alias("n"))
-    dense = F.aggregate("v", F.array_repeat(F.lit(0).cast("long"), 0), lambda a, x: F.concat(a, F.array_repeat(F.lit(0).cast("long"), x["bucket"] - F.size(a)), F.array(x["weight"])))
-    return items.select(*by, F.struct(dense.alias("v"), "n").alias(out))
+def cosines(facts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(document_id, field, pos, semantic): cosines of facts (document_id, field, text) and chunks (document_id, pos, text) of one document, where above 0.
 
+    Hashed grams meet by (document, bucket) and are summed; no vector is built.
+    """
+    def weighted(texts: DataFrame, by: list[str], names: tuple[str, str]) -> DataFrame:
+        """(by, square sum, bucket, weight): at most 128 buckets each, hashed once."""
+        held = grams(texts, by).groupBy(*by).agg(F.sum(F.col("weight") * F.col("weight")).alias(names[0]), F.collect_list(F.struct("bucket", F.col("weight").alias(names[1]))).alias("v"))
+        return held.select(*by, names[0], F.inline("v"))
 
-def cosine(a: Column, b: Column) -> Column:
-    """Of two vectors; 0 where either is missing."""
-    dot = F.aggregate(F.zip_with(a["v"], b["v"], lambda x, y: F.coalesce(x * y, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, z: s + z)
-    return F.coalesce(F.greatest(F.lit(0.0), dot / F.sqrt(a["n"].cast("double") * b["n"])), F.lit(0.0))
+    one, two = weighted(facts, ["document_id", "field"], ("_n", "_a")), weighted(chunks, ["document_id", "pos"], ("_m", "_b"))
+    met = one.join(two.hint("merge"), ["document_id", "bucket"]).groupBy("document_id", "field", "pos", "_n", "_m").agg(F.sum(F.col("_a") * F.col("_b")).alias("_dot"))
+    return met.select("document_id", "field", "pos", (F.col("_dot") / F.sqrt(F.col("_n").cast("double") * F.col("_m"))).alias("semantic"))
 
 
 def strategy(lex: Column, sem: Column) -> Column:
@@ -110,10 +123,9 @@ def retrieve_hybrid(facts: DataFrame, chunks: DataFrame, k: int = 3, least: floa
     has_box. Ties: table rows for structured facts, then boxes, then the earlier chunk.
     """
     stated = facts.filter(~is_unstated(F.col("value"), "retrieve"))
-    own = vectors(stated.select("document_id", "field", F.concat_ws(" ", F.translate("field", "_", " "), "value").alias("text")), ["document_id", "field"], out="fact_vector")
-    chunk_vectors = chunks.join(vectors(chunks, ["document_id", "pos"], out="chunk_vector"), ["document_id", "pos"], "left")
-    pairs = stated.join(own, ["document_id", "field"], "left").join(chunk_vectors, "document_id")
-    scored = with_lexical(pairs).withColumn("semantic", cosine(F.col("fact_vector"), F.col("chunk_vector"))).drop("fact_vector", "chunk_vector")
+    near = cosines(stated.select("document_id", "field", F.concat_ws(" ", F.translate("field", "_", " "), "value").alias("text")), chunks.select("document_id", "pos", "text"))
+    pairs = with_lexical(fact_terms(stated).join(chunk_terms(chunks).hint("merge"), "document_id"))
+    scored = pairs.join(near.hint("merge"), ["document_id", "field", "pos"], "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
     lex, sem = F.col("lexical"), F.col("semantic")
     scored = scored.withColumn("relevance", fused(lex, sem)).withColumn("strategy", strategy(lex, sem)).filter(F.col("relevance") >= least)
     flag = lambda name: F.col(name) if name in chunks.columns else F.lit(False)
