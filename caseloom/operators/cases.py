@@ -357,3 +357,20 @@ def report_rows(facts: DataFrame, cases: DataFrame, expected: tuple[str, ...] =
     stated = ~T.is_unstated(F.col("value"), "view")
     rows = rows.filter((F.col("not_relevant") & (F.col("section_order") <= 2)) | (~F.col("not_relevant") & (F.col("section_order") > 2))).filter(stated | F.col("field").isin(*expected))
     return rows.select("envelope_id", "section_order", "section", "pos", V.field_label(F.col("field")).alias("label"), F.when(stated, F.col("value")).otherwise(UNSTATED).alias("value"))
+
+
+# Other names under which the citation of a grounded fact is kept.
+GROUNDED_AS = {"suspect_product": "product_name", "adverse_event": "reaction", "patient_age": "age", "patient_sex": "sex"}
+
+
+def ground_cases(facts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(document_id, case_no, name, snippet, level): the better of two candidates for each fact of ``literature_facts``, also under its other name.
+
+    chunks: document_id, pos, text, source_type, page, has_box, char_start, char_end, is_table (see ``chunks.page_chunks``).
+    """
+    from .retrieval import citation_level, retrieve_hybrid
+
+    best = retrieve_hybrid(facts, chunks, k=2).filter("rank = 1")
+    level = citation_level(*map(F.col, ("source_type", "page", "has_box", "char_start", "char_end")))
+    names = F.array_compact(F.array(F.col("name"), V.one_of(F.col("name"), GROUNDED_AS, F.lit(None).cast("string"))))
+    return best.select("document_id", "case_no", F.explode(names).alias("name"), F.col("text").alias("snippet"), level.alias("level"))

@@ -101,3 +101,13 @@ def test_lab_rows_find_their_facts(spark):
     labs = spark.createDataFrame([("e", 0, "ALT"), ("e", 1, "none")], "envelope_id string, pos int, test_name string")
     facts = spark.createDataFrame([("e", 3, "lab_test_alt_2"), ("e", 1, "lab_test_alt"), ("e", 0, "alt")], "envelope_id string, pos int, field string")
     assert {r.test_name: r.lab_field for r in C.lab_fact_of(labs, facts).collect()} == {"ALT": "lab_test_alt", "none": None}
+
+
+def test_literature_cases_are_grounded_apart(spark):
+    rows = [("art", 1, "Patient A", "drugol", "Not stated"), ("art", 2, "Patient B", "drugol", "rash")]
+    cases = spark.createDataFrame(rows, "article_id string, case_no int, identifier string, suspect_product string, adverse_event string")
+    facts = C.literature_facts(cases, ("suspect_product", "adverse_event"))
+    texts = [(0, "Patient A took drugol daily for a month."), (1, "Patient B took drugol and then had a rash."), (2, "Nothing else was seen.")]
+    held = spark.createDataFrame([("art", i, t, "pdf_text", 3, i == 1, None, None, False) for i, t in texts], "document_id string, pos int, text string, source_type string, page int, has_box boolean, char_start int, char_end int, is_table boolean")
+    got = {(r.case_no, r.name): (r.snippet[:9], r.level) for r in C.ground_cases(facts, held).collect()}
+    assert got == {(1, "suspect_product"): ("Patient A", "LEVEL_2_PAGE_TEXT"), (1, "product_name"): ("Patient A", "LEVEL_2_PAGE_TEXT"), (2, "suspect_product"): ("Patient B", "LEVEL_1_EXACT_VISUAL"), (2, "product_name"): ("Patient B", "LEVEL_1_EXACT_VISUAL"), (2, "adverse_event"): ("Patient B", "LEVEL_1_EXACT_VISUAL"), (2, "reaction"): ("Patient B", "LEVEL_1_EXACT_VISUAL")}
