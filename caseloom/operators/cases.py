@@ -338,10 +338,6 @@ def truth_of(items: DataFrame, keys: DataFrame, identifier: str) -> DataFrame:
     return rows.select(*items.columns, F.coalesce("_a", "_b").alias("case_id"))
 
 
-def view_gate(failed: Column, n_conflicts: Column, n_warnings: Column, n_focus: Column) -> Column:
-    return F.when(failed, "BLOCKED").when((n_conflicts > 0) | (n_warnings > 0) | (n_focus > 0), "WARNINGS").otherwise("READY")
-
-
 # Sections of a report in order; fields that are always shown.
 REPORT = {"triage_exclusion": 1, "exclusion_excerpt": 2, "patient": 10, "reporter": 20, "product": 30, "reaction": 40, "concomitant_medications": 50, "lab_tests": 60, "narrative": 70, "regulatory": 80, "pqc_product": 100, "pqc_inspection": 110, "mi_inquiry": 200, "mi_questions": 210, "mi_context": 220}
 EXPECTED = ("patient_identifier", "patient_age", "patient_sex", "reporter_name", "suspect_product", "lot_number", "adverse_event")

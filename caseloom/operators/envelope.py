@@ -81,6 +81,11 @@ def verify_envelope(facts: DataFrame, evidence: DataFrame, keep: int = 2, answer
     return fact_states(facts, judged), judged, metrics
 
 
+def batch_latency(batches: DataFrame) -> DataFrame:
+    """(envelope_id, n_batches, mean_ms): whole milliseconds that a batch (envelope_id, latency_ms) took on average, 0 without any."""
+    return batches.groupBy("envelope_id").agg(F.count("latency_ms").alias("n_batches"), F.coalesce(F.floor(F.avg("latency_ms")), F.lit(0)).alias("mean_ms"))
+
+
 def known_sources(envelopes: DataFrame) -> Column:
     """Everything an envelope's evidence may come from: its file, its message, attachments, sources."""
     none = F.array().cast("array<string>")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import view as V
+
 # Audit buckets by substring of the action, in order.
 BUCKETS = (("ACCEPT", ("ACCEPT", "APPROVE")), ("OVERRIDE", ("OVERRIDE",)), ("EDIT", ("EDIT", "UPDATE")), ("INGEST", ("INGEST", "RECEIVE")))
 
@@ -167,6 +169,11 @@ def without_parent(children: DataFrame, parents: DataFrame, key_column: str = "m
     return children.join(parents.select(key_column), key_column, "left_semi")
 
 
+def with_files(cited: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Names that a message cites (message, cited) with those of its attachments (message, filename) that they stand for."""
+    return cited.join(attachments.select("message", "filename"), "message").filter(V.same_file(F.col("filename"), F.col("cited")))
+
+
 def mismatched(found: DataFrame, expected: DataFrame, key_column: str, columns: list[str]) -> DataFrame:
     """(key, column, expected, found) where headers differ from what is expected of them."""
     e = expected.select(key_column, *(F.col(c).alias(f"_want_{c}") for c in columns))
