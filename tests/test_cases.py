@@ -7,6 +7,7 @@ from caseloom.functions import view as V
 from caseloom.operators import cases as C
 from caseloom.operators import chunks, envelope
 from caseloom.operators import store as S
+from caseloom.operators import viewfocus as W
 
 
 def one(spark, column, schema, *values):
@@ -111,3 +112,20 @@ def test_literature_cases_are_grounded_apart(spark):
     held = spark.createDataFrame([("art", i, t, "pdf_text", 3, i == 1, None, None, False) for i, t in texts], "document_id string, pos int, text string, source_type string, page int, has_box boolean, char_start int, char_end int, is_table boolean")
     got = {(r.case_no, r.name): (r.snippet[:9], r.level) for r in C.ground_cases(facts, held).collect()}
     assert got == {(1, "suspect_product"): ("Patient A", "LEVEL_2_PAGE_TEXT"), (1, "product_name"): ("Patient A", "LEVEL_2_PAGE_TEXT"), (2, "suspect_product"): ("Patient B", "LEVEL_1_EXACT_VISUAL"), (2, "product_name"): ("Patient B", "LEVEL_1_EXACT_VISUAL"), (2, "adverse_event"): ("Patient B", "LEVEL_1_EXACT_VISUAL"), (2, "reaction"): ("Patient B", "LEVEL_1_EXACT_VISUAL")}
+
+
+def test_focus_of_the_view(spark):
+    schema = "envelope_id int, status string, primary_category string, categories array<string>, is_multi_label boolean, photo boolean, has_mi boolean, language string, attachments array<struct<language:string,flavor:string>>"
+    rows = [(1, "TRIAGED", "ICSR", ["ICSR"], False, False, False, "en", []), (2, None, None, None, None, None, None, None, None), (3, "FAILED", "Not Relevant", ["Not Relevant"], True, True, True, "de", []), (4, "TRIAGED", "not_relevant", ["x"], None, True, None, None, [])]
+    messages = spark.createDataFrame(rows, schema)
+    facts = spark.createDataFrame([(k, i, f, f.upper(), s) for k in (1, 2, 3) for i, (f, s) in enumerate([("patientAge", "NOT_STATED"), ("other", "NOT_STATED"), ("productDose", "CONFLICT"), ("adverseEvent", None)])], "envelope_id int, pos int, field string, label string, status string")
+    items = W.view_focus(messages, facts)
+    got = {}
+    for r in items.orderBy("envelope_id", "rank", "pos").collect():
+        got.setdefault(r.envelope_id, []).append(r.item)
+    conflict = "focus-conflict-productDose"
+    assert got == {1: [conflict, "focus-missing-patientAge"], 2: [conflict], 3: ["focus-photo-01", "focus-multilabel-01", "focus-lang-01", conflict], 4: ["focus-photo-01"]}
+    gates = {r.envelope_id: (r.n_focus, r.n_warnings, r.gate) for r in W.view_gate(messages, items).collect()}
+    assert gates == {1: (2, 1, "REVIEW_WITH_WARNINGS"), 2: (1, 0, "REVIEW_WITH_WARNINGS"), 3: (4, 0, "BLOCKED_BY_INTEGRITY_ERROR"), 4: (1, 0, "READY_FOR_REVIEW")}
+    none = messages.limit(0)
+    assert W.view_focus(none, facts).count() == 0 and W.view_gate(none, items).count() == 0
