@@ -9,7 +9,7 @@ from ..operators import evidence as E
 from ..operators import ledger as L
 from ..operators import retrieval as H
 from ..operators import review as R
-from .catalog import _SQL_TRIAGE, SQL_CHUNKS, SQL_FACTS, SQL_LEDGER, _mail, doc_facts, letters, part_ledger, query
+from .catalog import _SQL_STATE, _SQL_TRIAGE, SQL_CHUNKS, SQL_FACTS, SQL_LEDGER, _mail, doc_facts, letters, part_ledger, query
 
 # A word with a letter outside ASCII becomes Z, a word that no lower-cased text holds: RE2 knows word edges in ASCII only.
 _FOREIGN = r"[\p{L}\p{N}\p{M}_]*[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2AF}\x{370}-\x{1FFF}][\p{L}\p{N}\p{M}_]*"
@@ -47,7 +47,15 @@ def fuzzy_entailment(t):
     return got.select("document_id", "field", "rank", "e.result", "e.confidence")
 
 
-@query(None)
+# Items merged so far, as collapsed snippets and ranks (0: none); each step marks the first item that holds, or is held by, the next candidate, or appends it.
+_SQL_STEP = """m{n} as (select document_id, field, found, case when len(found) < {n} then items when hit > 0 then list_transform(items, lambda x, i: case when i = hit then {{'s': x.s, 'r': {n}}} else x end) else list_append(items, {{'s': found[{n}], 'r': {n}}}) end as items
+ from (select *, coalesce(list_position(list_transform(items, lambda x: contains(x.s, found[{n}]) or contains(found[{n}], x.s)), true), 0) as hit from m{p}))"""
+_COLLAPSED = "trim(lower(regexp_replace({}, '\\s+', ' ', 'g')))"
+
+
+@query(f"""{_SQL_STATE}, fd as (select document_id, field, list({_COLLAPSED.format("text")} order by rank) as found from rk where rank <= 3 group by all),
+m0 as (select document_id, field, found, [{{'s': {_COLLAPSED.format("string_split(d.text, chr(10))[1]")}, 'r': 0}}] as items from fd join documents d on d.doc_id = document_id), {", ".join(_SQL_STEP.format(n=n, p=n - 1) for n in (1, 2, 3))}
+select document_id, field, len(items)::int as n, array_to_string(list_transform(items, lambda x: case when x.r = 0 then '-' else x.r::varchar end), ',') as ranks from m3""")
 def evidence_merge(t):
     """The first line of each document as its facts' evidence, merged with what retrieval finds."""
     item = lambda snippet, relevance, rank: F.struct(F.lit("s").alias("source_id"), snippet.alias("snippet"), relevance.cast("double").alias("relevance"), rank.cast("int").alias("rank"))
@@ -56,7 +64,7 @@ def evidence_merge(t):
     docs = t("documents").select(F.col("doc_id").alias("document_id"), F.split("text", "\n")[0].alias("first"))
     none = F.lit(None)
     rows = found.join(docs, "document_id").withColumn("all", H.merge_evidence(F.array(item(F.col("first"), none, none)), F.transform("f", lambda x: item(x["text"], x["relevance"], x["rank"]))))
-    return rows.select("document_id", "field", F.size("all").alias("n"), F.transform("all", lambda x: x["rank"]).alias("ranks"))
+    return rows.select("document_id", "field", F.size("all").alias("n"), F.array_join(F.transform("all", lambda x: x["rank"].cast("string")), ",", "-").alias("ranks"))
 
 
 # Evidence made of the lines of documents, with attributes by position, the same in both engines.
