@@ -10,6 +10,7 @@ from ..operators import envelope as E
 from ..operators import review as R
 from ..operators import store as S
 from ..operators import viewfocus as W
+from ..operators.evidence import chunk_lines
 from .casework import _SQL_ENV, envelopes
 from .catalog import _SQL_QUEUE, query, queue
 
@@ -153,3 +154,13 @@ def literature_pending(t):
 def attachment_file(t):
     files = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("filename"), F.when(F.col("lang") == "en", "text/plain").alias("content_type"), F.encode("text", "utf-8").alias("bytes"))
     return S.attachment_bytes(files, 5).select("filename", "content_type", F.md5("bytes").alias("bytes_md5"))
+
+
+@query(None)
+def grounded_cases(t):
+    """Two cases of each document as an article: its first and its last line as products, found again in its lines. A small table's test states the rows wanted."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    case = lambda n, at: F.struct(F.lit(n).alias("case_no"), F.lit(f"Patient {n}").alias("identifier"), F.try_element_at(lines, F.lit(at)).alias("suspect_product"))
+    cases = t("documents").select(F.col("doc_id").alias("article_id"), F.inline(F.array(case(1, 1), case(2, -1))))
+    chunks = chunk_lines(t("documents")).withColumns({"source_type": F.lit("pdf_text"), "page": (F.floor(F.col("pos") / 40) + 1).cast("int"), "has_box": F.col("pos") % 2 == 1, "char_start": F.lit(None).cast("int"), "char_end": F.lit(None).cast("int"), "is_table": F.lit(False)})
+    return C.ground_cases(C.literature_facts(cases, ("suspect_product",)), chunks)
