@@ -108,6 +108,20 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector asks; a seventh of the labels are the next class's first."""
+    from .negatives import hard_negatives
+
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, moved)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -128,6 +142,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_min_max_near_dedup,
         op9_weighted_fingerprints,
         op10_page_text,
+        op12_hard_negatives,
+        op13_whitening,
         pipeline,
     )
 }
@@ -191,4 +207,12 @@ l(h, p, says) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block')
 d as (select host, path, max_by(l.h || l.p, length(l.h || l.p)) as rule, max_by(says, length(l.h || l.p)) as says
   from (select distinct host, path from h), l where (host = l.h or ends_with(host, '.' || l.h)) and starts_with(path, l.p) group by host, path)
 select page_id, host, path, rule, coalesce(says, 'allow') as verdict from h left join d using (host, path)""",
+    "op12_hard_negatives": """
+with v as (select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end) as label, list_transform(embedding, lambda c: floor(256 * c::double)) as x
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.x, b.x)::bigint as score from v as a join v as b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, s.vec_id))::int as rank, s.vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, s.vec_id) <= 10""",
 }
