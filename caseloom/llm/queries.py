@@ -108,6 +108,12 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .causal import Causal, score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"), Causal(tokenizer_path()), F.crc32(F.col("id").cast("string")) % 7 == 2)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth vector asks; a seventh of the labels are the next class's first."""
     from .negatives import hard_negatives
@@ -142,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_min_max_near_dedup,
         op9_weighted_fingerprints,
         op10_page_text,
+        op11_language_model,
         op12_hard_negatives,
         op13_whitening,
         pipeline,
