@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.text import collapse, is_unstated
 from . import ledger as L
 from .evidence import entails
+from .retrieval import batches, entails_fuzzy
 
 KEY = ["envelope_id", "fact_id"]
 # Fields whose absence a reviewer must know of, by category.
@@ -34,12 +35,12 @@ def distinct_evidence(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     return placed.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_fact")
 
 
-def judge_candidates(facts: DataFrame, evidence: DataFrame, keep: int = 2, answers: DataFrame | None = None, cascade: bool = True) -> DataFrame:
+def judge_candidates(facts: DataFrame, evidence: DataFrame, keep: int = 2, answers: DataFrame | None = None, cascade: bool = True, fuzzy: bool = False) -> DataFrame:
     """evidence with result, confidence and rule.
 
     In this order: evidence of an unstated fact and empty snippets support nothing; of copies in a fact the first counts; after ``keep``
     others the rest is left out; what remains is judged by the answers given for it (envelope_id, fact_id, evidence_id, result, confidence),
-    else by the deterministic cascade, or, without ``cascade``, stays unverified.
+    else by the deterministic cascade, whose end is likeness of strings if ``fuzzy``, or, without ``cascade``, stays unverified.
     """
     rows = evidence.join(facts.select(*KEY, "value", "status"), KEY)
     absent = (F.col("status") == "NOT_STATED") | is_unstated(F.col("value"))
@@ -51,7 +52,9 @@ def judge_candidates(facts: DataFrame, evidence: DataFrame, keep: int = 2, answe
     rows = rows.withColumn("rule", F.when(F.col("print").isNotNull() & copy, "duplicate_candidate_pruned").otherwise(F.col("rule")))
     kept = F.row_number().over(Window.partitionBy(*KEY, F.col("rule").isNull()).orderBy("pos"))
     rows = rows.withColumn("rule", F.when(F.col("rule").isNull() & (kept > keep), "excess_candidate_budget").otherwise(F.col("rule")))
-    judged = entails(F.col("value"), F.col("snippet")) if cascade else F.struct(F.lit("INSUFFICIENT").alias("result"), F.lit(0.0).alias("confidence"))
+    # rows that a guard took, or an answer judges, carry no strings to the likeness
+    asks = F.when(F.col("rule").isNull(), F.col("snippet"))
+    judged = (entails_fuzzy(F.col("value"), asks) if fuzzy else entails(F.col("value"), F.col("snippet"))) if cascade else F.struct(F.lit("INSUFFICIENT").alias("result"), F.lit(0.0).alias("confidence"))
     open_ = F.col("rule").isNull()
     if answers is not None:
         value = F.col("_c").try_cast("double")
@@ -72,11 +75,28 @@ def fact_states(facts: DataFrame, judged: DataFrame) -> DataFrame:
     return facts.join(states, KEY, "left").select(*facts.columns, F.coalesce("state", F.lit("INSUFFICIENT")).alias("state"), zero("n_evidence"), zero("n_supports"))
 
 
-def verify_envelope(facts: DataFrame, evidence: DataFrame, keep: int = 2, answers: DataFrame | None = None, cascade: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts with state, evidence with result, metrics by envelope) for all facts of ledger and payloads, each once."""
+def verification_batches(facts: DataFrame, judged: DataFrame, most_items: int = 30, most_chars: int = 25_000) -> DataFrame:
+    """(envelope_id, fact_id, evidence_id, pos, batch, chars): the candidates that no guard took, in the order of facts and evidence, in bounded batches of each envelope."""
+    placed = judged.filter("rule = 'deterministic'").select(*KEY, "evidence_id", F.col("pos").alias("_place"), F.coalesce("snippet", F.lit("")).alias("snippet"))
+    tasks = placed.join(facts.select(*KEY, "origin", "pos", "field", "value").hint("merge"), KEY)
+    tasks = tasks.select("envelope_id", F.struct("origin", "pos", "fact_id", "_place", "evidence_id").alias("pos"), "evidence_id", "fact_id", "field", "value", "snippet")
+    return batches(tasks, "envelope_id", most_items, most_chars).select(*KEY, "evidence_id", F.col("pos._place").alias("pos"), "batch", "chars")
+
+
+def verify_envelope(facts: DataFrame, evidence: DataFrame, keep: int = 2, answers: DataFrame | None = None, cascade: bool = True, fuzzy: bool = False, batched: bool = False, most_items: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts with state, evidence with result, metrics by envelope) for all facts of ledger and payloads, each once.
+
+    batched: metrics have n_batches, of at most ``most_items`` candidates each, and the evidence its batch.
+    """
     facts = distinct_facts(facts)
-    judged = judge_candidates(facts, evidence, keep, answers, cascade)
+    judged = judge_candidates(facts, evidence, keep, answers, cascade, fuzzy)
+    if batched:
+        judged = judged.checkpoint()  # read by the batches, the states and the metrics
+        dealt = verification_batches(facts, judged, most_items)
+        judged = judged.join(dealt.drop("chars").hint("merge"), [*KEY, "evidence_id", "pos"], "left")
     counts = judged.groupBy("envelope_id").agg(F.countDistinct("print").alias("n_prints"), F.count("*").alias("n_before"), F.count_if(F.col("rule") == "deterministic").alias("n_after"))
+    if batched:
+        counts = counts.join(judged.groupBy("envelope_id").agg(F.countDistinct("batch").alias("n_batches")), "envelope_id")
     metrics = facts.groupBy("envelope_id").agg(F.count("*").alias("n_facts")).join(counts, "envelope_id", "left").na.fill(0)
     return fact_states(facts, judged), judged, metrics
 

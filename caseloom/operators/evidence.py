@@ -8,9 +8,6 @@ from pyspark.sql.window import Window
 
 from ..functions.text import collapse, is_unstated, key
 
-TOKEN = r"(?U)\b[^\W\d_]{2,}\b"
-BUCKETS = 128
-
 # Phrases that negate, and the separators that a looser containment test leaves out.
 NEGATIONS = ("no adverse event", "denies", "no signs of", "without reaction", "no defect observed", "negative for", "absent", "ruled out", "no known")
 SEPARATORS = r"[,.\s\-_/()]"
@@ -30,23 +27,6 @@ def chunk_offsets(docs: DataFrame, key_column: str = "doc_id", text: str = "text
     return placed.filter(F.trim("text") != "").withColumn("char_end", F.col("char_start") + F.length("text"))
 
 
-def bucket_of(gram: Column, buckets: int = BUCKETS) -> Column:
-    """md5 of a gram modulo a power of two up to 256, from its last two digits."""
-    digits, h = F.lit("0123456789abcdef"), F.md5(gram)
-    digit = lambda i: F.instr(digits, F.substring(h, i, 1)) - 1
-    return (digit(31) * 16 + digit(32)) % buckets
-
-
-def gram_rows(chunks: DataFrame, by: list[str]) -> DataFrame:
-    """Weighted hash buckets of words (2) and neighbouring words (3), the integer form of a hashed embedding."""
-    words = chunks.select(*by, F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)).alias("w"))
-    both = words.select(*by, F.explode(F.arrays_zip(F.col("w").alias("g"), F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 1)).alias("next"))).alias("x"))
-    gram = lambda g, k: F.struct(g.alias("g"), F.lit(k).alias("k"))
-    pair = F.when(F.col("x.next").isNotNull(), F.concat_ws(" ", "x.g", "x.next"))
-    grams = both.select(*by, F.inline(F.array(gram(F.col("x.g"), 2), gram(pair, 3)))).filter("g is not null")
-    return grams.groupBy(*by, bucket_of(F.col("g")).alias("bucket")).agg(F.sum("k").alias("weight"))
-
-
 def tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9._\-]{2,}"), F.lit(0)))
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.fuzzy import fuzzy_score
 from ..functions.text import collapse, is_unstated, key
-from .evidence import bucket_of, entails, fused
+from .evidence import entails, fused
 
 # Words that carry nothing in a value, words that carry nothing in a field's name, prefixes of structured fields, units.
 STOPWORDS = ("the", "a", "an", "and", "or", "in", "on", "at", "to", "for", "with", "is", "was", "are", "were", "of", "by", "as", "from", "it", "this", "patient", "level", "levels", "test", "tests", "value", "values")
@@ -54,6 +59,14 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("_t", F.lower("text")).withColumn("_held", tokens(F.col("_t")))
 
 
+def _base(f: Callable[[str], Column], c: Callable[[str], Column]) -> Column:
+    """The value in the text, its normal form in it, or the share of its words there."""
+    whole = F.when((F.length(f("_v")) >= 3) & c("_t").contains(f("_v")), 0.9).otherwise(0.0)
+    normal = F.when((F.length(f("_norm")) >= 2) & c("_t").contains(f("_norm")), 0.8).otherwise(0.0)
+    share = F.when(F.size(f("_own")) > 0, F.size(F.array_intersect(f("_own"), c("_held"))) / F.size(f("_own")) * 0.75).otherwise(0.0)
+    return F.greatest(whole, normal, share)
+
+
 def with_lexical(pairs: DataFrame, out: str = "lexical") -> DataFrame:
     """pairs of fact (value, field) and chunk (text) with their lexical score.
 
@@ -64,10 +77,7 @@ def with_lexical(pairs: DataFrame, out: str = "lexical") -> DataFrame:
     given = lambda name, default: F.col(name) if name in has else default
     rows = pairs if "_own" in has else fact_terms(pairs)
     rows = rows if "_held" in has else chunk_terms(rows)
-    whole = F.when((F.length("_v") >= 3) & F.col("_t").contains(F.col("_v")), 0.9).otherwise(0.0)
-    normal = F.when((F.length("_norm") >= 2) & F.col("_t").contains(F.col("_norm")), 0.8).otherwise(0.0)
-    share = F.when(F.size("_own") > 0, F.size(F.array_intersect("_own", "_held")) / F.size("_own") * 0.75).otherwise(0.0)
-    rows = rows.withColumn("_s", F.greatest(whole, normal, share))
+    rows = rows.withColumn("_s", _base(F.col, F.col))
     other = F.exists(given("others", _strings()), lambda o: (F.trim(o) != "") & F.col("_t").contains(key(o)))
     rows = rows.withColumn("_other", F.coalesce(F.col("_scope").isNotNull() & (F.col("_s") > 0) & other, F.lit(False)))
     mine = (F.length("_scope") >= 2) & F.col("_t").contains(F.col("_scope"))
@@ -81,32 +91,97 @@ def with_lexical(pairs: DataFrame, out: str = "lexical") -> DataFrame:
     return rows.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).drop("_v", "_t", "_own", "_held", "_norm", "_scope", "_words", "_structured", "_numbers", "_analytes", "_s", "_other")
 
 
-def grams(texts: DataFrame, by: list[str], text: str = "text") -> DataFrame:
-    """(by, bucket, weight): hashed words (2), their parts of 3 and 4 characters (1) and neighbouring words (3), summed."""
-    words = texts.select(*by, F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w+\b"), F.lit(0)).alias("w"))
-    empty = F.array().cast("array<struct<g:string,k:int>>")
-    each = lambda arr, k: F.transform(arr, lambda g: F.struct(g.alias("g"), F.lit(k).alias("k")))
-    parts = lambda w, n: F.when(F.length(w) >= n, each(F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n))), 1)).otherwise(empty)
-    # splitting words before the parts keeps the arrays of a long text small
-    word = words.select(*by, F.posexplode("w").alias("i", "g"), "w").select(*by, "g", F.try_element_at("w", (F.col("i") + 2).cast("int")).alias("next"))
-    pair = F.when(F.col("next").isNotNull(), F.array(F.struct(F.concat_ws("_", "g", "next").alias("g"), F.lit(3).alias("k")))).otherwise(empty)
-    rows = word.select(*by, F.explode(F.concat(each(F.array("g"), 2), parts(F.col("g"), 3), parts(F.col("g"), 4), pair)).alias("x"))
-    return rows.groupBy(*by, bucket_of(F.col("x.g"), DIMENSION).alias("bucket")).agg(F.sum("x.k").alias("weight"))
+#: Most words that one step of gram_vectors looks at, unless a single text has more.
+STEP = 500_000
 
 
-def cosines(facts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(document_id, field, pos, semantic): cosines of facts (document_id, field, text) and chunks (document_id, pos, text) of one document, where above 0.
+def hashed_vectors(words: pa.ListArray, parts: tuple[int, ...] = (3, 4), joint: str = "_") -> np.ndarray:
+    """A row of 128 sums for each list of words: words (2), their parts of so many characters (1) and neighbouring words (3), each in the bucket of its md5.
 
-    Hashed grams meet by (document, bucket) and are summed; no vector is built.
+    Each distinct word, and pair, is hashed once; a text adds up its words by their numbers.
     """
-    def weighted(texts: DataFrame, by: list[str], names: tuple[str, str]) -> DataFrame:
-        """(by, square sum, bucket, weight): at most 128 buckets each, hashed once."""
-        held = grams(texts, by).groupBy(*by).agg(F.sum(F.col("weight") * F.col("weight")).alias(names[0]), F.collect_list(F.struct("bucket", F.col("weight").alias(names[1]))).alias("v"))
-        return held.select(*by, names[0], F.inline("v"))
+    def bucket(gram: str) -> int:
+        return md5(gram.encode(), usedforsecurity=False).digest()[-1] % DIMENSION
+
+    def hashed(w: str) -> list[int]:
+        return [bucket(w)] * 2 + [bucket(w[i : i + n]) for n in parts for i in range(len(w) - n + 1)]
+
+    n, coded = len(words), pc.list_flatten(words).dictionary_encode()
+    spelt, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    owner = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+    each = [hashed(w) for w in spelt]
+    size = np.fromiter(map(len, each), np.int64, len(each))
+    flat = np.fromiter(chain.from_iterable(each), np.int64, int(size.sum()))
+    first, many = np.cumsum(size) - size, size[code]
+    of_word = np.repeat(first[code] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    got = np.bincount(np.repeat(owner, many) * DIMENSION + flat[of_word], minlength=n * DIMENSION)
+    near = np.flatnonzero(owner[1:] == owner[:-1])
+    pair, which = np.unique(code[near] * np.int64(max(1, len(spelt))) + code[near + 1], return_inverse=True)
+    of_pair = np.fromiter((bucket(spelt[p // len(spelt)] + joint + spelt[p % len(spelt)]) for p in pair.tolist()), np.int64, len(pair))
+    got += 3 * np.bincount(owner[near] * DIMENSION + of_pair[which], minlength=n * DIMENSION)
+    return got.astype(np.int32).reshape(n, DIMENSION)
+
+
+def gram_vectors(texts: DataFrame, text: Column, word: str = r"(?U)\b\w+\b", parts: tuple[int, ...] = (3, 4), joint: str = "_", out: str = "vector") -> DataFrame:
+    """texts with the integer form of a hashed embedding (see ``hashed_vectors``); nothing is shuffled."""
+    rows = texts.withColumn(out, F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0)))
+    at = rows.columns.index(out)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy())
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + STEP, "right")))
+                part = batch.slice(low, high - low)
+                columns = part.columns
+                flat = pa.array(hashed_vectors(part.column(at), parts, joint).ravel())
+                columns[at] = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * DIMENSION), flat)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                low = high
+
+    return rows.mapInArrow(add, StructType([*texts.schema.fields, StructField(out, ArrayType(IntegerType()))]))
+
+
+def embedder(encode: Callable[[list[str]], list[Sequence[float] | None]], most: int = 100) -> Callable[..., DataFrame]:
+    """What ``retrieve_hybrid`` takes as ``embed``, of a function from texts to their vectors.
+
+    ``most`` texts go to a call. Where a call fails, its halves are tried, down to single texts; a text that fails alone, or has no vector,
+    gets null, and its pairs are scored by words alone. So a broken text costs its own vector and nobody else's.
+    """
+
+    def attempt(texts: list[str]) -> list[Sequence[float] | None]:
+        try:
+            got = encode(texts)
+            if len(got) != len(texts):
+                raise ValueError(f"{len(got)} vectors of {len(texts)} texts")
+            return got
+        except Exception:  # noqa: BLE001  whatever an embedder raises
+            if len(texts) == 1:
+                return [None]
+            middle = len(texts) // 2
+            return attempt(texts[:middle]) + attempt(texts[middle:])
+
+    def embed(texts: DataFrame, text: Column, out: str = "vector") -> DataFrame:
+        rows = texts.withColumn(out, F.coalesce(text, F.lit("")))
+        at = rows.columns.index(out)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low in range(0, batch.num_rows, most):
+                    part = batch.slice(low, most)
+                    columns = part.columns
+                    columns[at] = pa.array(attempt(part.column(at).to_pylist()), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+        return rows.mapInArrow(add, StructType([*texts.schema.fields, StructField(out, ArrayType(DoubleType()))]))
+
+    return embed
 
-    one, two = weighted(facts, ["document_id", "field"], ("_n", "_a")), weighted(chunks, ["document_id", "pos"], ("_m", "_b"))
-    met = one.join(two.hint("merge"), ["document_id", "bucket"]).groupBy("document_id", "field", "pos", "_n", "_m").agg(F.sum(F.col("_a") * F.col("_b")).alias("_dot"))
-    return met.select("document_id", "field", "pos", (F.col("_dot") / F.sqrt(F.col("_n").cast("double") * F.col("_m"))).alias("semantic"))
+
+def _dot(a: Column, b: Column) -> Column:
+    """The sum of products, as double (exact for the integers of ``gram_vectors``); null if either is null."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda total, x: total + x)
 
 
 def strategy(lex: Column, sem: Column) -> Column:
@@ -116,24 +191,113 @@ def strategy(lex: Column, sem: Column) -> Column:
     )
 
 
-def retrieve_hybrid(facts: DataFrame, chunks: DataFrame, k: int = 3, least: float = 0.15) -> DataFrame:
+def _bounds(s: Column, sem: Column, scoped: Column, structured: Column, table: Column) -> tuple[Column, Column]:
+    """(least, most) relevance of a pair by its base score alone, whatever field, scope and row add or take.
+
+    Each branch of ``fused`` is taken at its own ends, and those that can apply decide.
+    """
+    zero = F.lit(0.0)
+    low = F.when(s <= 0, zero).otherwise(F.greatest(zero, s - F.when(scoped, 0.6).otherwise(0.0)))
+    high = F.when(s <= 0, zero).otherwise(F.least(F.lit(1.0), s + 0.1 + F.when(scoped, 0.4).otherwise(0.0)))
+    low = F.when(structured & ~table, F.least(low, F.lit(0.88))).otherwise(low)
+    high = F.when(structured & table, F.greatest(high, F.lit(0.98))).when(structured, F.least(high, F.lit(0.88))).otherwise(high)
+    sure, lead = high >= 0.7, (low < 0.3) & (sem >= 0.4)
+    middle = (high > 0) & (low < 0.7) & ((sem < 0.4) | (high >= 0.3))
+    never = F.lit(None).cast("double")
+    most = F.greatest(
+        F.when(sure, 0.65 * high + 0.35 * sem).otherwise(never), F.when(lead, 0.3 * F.least(high, F.lit(0.3)) + 0.7 * sem).otherwise(never),
+        F.when(middle, 0.5 * F.least(high, F.lit(0.7)) + 0.5 * sem).otherwise(never), F.when(low <= 0, F.when(sem >= 0.4, sem).otherwise(0.0)).otherwise(never),
+    )
+    least = F.least(
+        F.when(sure, 0.65 * F.greatest(low, F.lit(0.7)) + 0.35 * sem).otherwise(never), F.when(lead, 0.3 * low + 0.7 * sem).otherwise(never),
+        F.when(middle, 0.5 * low + 0.5 * sem).otherwise(never), F.when((low <= 0) & (sem < 0.4), 0.0).otherwise(never),
+    )
+    return F.when(sem <= 0, low).otherwise(least), F.when(sem <= 0, high).otherwise(most)
+
+
+#: Chunks, and facts, of a document that meet at once.
+BLOCK = 64
+#: What sums of doubles may differ by, so that bounds drop nothing that is level.
+SLACK = 1e-9
+
+
+def candidates(facts: DataFrame, chunks: DataFrame, k: int, least: float) -> DataFrame:
+    """Facts with the chunks of their document that can be among their k best, and the cosine of both.
+
+    facts have what ``fact_terms`` gives, chunks what ``chunk_terms`` gives, both a vector. Blocks of facts meet blocks of chunks; of a fact's pairs in
+    a block those stay whose most possible relevance reaches ``least`` and the kth of the least possible ones. A row is made for these only.
+    """
+    def packed(rows: DataFrame, block: Column, name: str) -> DataFrame:
+        inside = F.struct(*[F.col(c) for c in rows.columns if c != "document_id"], _dot(F.col("vector"), F.col("vector")).alias("_square"))
+        return rows.select("document_id", block.alias("_block"), inside.alias("_row")).groupBy("document_id", "_block").agg(F.collect_list("_row").alias(name)).drop("_block")
+
+    order = Window.partitionBy("document_id").orderBy("field", F.xxhash64("value"))
+    sides = packed(facts.withColumn("_n", F.row_number().over(order)), F.floor((F.col("_n") - 1) / BLOCK), "_facts"), packed(chunks, F.floor(F.col("pos") / BLOCK), "_chunks")
+    met = sides[1].join(sides[0].hint("merge"), "document_id")
+    flag = lambda c, name: F.coalesce(c[name], F.lit(False)) if name in chunks.columns else F.lit(False)
+    shown = [c for c in chunks.columns if c not in ("document_id", "vector") and c not in facts.columns]
+
+    def pairs(f: Column) -> Column:
+        cosine = lambda c: _dot(f["vector"], c["vector"]) / F.sqrt(f["_square"] * c["_square"])
+        sem = lambda c: F.coalesce(F.when((f["_square"] > 0) & (c["_square"] > 0), F.greatest(F.lit(0.0), cosine(c))), F.lit(0.0))
+        scored = F.transform("_chunks", lambda c: F.struct(c.alias("c"), sem(c).alias("sem"), _base(lambda n: f[n], lambda n: c[n]).alias("s"), flag(c, "is_table").alias("table")))
+        bound = lambda x: _bounds(x["s"], x["sem"], f["_scope"].isNotNull(), f["_structured"], x["table"])
+        bounded = F.transform(scored, lambda x: F.struct(x["c"].alias("c"), x["sem"].alias("sem"), bound(x)[0].alias("low"), bound(x)[1].alias("high")))
+        return F.struct(f.alias("f"), bounded.alias("of"))
+
+    def with_kth(x: Column) -> Column:
+        kth = F.coalesce(F.try_element_at(F.sort_array(F.transform(x["of"], lambda y: y["low"]), asc=False), F.lit(k)), F.lit(0.0))
+        return F.struct(x["f"].alias("f"), x["of"].alias("of"), F.greatest(kth, F.lit(least)).alias("enough"))
+
+    # steps refer to the one before by a lambda's variable, so that none is computed again for every element
+    steps = F.transform(F.transform("_facts", pairs), with_kth)
+    kept = F.transform(steps, lambda x: F.struct(x["f"].alias("f"), F.filter(x["of"], lambda y: y["high"] >= x["enough"] - SLACK).alias("of")))
+    rows = met.select("document_id", F.explode(kept).alias("x")).select("document_id", "x.f", F.explode("x.of").alias("y"))
+    own = [c for c in facts.columns if c not in ("document_id", "vector")]
+    return rows.select("document_id", *(F.col("f")[c].alias(c) for c in own), *(F.col("y.c")[c].alias(c) for c in shown), F.col("y.sem").alias("semantic"))
+
+
+def retrieve_hybrid(facts: DataFrame, chunks: DataFrame, k: int = 3, least: float = 0.15, by: tuple[str, ...] = ("field",), embed: Callable[[DataFrame, Column], DataFrame] = gram_vectors) -> DataFrame:
     """The k best chunks of each stated fact of a document, by words and vectors together.
 
-    facts: document_id, field, value and what with_lexical takes; chunks: document_id, pos, text, optionally is_table and
-    has_box. Ties: table rows for structured facts, then boxes, then the earlier chunk.
+    facts: document_id, field, value and what with_lexical takes, told apart by document_id and ``by``; chunks: document_id, pos, text, optionally is_table
+    and has_box. Ties: table rows for structured facts, then boxes, then the earlier chunk. embed(rows, text) adds a column "vector".
     """
     stated = facts.filter(~is_unstated(F.col("value"), "retrieve"))
-    near = cosines(stated.select("document_id", "field", F.concat_ws(" ", F.translate("field", "_", " "), "value").alias("text")), chunks.select("document_id", "pos", "text"))
-    pairs = with_lexical(fact_terms(stated).join(chunk_terms(chunks).hint("merge"), "document_id"))
-    scored = pairs.join(near.hint("merge"), ["document_id", "field", "pos"], "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
+    asked = embed(fact_terms(stated), F.concat_ws(" ", F.translate("field", "_", " "), "value"))
+    # words and vectors cost more than moving the texts, so a few large files are dealt out first
+    dealt = embed(chunk_terms(chunks.repartition("document_id")), F.col("text"))
+    scored = with_lexical(candidates(asked, dealt, k, least))
     lex, sem = F.col("lexical"), F.col("semantic")
     scored = scored.withColumn("relevance", fused(lex, sem)).withColumn("strategy", strategy(lex, sem)).filter(F.col("relevance") >= least)
     flag = lambda name: F.col(name) if name in chunks.columns else F.lit(False)
     table = flag("is_table") & F.col("field").rlike("^(" + "|".join(STRUCTURED) + ")")
-    best = Window.partitionBy("document_id", "field").orderBy(F.desc("relevance"), F.desc(table), F.desc(flag("has_box")), "pos")
+    best = Window.partitionBy("document_id", *by).orderBy(F.desc("relevance"), F.desc(table), F.desc(flag("has_box")), "pos")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def retrieve_for_envelopes(facts: DataFrame, evidence: DataFrame, chunks: DataFrame, k: int = 3, least: float = 0.15) -> DataFrame:
+    """Evidence of every fact of an envelope, ledger and payload sections alike, with what its document has for it.
+
+    facts: envelope_id, document_id, origin, pos, field, value, status; evidence: envelope_id, origin, pos, place, source_id, snippet; chunks as above. A
+    fact that several sections hold is looked for once. Facts that are not stated keep what they have. Gives the facts with ``items``: an array
+    of source_id, snippet, relevance, rank; rank is null for what retrieval didn't find.
+    """
+    key = ["document_id", "field", "value"]
+    asks = facts.filter(~F.col("status").eqNullSafe("NOT_STATED"))
+    got = retrieve_hybrid(asks.select(*key).distinct(), chunks, k, least, ("field", "value"))
+    item = lambda source, snippet, relevance, rank: F.struct(source.alias("source_id"), snippet.alias("snippet"), relevance.cast("double").alias("relevance"), rank.cast("int").alias("rank"))
+    found = got.withColumn("_item", item(F.col("document_id").cast("string"), F.col("text"), F.col("relevance"), F.col("rank")))
+    found = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "_item"))).alias("_found")).withColumn("_found", F.transform("_found", lambda x: x["_item"]))
+    fact, none = ["envelope_id", "origin", "pos"], F.lit(None)
+    had = evidence.groupBy(*fact).agg(F.array_sort(F.collect_list(F.struct("place", item(F.col("source_id"), F.col("snippet"), none, none).alias("_item")))).alias("_had"))
+    had = had.withColumn("_had", F.transform("_had", lambda x: x["_item"]))
+    rows = facts.join(had.hint("merge"), fact, "left").join(found.withColumn("_asks", F.lit(True)).hint("merge"), key, "left")
+    empty = F.array().cast("array<struct<source_id:string,snippet:string,relevance:double,rank:int>>")
+    new = F.when(F.col("status").eqNullSafe("NOT_STATED"), empty).otherwise(F.coalesce("_found", empty))
+    return rows.withColumn("items", merge_evidence(F.coalesce("_had", empty), new)).drop("_had", "_found", "_asks")
+
+
 def entails_fuzzy(value: Column, snippet: Column, negation_first: bool = False) -> Column:
     """entails, with likeness of strings for what it leaves open: 80 supports with its score, 60 with 0.78."""
     plain = entails(value, snippet, negation_first)
@@ -194,31 +358,84 @@ def merge_evidence(existing: Column, found: Column) -> Column:
     return F.aggregate(found, existing, add)
 
 
-def batches(tasks: DataFrame, by: str, most_items: int = 30, most_chars: int = 25_000, longest: int = 400) -> DataFrame:
+#: Rows of a group that are followed at once.
+RUN = 1024
+
+
+def numbered(rows: DataFrame, by: str, order: str, number: str = "n") -> DataFrame:
+    """rows with their number in their group, from 1, without a group in one task: ranges of (by, order) are counted and numbered each for itself.
+
+    Ranges are found by sampling, so the rows are written (checkpoint) with their range first.
+    """
+    ranged = rows.repartitionByRange(by, order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy(by, "_range").agg(F.count("*").alias("_many"))  # a row for each range that a group spans
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(by).alias("_by"), F.col("_range").alias("_at"), F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(by, "_range").orderBy(order))
+    joined = ranged.withColumn(number, own).join(sizes.hint("merge"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_at")))
+    return joined.withColumn(number, F.col(number) + F.col("_before")).drop("_range", "_by", "_at", "_before")
+
+
+def batches(tasks: DataFrame, by: str, most_items: int = 30, most_chars: int = 25_000, longest: int = 400, run: int = RUN) -> DataFrame:
     """tasks (by, pos, evidence_id, field, value, snippet) with their batch, from 1 in each group, and its running size.
 
-    A batch closes with the row that reaches either bound; a snippet counts once per batch. Groups of any size: rows come
-    to a task in order and only the open batch is held.
+    A batch closes with the row that reaches either bound; a snippet counts once per batch. So a batch that starts at a row ends within ``most_items``
+    rows: where the next one starts is known for every row from these alone. Rows are followed in runs of ``run`` rows: for each row of a run's head at
+    which a batch may start, where the first batch of the next run starts. Such maps compose, so the runs' true starts are found by doubling,
+    in as many rounds as the longest group's number of runs has binary digits. A group's rows are spread over its runs throughout.
     """
     snippet = F.length(F.trim("snippet"))
     sized = tasks.withColumn("_item", F.length("field") + F.length("value") + 80).withColumn("_once", F.when(snippet > longest, longest + 3).otherwise(snippet) + 80)
-    placed = sized.repartition(by).sortWithinPartitions(by, "pos")
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, batch, items, chars, seen = None, 0, 0, 0, set()
-        for part in parts:
-            number, size = [], []
-            for g, e, item, once in zip(part[by], part["evidence_id"], part["_item"], part["_once"], strict=True):
-                if group is None or g != group[0]:
-                    group, batch, items, chars, seen = (g,), 1, 0, 0, set()
-                elif items >= most_items or chars >= most_chars:
-                    batch, items, chars, seen = batch + 1, 0, 0, set()
-                chars += item + (0 if e in seen else once)
-                items += 1
-                seen.add(e)
-                number.append(batch)
-                size.append(chars)
-            yield part.drop(columns=["_item", "_once"]).assign(batch=number, chars=size)
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema.fields]
-    return placed.mapInPandas(fold, ", ".join([*fields, "batch int", "chars long"]))
+    placed = numbered(sized, by, "pos", "_n").withColumn("_run", F.floor((F.col("_n") - 1) / run)).checkpoint()
+    small = placed.select(by, "_n", "_run", F.struct("evidence_id", "_item", "_once").alias("_x"))
+
+    # the rows that follow a run's last ones stand at its end too, beyond its own
+    ahead = small.filter((F.col("_run") > 0) & ((F.col("_n") - 1) % run < most_items - 1)).withColumn("_run", F.col("_run") - 1)
+    rows = Window.partitionBy(by, "_run").orderBy("_n").rowsBetween(0, most_items - 1)
+    seen = F.collect_list("_x").over(rows)
+    zero = F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).alias("many"), F.array().cast(tasks.select(F.array("evidence_id")).schema[0].dataType).alias("seen"))
+
+    def step(s: Column, x: Column) -> Column:
+        added = s["chars"] + x["_item"] + F.when(F.array_contains(s["seen"], x["evidence_id"]), 0).otherwise(x["_once"])
+        more = F.struct(added.alias("chars"), (s["many"] + 1).alias("many"), F.array_append(s["seen"], x["evidence_id"]).alias("seen"))
+        return F.when(s["chars"] >= most_chars, s).otherwise(more)
+
+    # many: rows of the batch that starts here; the last batch of a group may end before a bound is reached
+    own = small.unionByName(ahead).withColumn("_size", F.aggregate(seen, zero, step, lambda s: s["many"])).filter(F.floor((F.col("_n") - 1) / run) == F.col("_run"))
+    runs = own.groupBy(by, "_run").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_size"))), lambda x: x["_size"]).alias("_sizes"))
+
+    # a run of n rows has n batches at most; each step takes one
+    def ends_at(start: Column) -> Column:
+        """Where the first batch beyond the run starts, less the run's length."""
+        at = F.aggregate("_sizes", start.cast("int"), lambda s, _: F.when(s >= F.size("_sizes"), s).otherwise(s + F.element_at("_sizes", s + 1)))
+        return F.greatest(at - F.size("_sizes"), F.lit(0))
+
+    def starts_from(start: Column) -> Column:
+        """Places of the run's rows at which batches start."""
+        known = F.array(start.cast("int"))
+        last = lambda s: F.element_at(s, -1)
+        every = F.aggregate("_sizes", known, lambda s, _: F.when(last(s) >= F.size("_sizes"), s).otherwise(F.array_append(s, last(s) + F.element_at("_sizes", last(s) + 1))))
+        return F.filter(every, lambda s: s < F.size("_sizes"))
+
+    leads = F.transform(F.sequence(F.lit(0), F.lit(most_items - 1)), ends_at)
+    maps = runs.withColumn("_to", leads).checkpoint()
+    deepest = maps.agg(F.max("_run")).first()[0] or 0
+    whole = maps.select(by, "_run", F.col("_to").alias("_path"))  # after round i: from 2^i runs back, or the group's first, to beyond this run
+    step_ = 1
+    while step_ <= deepest:
+        back = whole.select(F.col(by).alias("_by"), (F.col("_run") + step_).alias("_at"), F.col("_path").alias("_from"))
+        joined = whole.join(back.hint("merge"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_run") == F.col("_at")), "left")
+        composed = F.when(F.col("_from").isNull(), F.col("_path")).otherwise(F.transform("_from", lambda i: F.element_at("_path", i + 1)))
+        whole = joined.select(by, "_run", composed.alias("_path")).checkpoint()
+        step_ *= 2
+    entry = whole.select(F.col(by).alias("_by"), (F.col("_run") + 1).alias("_at"), F.col("_path")[0].alias("_entry"))
+    entered = maps.join(entry.hint("merge"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_run") == F.col("_at")), "left")
+    started = entered.withColumn("_starts", starts_from(F.coalesce("_entry", F.lit(0))))
+    before = Window.partitionBy(by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    started = started.select(F.col(by).alias("_by"), F.col("_run").alias("_at"), "_starts", F.coalesce(F.sum(F.size("_starts")).over(before), F.lit(0)).alias("_batches"))
+    joined = placed.join(started.hint("merge"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_run") == F.col("_at")))
+    place = ((F.col("_n") - 1) % run).cast("int")
+    numbered_ = joined.withColumn("batch", (F.col("_batches") + F.size(F.filter("_starts", lambda s: s <= place))).cast("int"))
+    again = F.row_number().over(Window.partitionBy(by, "batch", "evidence_id").orderBy("_n")) > 1
+    running = F.sum(F.col("_item") + F.when(F.col("_again"), 0).otherwise(F.col("_once"))).over(Window.partitionBy(by, "batch").orderBy("_n"))
+    return numbered_.withColumn("_again", again).withColumn("chars", running.cast("long")).select(*tasks.columns, "batch", "chars")

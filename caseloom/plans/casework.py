@@ -83,6 +83,15 @@ def verify_envelope(t):
     return facts.join(metrics, "envelope_id").select("envelope_id", "fact_id", "state", "n_supports", F.col("n_facts").cast("int"), "n_prints", "n_before", "n_after")
 
 
+@query(f"""with {_SQL_ENV}, o as (select e, fact_id, evidence_id, (row_number() over (partition by e order by pos, i) - 1) // 3 + 1 as batch from j where rule = 'deterministic')
+select e as envelope_id, batch::int as batch, count(*) as n_items, string_agg(evidence_id, ',' order by evidence_id) as evidence_ids, max(batch) over (partition by e)::bigint as n_batches from o group by e, batch""")
+def verify_batches(t):
+    """Verification in batches of three: their items, and each envelope's number of batches."""
+    facts, judged, metrics = E.verify_envelope(*envelopes(t), batched=True, most_items=3)
+    items = judged.filter("batch is not null").groupBy("envelope_id", "batch").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("evidence_id")), ",").alias("evidence_ids"))
+    return items.join(metrics.select("envelope_id", "n_batches").hint("merge"), "envelope_id")
+
+
 @query(f"""with {_SQL_ENV}, fs as (select f.*, s.state, s.n_supports from f join s using (e, fact_id)),
 x as (select e, 'fact' as object, pos::varchar as object_id, 'CONFIDENCE_OUT_OF_BOUNDS' as code, 'ERROR' as severity from f where confidence > 1 union all select e, 'fact', pos::varchar, 'FACT_NORMALIZED_VALUE_IMPLAUSIBLE', 'WARNING' from f where field = 'patient_age' and value::int > 130
  union all select e, 'evidence', evidence_id, 'EVIDENCE_DANGLING_SOURCE', 'ERROR' from j where source_id = 'other.pdf' union all select e, 'evidence', evidence_id, 'EVIDENCE_EMPTY_SNIPPET', 'ERROR' from j where trim(snippet) = ''

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import ingest as I
 from ..operators import ledger as L
+from ..operators import retrieval as H
 from ..operators import review as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,7 +268,9 @@ g as (select document_id, unnest(w) as g, 2 as k from w union all select documen
 b as (select document_id, ('0x' || substr(md5(g), 31, 2))::int & 127 as bucket, sum(k) as weight from g group by 1, 2)
 select document_id, sum(weight * weight)::bigint as norm2, count(*) as n_buckets from b group by 1""")
 def hash_embedding_norms(t):
-    return E.gram_rows(E.chunk_lines(t("documents")), ["document_id"]).groupBy("document_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("norm2"), F.count("*").alias("n_buckets"))
+    lines = H.gram_vectors(E.chunk_lines(t("documents")).select("document_id", "text"), F.col("text"), r"(?U)\b[^\W\d_]{2,}\b", (), " ")
+    buckets = lines.select("document_id", F.posexplode("vector").alias("bucket", "weight")).filter("weight > 0").groupBy("document_id", "bucket").agg(F.sum("weight").alias("weight"))
+    return buckets.groupBy("document_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("norm2"), F.count("*").alias("n_buckets"))
 
 
 @query("""with a as (select e.vec_id, e.embedding as x, f.embedding as y from embeddings e join embeddings f on f.vec_id = e.vec_id + 1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -41,6 +44,21 @@ def hybrid_topk(t):
     return hybrid(t).select("document_id", "field", F.col("rank").cast("long"), F.col("pos").cast("long"), "strategy", *((F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in ("lexical", "semantic", "relevance")))
 
 
+def _sometimes(texts: list[str]) -> list[list[float]]:
+    """An embedder that fails on texts of 10, 20, 30, … characters."""
+    if any(len(x) % 10 == 0 for x in texts):
+        raise ValueError("no vector")
+    return H.hashed_vectors(pa.array([re.findall(r"\w+", x.lower()) for x in texts], pa.list_(pa.string()))).tolist()
+
+
+@query(_SQL_HYBRID.replace("f_n.n::double * c_n.n::double", "case when length(replace(field, '_', ' ') || ' ' || sv) % 10 > 0 and length(t) % 10 > 0 then f_n.n::double * c_n.n::double end").replace("select st.document_id, field, pos, trim(lower(value)) as v,", "select st.document_id, field, pos, value as sv, trim(lower(value)) as v,").replace("x as (select document_id, field, pos, t,", "x as (select document_id, field, pos, t, sv,").replace("ly as (select document_id, field, pos,", "ly as (select document_id, field, pos, t, sv,")
+  + " select document_id, field, rank, pos, strategy, floor(relevance * 1e6::double + 0.5::double) / 1e6::double as relevance from hy where rank <= 3")
+def failing_embedder(t):
+    """Retrieval with an embedder that fails on a tenth of the texts: their pairs are scored by words alone."""
+    got = H.retrieve_hybrid(doc_facts(t), E.chunk_lines(t("documents")), embed=H.embedder(_sometimes))
+    return got.select("document_id", "field", F.col("rank").cast("long"), F.col("pos").cast("long"), "strategy", (F.floor(F.col("relevance") * 1e6 + 0.5) / 1e6).alias("relevance"))
+
+
 @query(None)
 def fuzzy_entailment(t):
     got = hybrid(t).withColumn("e", H.entails_fuzzy(F.col("value"), F.col("text")))
@@ -67,6 +85,42 @@ def evidence_merge(t):
     return rows.select("document_id", "field", F.size("all").alias("n"), F.array_join(F.transform("all", lambda x: x["rank"].cast("string")), ",", "-").alias("ranks"))
 
 
+# Facts of whole envelopes, one for each document: the ledger (origin 0) and a payload section (1) which repeats the title and holds more.
+_SQL_PARTS = """d1 as (select *, string_split(text, chr(10)) as ln from documents),
+pf as (select doc_id as envelope_id, u.* from d1, lateral (values (0, 0, 'title', ln[1], 'CONFIRMED'), (0, 1, 'source', source, case when doc_id % 4 = 0 then 'NOT_STATED' else 'UNCERTAIN' end), (0, 2, 'unstated', 'Not stated', 'CONFIRMED'),
+ (1, 0, 'title', ln[1], 'CONFIRMED'), (1, 1, 'lab_language', lang, 'CONFIRMED'), (1, 2, 'ending', ln[-1], case when doc_id % 3 = 0 then 'NOT_STATED' else 'CONFIRMED' end)) as u(origin, pos, field, value, status)),
+fa as (select distinct envelope_id as document_id, field, value from pf where status <> 'NOT_STATED')"""
+
+
+def envelope_parts(t):
+    """(facts, their evidence so far: the first line of each document for its title in the ledger and its ending in the payload)."""
+    d = t("documents").withColumn("ln", F.split("text", "\n"))
+    own, last = F.col("doc_id"), F.element_at("ln", -1)
+    row = lambda origin, pos, field, value, status: F.struct(F.lit(origin).alias("origin"), F.lit(pos).alias("pos"), F.lit(field).alias("field"), value.alias("value"), status.alias("status"))
+    sure = F.lit("CONFIRMED")
+    parts = [
+        row(0, 0, "title", F.col("ln")[0], sure), row(0, 1, "source", F.col("source"), F.when(own % 4 == 0, "NOT_STATED").otherwise("UNCERTAIN")), row(0, 2, "unstated", F.lit("Not stated"), sure),
+        row(1, 0, "title", F.col("ln")[0], sure), row(1, 1, "lab_language", F.col("lang"), sure), row(1, 2, "ending", last, F.when(own % 3 == 0, "NOT_STATED").otherwise(sure)),
+    ]
+    facts = d.select(own.alias("envelope_id"), own.alias("document_id"), F.inline(F.array(*parts)))
+    had = d.select(own.alias("envelope_id"), F.explode(F.array(F.struct(F.lit(0).alias("origin"), F.lit(0).alias("pos")), F.struct(F.lit(1).alias("origin"), F.lit(2).alias("pos")))).alias("of"), F.lit(0).alias("place"), own.cast("string").alias("source_id"), F.col("ln")[0].alias("snippet"))
+    return facts, had.select("envelope_id", "of.*", "place", "source_id", "snippet")
+
+
+_SQL_PART_HYBRID = _SQL_HYBRID.replace("document_id, field", "document_id, field, value").replace(SQL_FACTS, _SQL_PARTS)
+_SQL_PART_HYBRID = _SQL_PART_HYBRID.replace("least(1, s + case when s > 0 and contains(t, field[1:4]) then 0.1::double else 0 end)", "least(case when starts_with(field, 'lab_') then 0.88::double else 1 end, s + case when s > 0 and contains(t, replace(field, 'lab_', '')[1:4]) then 0.1::double else 0 end)")
+
+
+@query(f"""{_SQL_PART_HYBRID}, fd as (select document_id, field, value, list({_COLLAPSED.format("ch.text")} order by rank) as found from hy join ch using (document_id, pos) where rank <= 3 group by all),
+m0 as (select envelope_id, origin, pf.pos, pf.field, case when status = 'NOT_STATED' or found is null then []::varchar[] else found end as found, case when (origin, pf.pos) in ((0, 0), (1, 2)) then [{{'s': {_COLLAPSED.format("ln[1]")}, 'r': 0}}] else [] end as items
+ from pf join d1 on doc_id = envelope_id left join fd on fd.document_id = envelope_id and fd.field = pf.field and fd.value = pf.value), {", ".join(_SQL_STEP.format(n=n, p=n - 1).replace("document_id, field", "envelope_id, origin, pos, field") for n in (1, 2, 3))}
+select envelope_id, origin, pos, field, len(items)::int as n, array_to_string(list_transform(items, lambda x: case when x.r = 0 then '-' else x.r::varchar end), ',') as ranks from m3""")
+def envelope_retrieval(t):
+    facts, had = envelope_parts(t)
+    got = H.retrieve_for_envelopes(facts, had, E.chunk_lines(t("documents")))
+    return got.select("envelope_id", "origin", "pos", "field", F.size("items").alias("n"), F.array_join(F.transform("items", lambda x: F.coalesce(x["rank"].cast("string"), F.lit("-"))), ",").alias("ranks"))
+
+
 # Evidence made of the lines of documents, with attributes by position, the same in both engines.
 _SQL_EVIDENCE = f"""{SQL_CHUNKS}, ev as (select ch.document_id, pos, ch.text as snippet, string_split(d.text, chr(10))[1] as value, ['email', 'pdf', 'image', 'table_cell'][pos % 4 + 1] as source_type, ['SUPPORTS', 'CONTRADICTS', 'INSUFFICIENT', null][((ch.document_id + pos) % 4 + 1)::int] as result,
  (pos % 5)::double / 4 as confidence, (pos % 7)::double / 7 as relevance, case when pos % 2 = 1 then pos end as page, pos % 8 = 1 as has_box, case when pos % 3 = 0 then 0 end as char_start, case when pos % 3 = 0 then length(ch.text) end as char_end, case when pos % 5 = 2 then 'body' end as section
