@@ -49,6 +49,7 @@ class Mine:
     block: int = 4096  #: rows to a block
     group: int = 512  #: anchors to a group
     part: int = 64  #: blocks to a part
+    parts: int = 32  #: parts at least, unless there are fewer blocks
     depth: int = 24  #: rows that the first sorted access takes from each list; each later one goes four times as deep
 
 
@@ -227,12 +228,12 @@ def hard_negatives(table: DataFrame, anchor: Column, label: Column | None = None
     dims = lengths[0].dims
     same = rows.filter(F.size("x") == dims)
     count = lengths[0]["count"]
-    parts = -(-count // (how.block * how.part))
-
     tasks = max(1, -(-count // (4 * how.block)))
     none = F.array().cast("array<long>").alias("marks")
     ranged = same.select("label", "id", "row", "x", none).repartitionByRange(tasks, "label", F.xxhash64("row")).sortWithinPartitions("label")
     stored = written(_packed(ranged, dims, how.block, True), "blocks")
+    n_blocks = stored.count()
+    parts = min(n_blocks, max(how.parts, -(-n_blocks // how.part)))
     blocks = stored.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
 
     def asked(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -253,7 +254,8 @@ def hard_negatives(table: DataFrame, anchor: Column, label: Column | None = None
     filled = F.concat(F.array(F.size("all").cast("long")), F.col("all.score"), F.array_repeat(F.lit(0).cast("long"), F.lit(how.positives) - F.size("all"))).alias("marks")
     marked = anchors.join(scores.hint("merge"), F.col("row") == F.col("anchor")).select("label", "id", "row", "x", filled)
     groups, second = asked(marked)
-    far = groups.join(blocks.hint("merge"), on_part & (F.col("label") != F.col("g_label")))
+    # dealt out by number, as pairs are few and small but take long: they aren't to be coalesced by their bytes
+    far = groups.repartition(parts, "g_part").join(blocks.repartition(parts, "part").hint("merge"), on_part & (F.col("label") != F.col("g_label")))
     negatives = written(_best(_searched(far, dims, how, how.negatives, True), how.negatives).select("anchor", "mark", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score")), "negatives")
     forget(first, second, stored)
 
