@@ -1,41 +1,174 @@
-"""Mail files to message rows: one Spark job over the corpus, the standard library's parser for each file."""
+"""Mail as a Spark source: "mail" reads a folder of mail files, as a table or as a stream whose offset is the message number.
+
+    spark.dataSource.register(MailSource)
+    spark.read.format("mail").load(folder)
+    spark.readStream.format("mail").option("after", 120).load(folder)
+
+A message's number is the digits at the end of its file's name (``inbox_000121.eml``); a name without digits is number 0. Mailboxes number
+messages in rising order and never again, so a number is a high-water mark: everything up to it was taken. Options:
+
+- ``after``: numbers up to this one are left out (a table's mark; see ``mark``). So a stream whose checkpoint is lost goes on where its table ends.
+- ``most``: most files that a task reads (1,000).
+- ``per_batch``: most files that a micro-batch takes; the others wait for the next. All, if not given, as one that runs to the present end should.
+- ``glob``: names of files, ``*.eml`` if not given.
+
+The folder is any that pyarrow's file systems open (local, hdfs, s3, …). The driver lists names and sizes; mails are read and parsed in tasks, a
+file at a time. A file that can't be parsed gives a row with its number, its name and ``error``; one that is gone gives none.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from email import message_from_bytes, policy
+from email.errors import MessageError
+from fnmatch import fnmatch
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.text import sender_address, sender_name, strip_tags
 
-_MESSAGE = "filename string, message_id string, date string, sender_raw string, recipient string, subject string, plain string, html string, attachments array<struct<filename:string,content_type:string,size_bytes:long,bytes:binary>>"
+SCHEMA = (
+    "number long, filename string, message_id string, date string, sender_raw string, recipient string, subject string, plain string, html string, "
+    "attachments array<struct<filename:string,content_type:string,size_bytes:long,bytes:binary>>, error string"
+)
 
 
-def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for path, raw in zip(batch["path"], batch["content"], strict=True):
-            mail = message_from_bytes(bytes(raw), policy=policy.compat32)
-            plain, html, files = [], [], []
-            for part in mail.walk():
-                if part.is_multipart():
-                    continue
-                body = part.get_payload(decode=True) or b""
-                if name := part.get_filename():
-                    files.append({"filename": name, "content_type": part.get_content_type(), "size_bytes": len(body), "bytes": body})
-                elif part.get_content_type() in ("text/plain", "text/html"):
-                    text = body.decode(part.get_content_charset() or "utf-8", "replace")
-                    (plain if part.get_content_type() == "text/plain" else html).append(text)
-            rows.append((path.rsplit("/", 1)[-1], mail["Message-ID"], mail["Date"], mail["From"], mail["To"], mail["Subject"], "".join(plain), "".join(html), files))
-        yield pd.DataFrame(rows, columns=[x.split()[0] for x in _MESSAGE.split(", ")])
+def number_of(name: str) -> int:
+    digits = re.search(r"(\d+)\.[^.]*$", name)
+    return int(digits[1]) if digits else 0
 
 
-def read_mail(spark: SparkSession, folder: str) -> DataFrame:
-    """filename, message_id, date, sender, sender_email, recipient, subject, body_text, attachments of every *.eml file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(folder).select("path", "content")
-    mail = files.mapInPandas(_parsed, _MESSAGE)
+def parsed(name: str, raw: bytes) -> tuple:
+    """A mail's row: bodies of text parts joined, parts with a file name as attachments."""
+    empty = (number_of(name), name, None, None, None, None, None, "", "", [])
+    try:
+        mail = message_from_bytes(raw, policy=policy.compat32)
+        plain, html, files = [], [], []
+        for part in mail.walk():
+            if part.is_multipart():
+                continue
+            body = part.get_payload(decode=True) or b""
+            if given := part.get_filename():
+                files.append((given, part.get_content_type(), len(body), body))
+            elif part.get_content_type() in ("text/plain", "text/html"):
+                text = body.decode(part.get_content_charset() or "utf-8", "replace")
+                (plain if part.get_content_type() == "text/plain" else html).append(text)
+        heads = (None if mail[h] is None else str(mail[h]) for h in ("Message-ID", "Date", "From", "To", "Subject"))
+        return (number_of(name), name, *heads, "".join(plain), "".join(html), files, None)
+    except (MessageError, LookupError, ValueError) as e:
+        return (*empty, f"{type(e).__name__}: {e}"[:200])
+
+
+@dataclass
+class Files(InputPartition):
+    paths: list[str]
+
+
+class _Folder:
+    def __init__(self, options: dict):
+        self.path, self.glob = options["path"], options.get("glob", "*.eml")
+        self.after, self.most = int(options.get("after", -1)), int(options.get("most", 1000))
+        self.per_batch = int(options["per_batch"]) if "per_batch" in options else None
+
+    def open(self):
+        from pyarrow.fs import FileSystem, LocalFileSystem
+
+        return FileSystem.from_uri(self.path) if ":" in self.path.split("/")[0] else (LocalFileSystem(), self.path)
+
+    def files(self, after: int, upto: int | None = None) -> list[tuple[int, str]]:
+        """(number, path) of the files beyond a number, and up to one, in order."""
+        from pyarrow.fs import FileSelector, FileType
+
+        system, path = self.open()
+        found = [(number_of(x.base_name), x.path) for x in system.get_file_info(FileSelector(path, allow_not_found=True)) if x.type == FileType.File and fnmatch(x.base_name, self.glob)]
+        return sorted(x for x in found if x[0] > after and (upto is None or x[0] <= upto))
+
+    def partitions(self, files: list[tuple[int, str]]) -> list[InputPartition]:
+        paths = [p for _, p in files]
+        return [Files(paths[i : i + self.most]) for i in range(0, len(paths), self.most)] or [Files([])]
+
+    def rows(self, partition: Files) -> Iterator[tuple]:
+        system, _ = self.open()
+        for path in partition.paths:
+            try:
+                with system.open_input_stream(path) as file:
+                    raw = file.read()
+            except FileNotFoundError:
+                continue
+            yield parsed(path.rsplit("/", 1)[-1], raw)
+
+
+class _Table(DataSourceReader):
+    def __init__(self, options: dict):
+        self.folder = _Folder(options)
+
+    def partitions(self) -> list[InputPartition]:
+        return self.folder.partitions(self.folder.files(self.folder.after))
+
+    def read(self, partition: Files) -> Iterator[tuple]:
+        return self.folder.rows(partition)
+
+
+class _Stream(DataSourceStreamReader):
+    def __init__(self, options: dict):
+        self.folder, self.ahead = _Folder(options), None
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"number": self.folder.after}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        """The last number of the next ``per_batch`` files beyond the one that was given out last."""
+        at = self.folder.after if self.ahead is None else self.ahead
+        files = self.folder.files(at)[: self.folder.per_batch]
+        self.ahead = files[-1][0] if files else at
+        return {"number": self.ahead}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if self.ahead is None:  # a batch that is run again after a restart
+            self.ahead = end["number"]
+        return self.folder.partitions(self.folder.files(start["number"], end["number"]))
+
+    def commit(self, end: dict) -> None:
+        self.ahead = max(end["number"], -1 if self.ahead is None else self.ahead)
+
+    def read(self, partition: Files) -> Iterator[tuple]:
+        return self.folder.rows(partition)
+
+
+class MailSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "mail"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Table(self.options)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return _Stream(self.options)
+
+
+def messages(mail: DataFrame) -> DataFrame:
+    """Rows of the source as messages: names and addresses apart, the plain body or else the text of the HTML one, an id for each."""
     body = F.when(F.trim("plain") != "", F.col("plain")).otherwise(F.trim(strip_tags(F.col("html"))))
-    return mail.select("filename", "message_id", "date", sender_name(F.col("sender_raw")).alias("sender"), sender_address(F.col("sender_raw")).alias("sender_email"), "recipient", "subject", body.alias("body_text"), "attachments")
+    bare = F.nullif(F.regexp_replace(F.trim(F.coalesce("message_id", F.lit(""))), "[<>]", ""), F.lit(""))
+    key = F.coalesce(bare, F.concat(F.lit("IMAP-UID-"), F.col("number").cast("string")))
+    return mail.filter("error is null").select("number", "filename", key.alias("message_id"), "date", sender_name(F.col("sender_raw")).alias("sender"), sender_address(F.col("sender_raw")).alias("sender_email"), "recipient", "subject", body.alias("body_text"), "attachments")
+
+
+def read_mail(spark: SparkSession, folder: str) -> DataFrame:
+    """number, filename, message_id, date, sender, sender_email, recipient, subject, body_text, attachments of every *.eml file."""
+    spark.dataSource.register(MailSource)
+    return messages(spark.read.format("mail").load(folder))
+
+
+def mail_stream(spark: SparkSession, folder: str, after: int = -1, **options: int) -> DataFrame:
+    """The same as a stream, beyond a number."""
+    spark.dataSource.register(MailSource)
+    return messages(spark.readStream.format("mail").options(after=after, **options).load(folder))
