@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -92,7 +94,52 @@ def _score(values: pd.Series, snippets: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _with(of: Callable[..., Column], *values: Column) -> Column:
+    """of(values), with each value computed once for a row, however often ``of`` uses it."""
+    held = F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values)))
+    return F.transform(F.array(held), lambda r: of(*(r[f"v{i}"] for i in range(len(values)))))[0]
+
+
+def shared_characters(a: Column, b: Column) -> Column:
+    """How many characters two strings have in common, each as often as it stands in both: no subsequence of both is longer."""
+    times = lambda s, ch: F.length(s) - F.length(F.replace(s, ch, F.lit("")))
+    each = F.filter(F.array_distinct(F.split(a, "")), lambda ch: ch != "")
+    # both strings stand beside each character: a lambda that uses another's variable can't be in what a Python function takes
+    beside = F.arrays_zip(each.alias("ch"), F.array_repeat(a, F.size(each)).alias("a"), F.array_repeat(b, F.size(each)).alias("b"))
+    return F.aggregate(beside, F.lit(0), lambda total, x: total + F.least(times(x["a"], x["ch"]), times(x["b"], x["ch"])))
+
+
+def most_likeness(a: Column, b: Column) -> Column:
+    """The likeness of two lower-cased, trimmed strings is this at most.
+
+    A window of w characters of the longer string, w up to the n of the shorter one, has c = min(w, shared) characters in common with it at most, and
+    200 c / (n + w) is largest at w = shared. Sets of words: the words in both are known, and so are the lengths of what is compared.
+    """
+    words = lambda s: F.filter(F.array_distinct(F.split(s, r"(?U)[\s\x1c-\x1f\x85]+")), lambda w: w != "")
+    long = lambda s: F.length(s).cast("double")
+
+    def part(a: Column, b: Column, shared: Column) -> Column:
+        n = F.least(F.length(a), F.length(b))
+        return F.when(n == 0, F.when(F.length(a) == F.length(b), 100.0).otherwise(0.0)).otherwise(200.0 * shared / (n + shared))
+
+    def sets(x: Column, y: Column) -> Column:
+        every = (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
+        with_both = lambda both, s: F.when(long(both) > 0, 200.0 * long(both) / (long(both) + long(s))).otherwise(0.0)
+        one = lambda both, p, q: F.greatest(200.0 * shared_characters(p, q) / (long(p) + long(q)), with_both(both, p), with_both(both, q))
+        joined = _with(one, F.array_join(F.array_intersect(x, y), " "), F.array_join(x, " "), F.array_join(y, " "))
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(every & F.arrays_overlap(x, y), 100.0).otherwise(joined)
+
+    whole = lambda a, b: F.greatest(_with(part, a, b, shared_characters(a, b)), _with(sets, words(a), words(b)))
+    return _with(whole, a, b)
+
+
+#: Below this no likeness counts; scores are whole numbers, so half a point less may be rounded up to it.
+LEAST = 60
+
+
 def fuzzy_score(value: Column, snippet: Column, open_: Column) -> Column:
-    """0 to 100 (under 60: at most 59, as nothing hangs on it) where ``open_`` holds, else -1: only those rows carry strings to Python."""
-    low = lambda c: F.when(open_, F.lower(F.trim(c)))
-    return _score(low(value), low(snippet))
+    """0 to 100 (under 60: at most 59, as nothing hangs on it) for open rows whose likeness can reach 60, else -1: only those carry strings to Python."""
+    low = lambda c: F.lower(F.trim(c))
+    asks = F.coalesce(F.when(open_, most_likeness(low(value), low(snippet))) >= LEAST - 0.5, F.lit(False))
+    sent = lambda c: F.when(asks, low(c))
+    return _score(sent(value), sent(snippet))

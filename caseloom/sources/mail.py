@@ -23,8 +23,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from email import message_from_bytes, policy
 from email.errors import MessageError
+from email.mime.multipart import MIMEMultipart
+from email.mime.text import MIMEText
 from fnmatch import fnmatch
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -154,6 +157,41 @@ class MailSource(DataSource):
         return _Stream(self.options)
 
 
+def composed(number: int, message_id: str | None, sender: str | None, subject: str | None, text: str | None, attachment: str | None, content: str | None) -> bytes:
+    """A mail file's bytes: the text, and a text file beside it if ``attachment`` names one."""
+    body = MIMEText(text or "", "plain", "utf-8")
+    mail = body
+    if attachment is not None:
+        mail = MIMEMultipart()
+        mail.attach(body)
+        file = MIMEText(content or "", "plain", "utf-8")
+        file.add_header("Content-Disposition", "attachment", filename=attachment)
+        mail.attach(file)
+    for name, value in (("From", sender), ("Subject", subject), ("Message-ID", message_id and f"<{message_id}>")):
+        if value is not None:
+            mail[name] = value
+    return mail.as_bytes()
+
+
+def write_mail(mails: DataFrame, folder: str) -> None:
+    """Write mails (number, message_id, sender, subject, text, attachment, content) as files of a mailbox, in tasks.
+
+    A file is named by its number, so one that is written again is the same file.
+    """
+    names = ["number", "message_id", "sender", "subject", "text", "attachment", "content"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = _Folder({"path": folder}).open()
+        system.create_dir(path, recursive=True)
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with system.open_output_stream(f"{path}/inbox_{row[0]:012d}.eml") as file:
+                    file.write(composed(*row))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    mails.select(*names).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def messages(mail: DataFrame) -> DataFrame:
     """Rows of the source as messages: names and addresses apart, the plain body or else the text of the HTML one, an id for each."""
     body = F.when(F.trim("plain") != "", F.col("plain")).otherwise(F.trim(strip_tags(F.col("html"))))

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -87,6 +88,45 @@ def test_fuzzy_against_brute_force():
     assert fuzzy.token_set("broken seal", "the seal was broken") == 100 and fuzzy.token_set("", "a") == 0
 
 
+def test_no_likeness_is_over_its_bound(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcé1 ") for _ in range(rng.randrange(1, 6)))
+    pairs = [(" ".join(word() for _ in range(rng.randrange(4))).strip(), " ".join(word() for _ in range(rng.randrange(7))).strip()) for _ in range(800)]
+    pairs += [("", ""), ("", "a"), ("a b", "b a"), ("12", "abc"), ("a\u00a0b", "b\u2003a"), ("a\x1cb", "b c"), ("x" * 30, "y" * 500 + "x")]
+    rows = spark.createDataFrame(pairs, "a string, b string").withColumn("most", fuzzy.most_likeness(F.col("a"), F.col("b")))
+    sent = rows.withColumn("score", fuzzy.fuzzy_score(F.col("a"), F.col("b"), F.lit(True))).collect()
+    for r in sent:
+        true = max(fuzzy.token_set(r.a, r.b), fuzzy.partial(r.a, r.b))
+        assert true <= r.most + 1e-9, (r.a, r.b, true, r.most)
+        assert (round(true) if round(true) >= 60 else None) == (r.score if r.score >= 60 else None)
+    assert sum(r.most < 59.5 for r in sent) > 20
+
+
+def test_fuzzy_entailment_of_all_documents(spark):
+    """The whole query on the smallest tables against the plain rule in Python."""
+    import __spark_entry__
+    from caseloom.operators.evidence import NEGATIONS, SEPARATORS
+    from caseloom.plans.grounding import hybrid
+
+    folder = "/root/testdata/sf0.001"
+    got = {(r.document_id, r.field, r["rank"]): (r.result, round(r.confidence, 6)) for r in __spark_entry__.queries()["fuzzy_entailment"](spark, folder).collect()}
+    loose = lambda x: re.sub(SEPARATORS, "", x)
+    rows = hybrid(lambda name: spark.read.parquet(f"{folder}/{name}.parquet")).select("document_id", "field", "rank", "value", "text").collect()
+    assert len(rows) == len(got) > 500
+    for r in rows:
+        v, s = r.value.strip().lower(), r.text.strip().lower()
+        if v in s:
+            want = ("SUPPORTS", 0.99)
+        elif len(loose(v)) >= 3 and loose(v) in loose(s):
+            want = ("SUPPORTS", 0.98)
+        elif any(x in s for x in NEGATIONS):
+            want = ("CONTRADICTS", 0.92)
+        else:
+            score = round(max(fuzzy.token_set(v, s), fuzzy.partial(v, s)))
+            want = ("SUPPORTS", score / 100) if score >= 80 else ("SUPPORTS", 0.78) if score >= 60 else ("INSUFFICIENT", 0.35)
+        assert got[r.document_id, r.field, r["rank"]] == want, (r.value, r.text)
+
+
 def test_fuzzy_entailment_only_opens_what_is_left(spark):
     rows = [("necrolysis toxic", "toxic necrolysys was seen"), ("fever", "denies all"), ("fever", "sunny day"), ("n/a", "x"), ("fever", None)]
     got = [tuple(r.e) for r in spark.createDataFrame(rows, "v string, s string").select(H.entails_fuzzy(F.col("v"), F.col("s")).alias("e")).collect()]
