@@ -67,6 +67,7 @@ class Encoder:
     def _forget(self) -> None:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.at, self.count, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64), 0
+        self.text, self.text_at = np.zeros(1 << 16, np.uint8), np.zeros(1, np.int64)  # bytes of the chunks that are known
 
     def _learn(self, chunks: list[bytes]) -> np.ndarray:
         """Places of the ids of new chunks."""
@@ -80,12 +81,32 @@ class Encoder:
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32)))
         self.flat[self.used : self.used + len(ids)] = ids
+        size, had = np.fromiter(map(len, chunks), np.int64, len(chunks)), int(self.text_at[-1])
+        whole = int(size.sum())
+        if had + whole > len(self.text):
+            self.text = np.concatenate((self.text[:had], np.zeros(had + 2 * whole, np.uint8)))
+        self.text[had : had + whole] = np.frombuffer(b"".join(chunks), np.uint8)
+        self.text_at = np.concatenate((self.text_at, had + np.cumsum(size)))
         first = len(self.count)
         self.at = np.concatenate((self.at, self.used + np.cumsum(count)))
         self.count = np.concatenate((self.count, count))
         self.used += len(ids)
         return np.arange(first, first + len(got))
 
+    def _other(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The chunks that aren't, byte for byte, those at their places: hashes meet by chance, or by design."""
+        size, known = ends - starts, self.text_at[place]
+        same = size == self.text_at[place + 1] - known
+        at = np.flatnonzero(same)
+        n = size[at]
+        last = np.cumsum(n)
+        kind = np.int32 if len(data) + len(self.text) < 1 << 31 else np.int64
+        step = np.arange(int(last[-1]) if len(last) else 0, dtype=kind)
+        here = np.take(data, np.repeat((starts[at] - last + n).astype(kind), n) + step)
+        differs = np.flatnonzero(here != np.take(self.text, np.repeat((known[at] - last + n).astype(kind), n) + step))
+        same[at[np.searchsorted(last, differs, "right")]] = False
+        return np.flatnonzero(~same)
+
     def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, and where each text's end."""
         n = len(data)
@@ -121,6 +142,10 @@ class Encoder:
             self.place = np.insert(self.place, at[new], places)
             self.keys = np.insert(self.keys, at[new], keys[new])
         place = self.place[np.searchsorted(self.keys, keys)][inverse]
+        if len(other := self._other(data, starts, ends, place)):
+            raw = [data[starts[i] : ends[i]].tobytes() for i in other]
+            distinct = {c: i for i, c in enumerate(dict.fromkeys(raw))}
+            place[other] = self._learn(list(distinct))[[distinct[c] for c in raw]]
         count = self.count[place]
         total = np.cumsum(count)
         ids = self.flat[np.repeat(self.at[place] - (total - count), count) + np.arange(total[-1])]

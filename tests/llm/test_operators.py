@@ -88,6 +88,24 @@ def test_best_fit_leaves_no_mergeable_bins():
     assert all(places[i] + sizes[i] <= 1024 for i in range(500))
 
 
+def test_chunks_whose_hashes_meet_keep_their_own_ids():
+    """Thue-Morse words of a length collide under every polynomial hash modulo 2^64."""
+    from tokenizers import Tokenizer
+
+    from caseloom.llm._bpe import Encoder
+
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    texts = [a, b, f"x {a} y {b}", f"{b} {a}", "plain text", ""]
+    tokenizer, encoder = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path())
+    for _ in range(2):  # the second time all chunks are known
+        got = []
+        for _, _, ids, ends in encoder.encode(pa.array(texts)):
+            got += [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert got == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_encoder_gives_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
