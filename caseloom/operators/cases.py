@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import view as V
 from ..functions.jsonfix import parsed
 from .ledger import STATUSES
+from .retrieval import best_evidence, citation_level
 
 UNSTATED = "Not stated"
 # Fields of each section in order, with the key of an answer that each is read from and what normalises it.
@@ -64,7 +65,7 @@ def lab_fact_of(labs: DataFrame, facts: DataFrame) -> DataFrame:
     """Lab rows (envelope_id, pos, test_name) with the first lab fact (envelope_id, pos, field) whose name holds the test's."""
     pairs = labs.join(facts.filter(F.col("field").startswith("lab_test_")).select("envelope_id", F.col("pos").alias("fact_pos"), "field").hint("merge"), "envelope_id")
     first = pairs.filter(F.col("field").contains(F.lower("test_name"))).groupBy("envelope_id", "pos").agg(F.min_by("field", "fact_pos").alias("lab_field"))
-    return labs.join(first, ["envelope_id", "pos"], "left")
+    return labs.join(first.hint("merge"), ["envelope_id", "pos"], "left")
 
 
 def drug_facts(cases: DataFrame, key_column: str = "envelope_id") -> DataFrame:
@@ -96,6 +97,52 @@ def flat_record(facts: DataFrame, fields: list[str]) -> DataFrame:
     return out
 
 
+def narrative() -> Column:
+    """The first that is stated of clinical_narrative, document_summary and reviewer_summary."""
+    return F.coalesce(*(F.when(~F.col(c).isin(UNSTATED, ""), F.col(c)) for c in ("clinical_narrative", "document_summary", "reviewer_summary")), F.lit(UNSTATED))
+
+
+def section_citations(evidence: DataFrame) -> DataFrame:
+    """(envelope_id, part, citation): of all evidence of a section's facts the best, whatever value it bears out.
+
+    evidence: envelope_id, part (patient, reporter, product, reaction, pqc, mi), and what ``best_evidence`` takes but for a value.
+    """
+    best = best_evidence(evidence.withColumn("value", F.lit("")), ["envelope_id", "part"])
+    level = citation_level(F.col("source_type"), F.col("page"), F.col("has_box"), F.col("char_start"), F.col("char_end"))
+    return best.select("envelope_id", "part", F.struct("pos", "source_type", "page", "snippet", level.alias("level")).alias("citation"))
+
+
+def flat_case(facts: DataFrame, fields: list[str], cases: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``flat_record`` with the case's narrative and, by section, its citation (a map; sections without evidence are not in it)."""
+    cited = section_citations(evidence).groupBy("envelope_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("part", "citation")))).alias("section_citations"))
+    told = cases.select("envelope_id", narrative().alias("narrative"))
+    return told.join(flat_record(facts, fields).hint("merge"), "envelope_id", "left").join(cited.hint("merge"), "envelope_id", "left")
+
+
+def ground_questions(questions: DataFrame, citations: DataFrame) -> DataFrame:
+    """questions (case_id, n from 0, question, body) with where they stand: tier, snippet, pos, char_start, char_end.
+
+    Tiers: "key", a citation under the question's number; "snippet", the first citation whose snippet holds the question, or its first 20 characters if it is
+    longer; "body", the question's place in the body, without its mark or with it, over 5 characters; else null. citations: case_id, pos, name, snippet. A
+    case's citations come to each of its questions as one array, so no pairs are made.
+    """
+    held = citations.filter(F.coalesce("snippet", F.lit("")) != "").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "snippet"))).alias("_all"))
+    rows = questions.join(held.hint("merge"), "case_id", "left").withColumn("_all", F.coalesce("_all", F.array().cast("array<struct<pos:int,name:string,snippet:string>>")))
+    number = (F.col("n") + 1).cast("string")
+    named = lambda name: F.get(F.filter("_all", lambda c: c["name"] == F.concat(F.lit(name), number)), F.lit(0))
+    key = F.coalesce(*map(named, ("question_", "mi_question_", "question-", "mi_question-")))
+    q = F.lower(F.trim("question"))
+    said = F.get(F.filter("_all", lambda c: F.lower(c["snippet"]).contains(F.col("_q")) | ((F.length("_q") > 20) & F.lower(c["snippet"]).contains(F.left("_q", F.lit(20))))), F.lit(0))
+    bare, whole = F.trim(F.regexp_replace("question", r"^(\(?[0-9]+[.)]|-|\*|•)\s*", "")), F.trim("question")
+    place = lambda s: F.when(F.length(s) > 5, F.nullif(F.position(F.lower(s), F.lower("body")), F.lit(0)) - 1)
+    rows = rows.withColumn("_q", q).withColumn("_key", key).withColumn("_said", said).withColumn("_at", F.coalesce(place(bare), place(whole))).withColumn("_n", F.when(place(bare).isNotNull(), F.length(bare)).otherwise(F.length(whole)))
+    cited, in_body = F.coalesce("_key", "_said"), F.col("_at").isNotNull()
+    tier = F.when(F.col("_key").isNotNull(), "key").when(F.col("_said").isNotNull(), "snippet").when(in_body, "body")
+    own = F.when(tier == "body", F.col("_at"))
+    snippet = F.coalesce(cited["snippet"], F.when(in_body, F.substring("body", F.col("_at") + 1, F.col("_n"))))
+    return rows.select(*questions.columns, tier.alias("tier"), snippet.alias("snippet"), cited["pos"].alias("pos"), own.alias("char_start"), (own + F.col("_n")).alias("char_end"))
+
+
 def fallback_envelope(failed: DataFrame) -> DataFrame:
     """What stands for an extraction that failed (envelope_id, source_filename, primary_category, confidence, is_icsr, error): to be reviewed, with nothing stated."""
     summary = F.concat(F.lit("[EXTRACTION WARNING] Automated structured extraction could not produce validated facts: "), F.col("error"), F.lit(". Primary triage classification is "), F.col("primary_category"), F.lit(" (confidence "), F.format_number("confidence", 2), F.lit("). Manual clinical review of source communication ("), F.col("source_filename"), F.lit(") is required."))
@@ -110,7 +157,7 @@ def upsert_facts(shown: DataFrame, raw: DataFrame) -> DataFrame:
     score = F.when(~missing & (status != "NOT_STATED"), F.coalesce("r.confidence", F.when(status == "UNCERTAIN", 0.65).otherwise(0.95)))
     level = F.when(F.col("r.confidence").isNull(), F.when(status == "UNCERTAIN", "LOW").otherwise("HIGH")).when(F.col("r.confidence") >= 0.85, "HIGH").when(F.col("r.confidence") >= 0.6, "MEDIUM").otherwise("LOW")
     rows = rows.withColumns({"_missing": missing, "_status": status, "score": score, "level": F.when(score.isNotNull(), level)})
-    both = shown.withColumn("_k", T.snake(F.col("field"))).join(rows, ["envelope_id", "_k"], "full_outer")
+    both = shown.withColumn("_k", T.snake(F.col("field"))).join(rows.hint("merge"), ["envelope_id", "_k"], "full_outer")
     new = F.col("r").isNotNull()
     return both.select("envelope_id", F.coalesce("field", "r.field").alias("field"), F.when(new, F.when(F.col("_missing"), UNSTATED).otherwise(F.col("r.value"))).otherwise(F.col("value")).alias("value"), F.when(new, F.col("_status")).otherwise(F.col("status")).alias("status"), "score", "level")
 
@@ -148,7 +195,7 @@ def resolve_citations(facts: DataFrame, citations: DataFrame) -> DataFrame:
     """
     found = alias_rows(facts).join(citations.withColumnRenamed("snippet", "_s").hint("merge"), ["envelope_id", "name"]).groupBy("envelope_id", "field").agg(F.min_by("_s", "rank").alias("direct"))
     own = citations.select("envelope_id", F.col("name").alias("section"), F.col("snippet").alias("whole"))
-    rows = facts.join(found, ["envelope_id", "field"], "left").join(own.hint("merge"), ["envelope_id", "section"], "left")
+    rows = facts.join(found.hint("merge"), ["envelope_id", "field"], "left").join(own.hint("merge"), ["envelope_id", "section"], "left")
     none = F.col("status") == "NOT_STATED"
     snippet = F.when(none, F.when(V.supports_absence(F.col("direct"), F.col("field"), F.col("label")), F.col("direct"))).otherwise(F.coalesce("direct", F.when(V.supports_value(F.col("whole"), F.col("value")), F.col("whole"))))
     return rows.select(*facts.columns, snippet.alias("snippet"))
@@ -164,7 +211,7 @@ def attachment_summaries(attachments: DataFrame) -> DataFrame:
 def with_metadata(attachments: DataFrame, metadata: DataFrame) -> DataFrame:
     """Attachments (message, filename, language, flavor) with what extraction found by file name, whatever its case; blanks overwrite nothing."""
     found = metadata.groupBy("message", F.lower("filename").alias("_f")).agg(*(F.max(F.nullif(F.trim(c), F.lit(""))).alias(f"_{c}") for c in ("language", "flavor")))
-    rows = attachments.withColumn("_f", F.lower("filename")).join(found, ["message", "_f"], "left")
+    rows = attachments.withColumn("_f", F.lower("filename")).join(found.hint("merge"), ["message", "_f"], "left")
     return rows.withColumns({c: F.coalesce(f"_{c}", c) for c in ("language", "flavor")}).drop("_f", "_language", "_flavor")
 
 
@@ -172,7 +219,7 @@ def with_reports(messages: DataFrame, icsr: DataFrame, pqc: DataFrame, mi: DataF
     """Messages (id) with their reports (message and one struct column each), null where there is none."""
     for name, report in (("icsr", icsr), ("pqc", pqc), ("mi", mi)):
         report = report.select(F.col("message").alias("id"), F.struct(*(c for c in report.columns if c != "message")).alias(name))
-        messages = messages.join(report, "id", "left")
+        messages = messages.join(report.hint("merge"), "id", "left")
     return messages
 
 
@@ -213,7 +260,7 @@ def route(cases: DataFrame, reports: dict[str, DataFrame]) -> dict[str, DataFram
     out = {}
     for name, stored in reports.items():
         wanted = F.array_contains("categories", name) & (F.col("clinical") if name == "icsr" else F.lit(True))
-        out[name] = stored.join(cases.select("message"), "message", "left_anti").unionByName(cases.filter(wanted).select("message", "body"))
+        out[name] = stored.join(cases.select("message").hint("merge"), "message", "left_anti").unionByName(cases.filter(wanted).select("message", "body"))
     return out
 
 
@@ -226,7 +273,7 @@ def triage_answers(messages: DataFrame, truth: DataFrame) -> DataFrame:
     get = lambda path, kind: F.try_variant_get("_a", path, kind)
     named = F.nullif(get("$.primary_category", "string"), F.lit(""))
     rows = rows.withColumn("_named", named).withColumn("_conf", T.calibrated(F.coalesce(get("$.labels[0].confidence", "double"), F.lit(0.9)))).withColumn("_multi", F.coalesce(get("$.is_multi_label", "boolean"), F.lit(False)))
-    rows = rows.join(truth.select("message_id", F.col("primary").alias("_truth")), "message_id", "left").withColumn("_rule", T.triage(F.col("text")))
+    rows = rows.join(truth.select("message_id", F.col("primary").alias("_truth")).hint("merge"), "message_id", "left").withColumn("_rule", T.triage(F.col("text")))
     by = F.when(F.col("_named").isNotNull(), "model").when(F.col("_truth").isNotNull(), "truth").otherwise("keywords")
     pick = lambda model, truth, rule: F.when(F.col("_named").isNotNull(), model).when(F.col("_truth").isNotNull(), truth).otherwise(rule)
     return rows.select("message_id", by.alias("by"), pick(F.col("_named"), F.col("_truth"), F.col("_rule.primary")).alias("primary"), pick(F.col("_conf"), F.lit(0.98), F.col("_rule.confidence")).alias("confidence"), pick(F.col("_multi"), F.lit(False), F.col("_rule.multi")).alias("multi"))
@@ -234,12 +281,12 @@ def triage_answers(messages: DataFrame, truth: DataFrame) -> DataFrame:
 
 def processed(messages: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages (message_id, status) after processing, and an audit row each: TRIAGED with a result (message_id, primary, confidence, error null), else FAILED."""
-    rows = messages.filter(F.col("status").isin("RECEIVED", "PROCESSING")).select("message_id").join(results, "message_id", "left")
+    rows = messages.filter(F.col("status").isin("RECEIVED", "PROCESSING")).select("message_id").join(results.hint("merge"), "message_id", "left")
     ok = F.col("primary").isNotNull() & F.col("error").isNull()
     rows = rows.withColumn("_new", F.when(ok, "TRIAGED").otherwise("FAILED"))
     note = F.when(ok, F.concat(F.lit("Classified as "), F.col("primary"), F.lit(" with confidence "), F.col("confidence").cast("string"))).otherwise(F.concat(F.lit("Error: "), F.coalesce("error", F.lit("Empty extraction result from AI service."))))
     audit = rows.select("message_id", F.lit("SYSTEM_AI_ENGINE").alias("reviewer_username"), F.when(ok, "AI_TRIAGE_COMPLETED").otherwise("AI_PROCESSING_FAILED").alias("action"), F.lit("STATUS").alias("target_field"), F.lit("PROCESSING").alias("original_value"), F.col("_new").alias("new_value"), note.alias("reviewer_comments"))
-    done = messages.join(rows.select("message_id", "_new"), "message_id", "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
+    done = messages.join(rows.select("message_id", "_new").hint("merge"), "message_id", "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
     return done, audit
 
 
@@ -275,7 +322,7 @@ def screen(articles: DataFrame, truth: DataFrame) -> DataFrame:
     """
     base = lambda c: F.lower(F.regexp_extract(c, r"([^/\\]*)$", 1))
     known = truth.groupBy(base(F.col("pdf_file")).alias("_base")).agg(F.first(F.struct("reportable", "multicase", "n_cases", "exclusion_reason")).alias("_t"))
-    rows = parsed(articles, "answer", "_a").withColumn("_base", base(F.col("filename"))).join(known, "_base", "left")
+    rows = parsed(articles, "answer", "_a").withColumn("_base", base(F.col("filename"))).join(known.hint("merge"), "_base", "left")
     get = lambda path, kind: F.try_variant_get("_a", path, kind)
     answered, true = F.col("_a").isNotNull(), F.col("_t").isNotNull()
     word = reportable(F.col("text"))
@@ -295,7 +342,7 @@ def literature_facts(cases: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """
     known = F.when(~F.coalesce("identifier", F.lit("")).isin("", UNSTATED), F.col("identifier"))
     scopes = cases.groupBy("article_id").agg(F.collect_set(known).alias("_all"))
-    rows = cases.join(scopes, "article_id").withColumn("scope", F.coalesce(known, F.lit("")))
+    rows = cases.join(scopes.hint("merge"), "article_id").withColumn("scope", F.coalesce(known, F.lit("")))
     facts = F.filter(F.array(*(F.struct(F.lit(f).alias("name"), F.col(f).cast("string").alias("value")) for f in fields)), lambda x: ~F.coalesce(x["value"], F.lit("")).isin("", UNSTATED))
     rows = rows.select(F.col("article_id").alias("document_id"), "case_no", "scope", F.array_except("_all", F.array("scope")).alias("others"), F.inline(facts))
     return rows.withColumn("field", F.concat(F.col("name"), F.lit("#"), F.col("case_no").cast("string")))
@@ -307,7 +354,7 @@ def review_articles(articles: DataFrame, actions: DataFrame, at: Column) -> tupl
     actions: article_id, accept (boolean), reviewer, is_reportable, exclusion_reason; what is given counts only where a review doesn't accept.
     """
     a = actions.select("article_id", "accept", "reviewer", F.col("is_reportable").alias("_r"), F.col("exclusion_reason").alias("_x"))
-    rows = articles.join(a, "article_id", "left")
+    rows = articles.join(a.hint("merge"), "article_id", "left")
     done, over = F.col("accept").isNotNull(), F.col("accept") == F.lit(False)
     new = rows.withColumns({
         "_old": F.concat_ws("|", F.col("review_status"), F.col("is_reportable").cast("string")), "review_status": F.when(over, "OVERRIDDEN").when(done, "ACCEPTED").otherwise(F.col("review_status")),
@@ -349,7 +396,7 @@ def report_rows(facts: DataFrame, cases: DataFrame, expected: tuple[str, ...] =
     cases: envelope_id, not_relevant; such a case shows its exclusion alone.
     """
     order = V.one_of(F.col("section"), {k: str(v) for k, v in REPORT.items()}, F.lit(None).cast("string")).cast("int")
-    rows = facts.join(cases.select("envelope_id", "not_relevant"), "envelope_id").withColumn("section_order", order).filter("section_order is not null")
+    rows = facts.join(cases.select("envelope_id", "not_relevant").hint("merge"), "envelope_id").withColumn("section_order", order).filter("section_order is not null")
     stated = ~T.is_unstated(F.col("value"), "view")
     rows = rows.filter((F.col("not_relevant") & (F.col("section_order") <= 2)) | (~F.col("not_relevant") & (F.col("section_order") > 2))).filter(stated | F.col("field").isin(*expected))
     return rows.select("envelope_id", "section_order", "section", "pos", V.field_label(F.col("field")).alias("label"), F.when(stated, F.col("value")).otherwise(UNSTATED).alias("value"))

@@ -62,7 +62,7 @@ def page_chunks(elements: DataFrame, shortest: int = 3) -> DataFrame:
     block = blocks.filter(long_)
     kind = lambda scanned: _chunk("scanned_page" if scanned else "pdf_text", p(F.lit(":b"), no), where(F.lit(", Block "), no), text, F.concat(F.lit("Block "), no), F.col("page"), has_box=boxed)
     out = [block.filter(F.col("scanned") == s).select(*keys(0), *kind(s)) for s in (False, True)]
-    plain = elements.filter("kind = 'text'").join(blocks.select("document_id", "page").distinct(), ["document_id", "page"], "left_anti")
+    plain = elements.filter("kind = 'text'").join(blocks.select("document_id", "page").distinct().hint("merge"), ["document_id", "page"], "left_anti")
     plain = paragraphs(plain, ["document_id", "filename", "page"]).filter(F.length("text") >= shortest)
     n = (F.col("pos") + 1).cast("string")
     out.append(plain.select(*keys(0, "pos"), *_chunk("pdf_text", p(F.lit(":para"), n), where(F.lit(", Paragraph "), n), F.col("text"), F.concat(F.lit("Paragraph "), n), F.col("page"))))

@@ -15,6 +15,7 @@ from ..functions.text import collapse, is_unstated
 from . import ledger as L
 from .evidence import entails
 from .retrieval import batches, entails_fuzzy
+from .shared import written
 
 KEY = ["envelope_id", "fact_id"]
 # Fields whose absence a reviewer must know of, by category.
@@ -30,7 +31,7 @@ def distinct_facts(facts: DataFrame) -> DataFrame:
 
 def distinct_evidence(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row for each evidence id of an envelope: its first, in the order of the facts."""
-    placed = evidence.join(facts.select(*KEY, F.col("pos").alias("_fact")), KEY)
+    placed = evidence.join(facts.select(*KEY, F.col("pos").alias("_fact")).hint("merge"), KEY)
     first = Window.partitionBy("envelope_id", "evidence_id").orderBy("_fact", "pos")
     return placed.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_fact")
 
@@ -42,7 +43,7 @@ def judge_candidates(facts: DataFrame, evidence: DataFrame, keep: int = 2, answe
     others the rest is left out; what remains is judged by the answers given for it (envelope_id, fact_id, evidence_id, result, confidence),
     else by the deterministic cascade, whose end is likeness of strings if ``fuzzy``, or, without ``cascade``, stays unverified.
     """
-    rows = evidence.join(facts.select(*KEY, "value", "status"), KEY)
+    rows = evidence.join(facts.select(*KEY, "value", "status").hint("merge"), KEY)
     absent = (F.col("status") == "NOT_STATED") | is_unstated(F.col("value"))
     empty = is_unstated(F.col("snippet"))
     rows = rows.withColumn("rule", F.when(absent, "not_stated_guard").when(empty, "empty_evidence_guard"))
@@ -60,7 +61,7 @@ def judge_candidates(facts: DataFrame, evidence: DataFrame, keep: int = 2, answe
         value = F.col("_c").try_cast("double")
         sure = F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
         first = answers.groupBy(*KEY, "evidence_id").agg(F.min_by(F.struct(F.col("result").alias("_r"), F.col("confidence").cast("string").alias("_c")), "pos").alias("_a"))
-        rows = rows.join(first, [*KEY, "evidence_id"], "left").select("*", "_a.*").drop("_a")
+        rows = rows.join(first.hint("merge"), [*KEY, "evidence_id"], "left").select("*", "_a.*").drop("_a")
         known = F.when(F.col("_r").isin(*L.RESULTS), F.col("_r")).otherwise("INSUFFICIENT")
         judged = F.when(F.col("_r").isNotNull(), F.struct(known.alias("result"), sure.alias("confidence"))).otherwise(judged)
     rows = rows.withColumn("_j", F.when(open_, judged).otherwise(F.struct(F.lit("INSUFFICIENT").alias("result"), F.lit(0.0).alias("confidence"))))
@@ -72,7 +73,7 @@ def fact_states(facts: DataFrame, judged: DataFrame) -> DataFrame:
     against, support = F.bool_or(F.col("result") == "CONTRADICTS"), F.bool_or(F.col("result") == "SUPPORTS")
     states = judged.groupBy(*KEY).agg(F.when(against, "CONTRADICTS").when(support, "SUPPORTS").otherwise("INSUFFICIENT").alias("state"), F.count("*").alias("n_evidence"), F.count_if(F.col("result") == "SUPPORTS").alias("n_supports"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return facts.join(states, KEY, "left").select(*facts.columns, F.coalesce("state", F.lit("INSUFFICIENT")).alias("state"), zero("n_evidence"), zero("n_supports"))
+    return facts.join(states.hint("merge"), KEY, "left").select(*facts.columns, F.coalesce("state", F.lit("INSUFFICIENT")).alias("state"), zero("n_evidence"), zero("n_supports"))
 
 
 def verification_batches(facts: DataFrame, judged: DataFrame, most_items: int = 30, most_chars: int = 25_000) -> DataFrame:
@@ -89,15 +90,15 @@ def verify_envelope(facts: DataFrame, evidence: DataFrame, keep: int = 2, answer
     batched: metrics have n_batches, of at most ``most_items`` candidates each, and the evidence its batch.
     """
     facts = distinct_facts(facts)
-    judged = judge_candidates(facts, evidence, keep, answers, cascade, fuzzy)
+    # read by states, metrics, batches and whoever validates: judged once
+    judged = written(judge_candidates(facts, evidence, keep, answers, cascade, fuzzy), "judged")
     if batched:
-        judged = judged.checkpoint()  # read by the batches, the states and the metrics
         dealt = verification_batches(facts, judged, most_items)
         judged = judged.join(dealt.drop("chars").hint("merge"), [*KEY, "evidence_id", "pos"], "left")
     counts = judged.groupBy("envelope_id").agg(F.countDistinct("print").alias("n_prints"), F.count("*").alias("n_before"), F.count_if(F.col("rule") == "deterministic").alias("n_after"))
     if batched:
-        counts = counts.join(judged.groupBy("envelope_id").agg(F.countDistinct("batch").alias("n_batches")), "envelope_id")
-    metrics = facts.groupBy("envelope_id").agg(F.count("*").alias("n_facts")).join(counts, "envelope_id", "left").na.fill(0)
+        counts = counts.join(judged.groupBy("envelope_id").agg(F.countDistinct("batch").alias("n_batches")).hint("merge"), "envelope_id")
+    metrics = facts.groupBy("envelope_id").agg(F.count("*").alias("n_facts")).join(counts.hint("merge"), "envelope_id", "left").na.fill(0)
     return fact_states(facts, judged), judged, metrics
 
 
@@ -121,7 +122,7 @@ def validate_envelope(envelopes: DataFrame, facts: DataFrame, evidence: DataFram
     the facts before reconciliation, and the reconciliation's own.
     """
     sized = envelopes.select("envelope_id", known_sources(envelopes).alias("known_sources"), "page_count")
-    held = evidence.join(sized, "envelope_id").withColumn("method", F.col("rule"))
+    held = evidence.join(sized.hint("merge"), "envelope_id").withColumn("method", F.col("rule"))
     wide = lambda df, kind, object_: df.select("envelope_id", F.lit(kind).alias("object"), object_.cast("string").alias("object_id"), "code", "severity")
     none = F.lit(None).cast("string")
     missing = envelopes.filter(F.trim(F.coalesce(F.col("envelope_id").cast("string"), F.lit(""))) == "").select("envelope_id", F.lit("ENVELOPE_MISSING_ID").alias("code"), F.lit("ERROR").alias("severity"))
@@ -141,8 +142,8 @@ def validate_envelope(envelopes: DataFrame, facts: DataFrame, evidence: DataFram
         issues = issues.unionByName(more)
     n = lambda s: F.count_if(F.col("severity") == s)
     counts = issues.groupBy("envelope_id").agg(n("ERROR").alias("n_error"), n("WARNING").alias("n_warning"), n("INFO").alias("n_info"))
-    checked = facts.groupBy("envelope_id").agg(F.count("*").alias("facts_checked")).join(evidence.groupBy("envelope_id").agg(F.count("*").alias("evidence_checked")), "envelope_id", "left")
-    report = sized.select("envelope_id", F.size("known_sources").cast("long").alias("sources_checked")).join(checked, "envelope_id", "left").join(counts, "envelope_id", "left").na.fill(0)
+    checked = facts.groupBy("envelope_id").agg(F.count("*").alias("facts_checked")).join(evidence.groupBy("envelope_id").agg(F.count("*").alias("evidence_checked")).hint("merge"), "envelope_id", "left")
+    report = sized.select("envelope_id", F.size("known_sources").cast("long").alias("sources_checked")).join(checked.hint("merge"), "envelope_id", "left").join(counts.hint("merge"), "envelope_id", "left").na.fill(0)
     gate = F.when(F.col("n_error") > 0, BLOCKED).when(F.col("n_warning") > 0, WARNED).otherwise(READY)
     report = report.withColumn("gate", gate).withColumn("passed", F.col("n_error") == 0)
     s = lambda c: F.col(c).cast("string")
@@ -178,7 +179,7 @@ def focus(cases: DataFrame, facts: DataFrame, evidence: DataFrame, warnings: Dat
     own = evidence.groupBy(*KEY).agg(F.min_by("evidence_id", "pos").alias("evidence_id"), F.bool_or(scanned).alias("scanned"))
     has = lambda *words: F.exists("categories", lambda c: F.lower(c).rlike("|".join(words)))
     cases = cases.select("*", has("icsr", "safety report").alias("_icsr"), has("pqc", "quality complaint").alias("_pqc"), has("mi", "medical info").alias("_mi"), F.lower("primary_category").contains("not relevant").alias("_none"))
-    rows = facts.join(cases.select("envelope_id", "_icsr", "_pqc", "_mi", "_none"), "envelope_id").join(own, KEY, "left")
+    rows = facts.join(cases.select("envelope_id", "_icsr", "_pqc", "_mi", "_none").hint("merge"), "envelope_id").join(own.hint("merge"), KEY, "left")
     critical = (F.col("_icsr") & F.col("field").isin(*CRITICAL["icsr"])) | (F.col("_pqc") & F.col("field").isin(*CRITICAL["pqc"])) | (F.col("_mi") & F.col("field").isin(*CRITICAL["mi"]))
     item = lambda rank, category: F.struct(F.lit(rank).alias("rank"), category.alias("category"))
     status = F.col("status")
@@ -203,7 +204,7 @@ def build_brief(cases: DataFrame, facts: DataFrame, evidence: DataFrame, warning
     listed = items.groupBy("envelope_id").agg(F.array_sort(F.collect_list(F.struct("rank", "pos", "category", "field"))).alias("f"))
     stats = L.status_counts(facts)
     unique = distinct_evidence(facts, evidence).groupBy("envelope_id").agg(F.count("*").alias("evidence_count"))
-    rows = cases.join(stats, "envelope_id", "left").join(listed, "envelope_id", "left").join(unique, "envelope_id", "left")
+    rows = cases.join(stats.hint("merge"), "envelope_id", "left").join(listed.hint("merge"), "envelope_id", "left").join(unique.hint("merge"), "envelope_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     n_focus = F.when(F.col("f").isNull(), 0).otherwise(F.size("f"))
     icsr = F.exists("categories", lambda c: c.contains("ICSR") | c.contains("Safety Report"))

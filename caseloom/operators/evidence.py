@@ -91,5 +91,5 @@ def clean_answers(tasks: DataFrame, answers: DataFrame, by: list[str]) -> DataFr
     value = F.col("confidence").try_cast("double")
     usable = F.when(value.isNull() | F.isnan(value) | value.isin(float("inf"), float("-inf")), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
     known = F.col("result").isin("SUPPORTS", "CONTRADICTS", "INSUFFICIENT")
-    joined = tasks.join(first.withColumn("answered", F.lit(True)), by, "left")
+    joined = tasks.join(first.withColumn("answered", F.lit(True)).hint("merge"), by, "left")
     return joined.select(*by, F.when(known, F.col("result")).otherwise("INSUFFICIENT").alias("result"), F.when(F.col("answered"), usable).otherwise(0.0).alias("confidence"), F.coalesce("answered", F.lit(False)).alias("answered"))

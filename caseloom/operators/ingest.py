@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 
 def new_only(incoming: DataFrame, known: DataFrame, key: str = "message_id") -> DataFrame:
-    return incoming.join(known.select(key), key, "left_anti")
+    return incoming.join(known.select(key).hint("merge"), key, "left_anti")
 
 
 def pending(incoming: DataFrame, known: DataFrame, key: str = "message_id") -> DataFrame:
     """Known messages that were received but never processed: they are dispatched again."""
-    return incoming.join(known.filter("status = 'RECEIVED'").select(key), key, "left_semi")
+    return incoming.join(known.filter("status = 'RECEIVED'").select(key).hint("merge"), key, "left_semi")
 
 
 def replace(table: DataFrame, rows: DataFrame, key: str = "message_id") -> DataFrame:
-    return table.join(rows.select(key), key, "left_anti").unionByName(rows)
+    return table.join(rows.select(key).hint("merge"), key, "left_anti").unionByName(rows)
 
 
 def purge(table: DataFrame, protected: str) -> DataFrame:
@@ -26,7 +26,7 @@ def purge(table: DataFrame, protected: str) -> DataFrame:
 
 def with_cached(messages: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
     """Messages with the result that is kept for their content, if any."""
-    return messages.withColumn("content_hash", F.sha2(F.coalesce(text, F.lit("")), 256)).join(cache, "content_hash", "left")
+    return messages.withColumn("content_hash", F.sha2(F.coalesce(text, F.lit("")), 256)).join(cache.hint("merge"), "content_hash", "left")
 
 
 def message_id(column: str, number: str):

@@ -185,7 +185,7 @@ def attention(cases: DataFrame, facts: DataFrame, critical: list[str]) -> DataFr
     doubt = F.when(~low.contains("dose"), F.concat("field", F.lit(" is marked uncertain ('"), "value", F.lit("') — reviewer verification required.")))
     clash = F.concat(F.lit("Discrepancy detected for "), "field", F.lit(" ('"), "value", F.lit("') across source materials — resolve conflict."))
     said = F.when(status == "NOT_STATED", F.struct(F.lit(7).alias("rule"), F.col("pos"), missing.alias("text"))).when(status == "UNCERTAIN", F.struct(F.lit(8).alias("rule"), F.col("pos"), doubt.alias("text"))).when(status == "CONFLICT", F.struct(F.lit(9).alias("rule"), F.col("pos"), clash.alias("text")))
-    own = facts.join(cases.select("envelope_id", "has_icsr"), "envelope_id").withColumn("x", said).filter("x.text is not null")
+    own = facts.join(cases.select("envelope_id", "has_icsr").hint("merge"), "envelope_id").withColumn("x", said).filter("x.text is not null")
     own = own.groupBy("envelope_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]).alias("own"))
     dual = F.concat(F.lit("Dual regulatory domain ("), F.array_join("categories", " & "), F.lit("); review across both safety and quality workflows."))
     tongue = F.concat(F.lit("Non-English source documentation ("), F.col("language"), F.lit("); verify verbatim original text against extraction."))
@@ -194,4 +194,4 @@ def attention(cases: DataFrame, facts: DataFrame, critical: list[str]) -> DataFr
         F.when(F.col("photo"), PHOTO), tongue, F.when(F.col("handwritten"), HANDWRITTEN),
     ))
     every = F.array_distinct(F.concat(general, F.coalesce("own", F.array().cast("array<string>"))))
-    return cases.join(own, "envelope_id", "left").select("envelope_id", F.when(F.col("not_relevant"), F.array(F.lit(CLOSE_IT))).otherwise(every).alias("sentences"))
+    return cases.join(own.hint("merge"), "envelope_id", "left").select("envelope_id", F.when(F.col("not_relevant"), F.array(F.lit(CLOSE_IT))).otherwise(every).alias("sentences"))

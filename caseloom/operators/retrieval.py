@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from ..functions.fuzzy import fuzzy_score
 from ..functions.text import collapse, is_unstated, key
 from .evidence import entails, fused
+from .shared import written
 
 # Words that carry nothing in a value, words that carry nothing in a field's name, prefixes of structured fields, units.
 STOPWORDS = ("the", "a", "an", "and", "or", "in", "on", "at", "to", "for", "with", "is", "was", "are", "were", "of", "by", "as", "from", "it", "this", "patient", "level", "levels", "test", "tests", "value", "values")
@@ -365,9 +366,9 @@ RUN = 1024
 def numbered(rows: DataFrame, by: str, order: str, number: str = "n") -> DataFrame:
     """rows with their number in their group, from 1, without a group in one task: ranges of (by, order) are counted and numbered each for itself.
 
-    Ranges are found by sampling, so the rows are written (checkpoint) with their range first.
+    Ranges are found by sampling, so the rows are written with their range first.
     """
-    ranged = rows.repartitionByRange(by, order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    ranged = written(rows.repartitionByRange(by, order).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy(by, "_range").agg(F.count("*").alias("_many"))  # a row for each range that a group spans
     before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(F.col(by).alias("_by"), F.col("_range").alias("_at"), F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_before"))
@@ -386,7 +387,7 @@ def batches(tasks: DataFrame, by: str, most_items: int = 30, most_chars: int = 2
     """
     snippet = F.length(F.trim("snippet"))
     sized = tasks.withColumn("_item", F.length("field") + F.length("value") + 80).withColumn("_once", F.when(snippet > longest, longest + 3).otherwise(snippet) + 80)
-    placed = numbered(sized, by, "pos", "_n").withColumn("_run", F.floor((F.col("_n") - 1) / run)).checkpoint()
+    placed = written(numbered(sized, by, "pos", "_n").withColumn("_run", F.floor((F.col("_n") - 1) / run)), "placed")
     small = placed.select(by, "_n", "_run", F.struct("evidence_id", "_item", "_once").alias("_x"))
 
     # the rows that follow a run's last ones stand at its end too, beyond its own
@@ -418,7 +419,7 @@ def batches(tasks: DataFrame, by: str, most_items: int = 30, most_chars: int = 2
         return F.filter(every, lambda s: s < F.size("_sizes"))
 
     leads = F.transform(F.sequence(F.lit(0), F.lit(most_items - 1)), ends_at)
-    maps = runs.withColumn("_to", leads).checkpoint()
+    maps = written(runs.withColumn("_to", leads), "runs")
     deepest = maps.agg(F.max("_run")).first()[0] or 0
     whole = maps.select(by, "_run", F.col("_to").alias("_path"))  # after round i: from 2^i runs back, or the group's first, to beyond this run
     step_ = 1
@@ -426,7 +427,7 @@ def batches(tasks: DataFrame, by: str, most_items: int = 30, most_chars: int = 2
         back = whole.select(F.col(by).alias("_by"), (F.col("_run") + step_).alias("_at"), F.col("_path").alias("_from"))
         joined = whole.join(back.hint("merge"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_run") == F.col("_at")), "left")
         composed = F.when(F.col("_from").isNull(), F.col("_path")).otherwise(F.transform("_from", lambda i: F.element_at("_path", i + 1)))
-        whole = joined.select(by, "_run", composed.alias("_path")).checkpoint()
+        whole = written(joined.select(by, "_run", composed.alias("_path")), "paths")
         step_ *= 2
     entry = whole.select(F.col(by).alias("_by"), (F.col("_run") + 1).alias("_at"), F.col("_path")[0].alias("_entry"))
     entered = maps.join(entry.hint("merge"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_run") == F.col("_at")), "left")

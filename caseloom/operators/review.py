@@ -53,28 +53,28 @@ def apply_edits(records: DataFrame, edits: DataFrame, key_column: str, fields: l
     """Wide records after (key, field, new_value) edits; edits of unknown fields change nothing."""
     wide = edits.groupBy(key_column).pivot("field", fields).agg(F.first("new_value"))
     wide = wide.select(key_column, *(F.col(f).alias(f"new_{f}") for f in fields))
-    return records.join(wide, key_column, "left").select(*(F.coalesce(f"new_{c}", F.col(c).cast("string")).alias(c) if c in fields else F.col(c) for c in records.columns))
+    return records.join(wide.hint("merge"), key_column, "left").select(*(F.coalesce(f"new_{c}", F.col(c).cast("string")).alias(c) if c in fields else F.col(c) for c in records.columns))
 
 
 def edit_log(records: DataFrame, edits: DataFrame, key_column: str, fields: list[str]) -> DataFrame:
     """An audit row for each edit that changes something, with the value before it (empty for unknown fields)."""
     old = records.select(key_column, F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("original_value")) for f in fields))))
-    joined = edits.join(old, [key_column, "field"], "left").withColumn("original_value", F.coalesce("original_value", F.lit("")))
+    joined = edits.join(old.hint("merge"), [key_column, "field"], "left").withColumn("original_value", F.coalesce("original_value", F.lit("")))
     return joined.filter(~F.col("original_value").eqNullSafe(F.col("new_value"))).select(key_column, F.lit("EDIT_FIELD").alias("action"), "field", "original_value", "new_value")
 
 
 def changed(before: DataFrame, after: DataFrame, key_column: str, column: str) -> DataFrame:
     """Keys that are new, gone, or have another value in two snapshots."""
     b, a = before.select(key_column, F.col(column).alias("old"), F.lit(1).alias("b")), after.select(key_column, F.col(column).alias("new"), F.lit(1).alias("a"))
-    both = b.join(a, key_column, "full_outer")
+    both = b.join(a.hint("merge"), key_column, "full_outer")
     kind = F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "gone").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     return both.withColumn("kind", kind).filter("kind is not null").select(key_column, "kind")
 
 
 def accept(messages: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages after acceptance (REVIEWED), and an audit row for each action on a message that exists."""
-    known = actions.join(messages.select("message_id"), "message_id", "left_semi")
-    done = messages.join(known.select("message_id").distinct().withColumn("done", F.lit(True)), "message_id", "left")
+    known = actions.join(messages.select("message_id").hint("merge"), "message_id", "left_semi")
+    done = messages.join(known.select("message_id").distinct().withColumn("done", F.lit(True)).hint("merge"), "message_id", "left")
     audit = known.select("message_id", F.coalesce("reviewer_username", F.lit("reviewer")).alias("reviewer_username"), F.lit("ACCEPT").alias("action"), "ts")
     return done.withColumn("status", F.when(F.col("done"), "REVIEWED").otherwise(F.col("status"))).drop("done"), audit
 
@@ -83,7 +83,7 @@ def matched(expected: DataFrame, found: DataFrame, key_column: str, digest: str)
     """Entries of a manifest against files: missing, unlisted, or with another digest."""
     e, f = expected.select(key_column, F.col(digest).alias("want")), found.select(key_column, F.col(digest).alias("got"))
     kind = F.when(F.col("got").isNull(), "missing").when(F.col("want").isNull(), "unlisted").when(F.col("got") != F.col("want"), "changed")
-    return e.join(f, key_column, "full_outer").withColumn("kind", kind).filter("kind is not null").select(key_column, "kind")
+    return e.join(f.hint("merge"), key_column, "full_outer").withColumn("kind", kind).filter("kind is not null").select(key_column, "kind")
 
 
 def running_numbers(messages: DataFrame, key_column: str = "id", first: int = 13, deal: int = 1 << 20) -> DataFrame:
@@ -96,7 +96,7 @@ def running_numbers(messages: DataFrame, key_column: str = "id", first: int = 13
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = ids.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     ranked = ids.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_id"))).join(counts.hint("merge"), "_part")
-    return messages.join(ranked.select(F.col("_id").alias(key_column), (F.col("_before") + F.col("_rank") + first - 1).alias("running")), key_column, "left")
+    return messages.join(ranked.select(F.col("_id").alias(key_column), (F.col("_before") + F.col("_rank") + first - 1).alias("running")).hint("merge"), key_column, "left")
 
 
 def by_status(messages: DataFrame, status: str) -> DataFrame:
@@ -125,7 +125,7 @@ def queue_rows(messages: DataFrame, attachments: DataFrame, pqc: DataFrame) -> D
     """
     n = attachments.groupBy(F.col("message").alias("id")).agg(F.count("*").alias("attachment_count"))
     photo = pqc.groupBy(F.col("message").alias("id")).agg(F.bool_or("requires_human_review").alias("requires_human_review"))
-    rows = messages.join(n, "id", "left").join(photo, "id", "left")
+    rows = messages.join(n.hint("merge"), "id", "left").join(photo.hint("merge"), "id", "left")
     return rows.withColumns({"primary_category": F.coalesce("primary_category", F.lit("Pending Triage")), "confidence": F.coalesce("confidence", F.lit(0.0)), "attachment_count": F.coalesce("attachment_count", F.lit(0)), "requires_human_review": F.coalesce("requires_human_review", F.lit(False))})
 
 
@@ -142,7 +142,7 @@ VISIBLE = {"ICSR": ("PATIENT", "REPORTER", "PRODUCT", "REACTION", "LABS", "CONCO
 def visible_facts(facts: DataFrame, cases: DataFrame) -> DataFrame:
     """Facts in the sections that one of their case's categories shows (cases: envelope_id, categories)."""
     shown = F.flatten(F.transform("categories", lambda c: F.coalesce(F.try_element_at(F.create_map(*(x for k, v in VISIBLE.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), c), F.array().cast("array<string>"))))
-    return facts.join(cases.select("envelope_id", shown.alias("_shown")), "envelope_id").filter(F.array_contains("_shown", F.col("section"))).drop("_shown")
+    return facts.join(cases.select("envelope_id", shown.alias("_shown")).hint("merge"), "envelope_id").filter(F.array_contains("_shown", F.col("section"))).drop("_shown")
 
 
 def audit_search(events: DataFrame, text: str) -> DataFrame:
@@ -153,32 +153,32 @@ def audit_search(events: DataFrame, text: str) -> DataFrame:
 
 def override(messages: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages after category overrides (message_id, new_category, reviewer_username, justification), and their audit rows."""
-    known = actions.filter("new_category is not null").join(messages.select("message_id", F.col("primary_category").alias("original_value")), "message_id")
-    done = messages.join(known.select("message_id", "new_category"), "message_id", "left")
+    known = actions.filter("new_category is not null").join(messages.select("message_id", F.col("primary_category").alias("original_value")).hint("merge"), "message_id")
+    done = messages.join(known.select("message_id", "new_category").hint("merge"), "message_id", "left")
     done = done.withColumn("status", F.when(F.col("new_category").isNotNull(), "OVERRIDDEN").otherwise(F.col("status"))).withColumn("primary_category", F.coalesce("new_category", "primary_category")).drop("new_category")
     return done, known.select("message_id", F.coalesce("reviewer_username", F.lit("reviewer")).alias("reviewer_username"), F.lit("OVERRIDE_CATEGORY").alias("action"), F.lit("primary_category").alias("target_field"), F.coalesce("original_value", F.lit("")).alias("original_value"), F.col("new_category").alias("new_value"), "justification")
 
 
 def replace_citations(reports: DataFrame, citations: DataFrame) -> DataFrame:
     """Reports with the citations (message, citations) that are given for them; citations without a report change nothing."""
-    return reports.join(citations.select("message", F.col("citations").alias("_new")), "message", "left").withColumn("citations", F.coalesce("_new", "citations")).drop("_new")
+    return reports.join(citations.select("message", F.col("citations").alias("_new")).hint("merge"), "message", "left").withColumn("citations", F.coalesce("_new", "citations")).drop("_new")
 
 
 def without_parent(children: DataFrame, parents: DataFrame, key_column: str = "message") -> DataFrame:
     """Children that a deletion of parents takes along are left out: those whose parent is gone."""
-    return children.join(parents.select(key_column), key_column, "left_semi")
+    return children.join(parents.select(key_column).hint("merge"), key_column, "left_semi")
 
 
 def with_files(cited: DataFrame, attachments: DataFrame) -> DataFrame:
     """Names that a message cites (message, cited) with those of its attachments (message, filename) that they stand for."""
-    return cited.join(attachments.select("message", "filename"), "message").filter(V.same_file(F.col("filename"), F.col("cited")))
+    return cited.join(attachments.select("message", "filename").hint("merge"), "message").filter(V.same_file(F.col("filename"), F.col("cited")))
 
 
 def mismatched(found: DataFrame, expected: DataFrame, key_column: str, columns: list[str]) -> DataFrame:
     """(key, column, expected, found) where headers differ from what is expected of them."""
     e = expected.select(key_column, *(F.col(c).alias(f"_want_{c}") for c in columns))
     rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"_want_{c}").cast("string").alias("expected"), F.col(c).cast("string").alias("found")) for c in columns))
-    return e.join(found, key_column, "left").select(key_column, F.inline(rows)).filter(~F.col("expected").eqNullSafe(F.col("found")))
+    return e.join(found.hint("merge"), key_column, "left").select(key_column, F.inline(rows)).filter(~F.col("expected").eqNullSafe(F.col("found")))
 
 
 def accuracy(cases: DataFrame, answers: DataFrame, assertions: DataFrame) -> DataFrame:
@@ -187,13 +187,21 @@ def accuracy(cases: DataFrame, answers: DataFrame, assertions: DataFrame) -> Dat
     cases: case_id, category, multi; answers: case_id, category, multi, fields (map), latency_ms; assertions: case_id, field, expected.
     """
     alias = lambda c: F.when(F.upper(c).isin("MI", "MEDICAL INFO REQUEST", "MEDICAL INFORMATION"), "MI").otherwise(F.upper(c))
-    joined = cases.select("case_id", F.col("category").alias("_c"), F.col("multi").alias("_m")).join(answers, "case_id", "left")
-    held = assertions.join(answers.select("case_id", "fields"), "case_id", "left").withColumn("ok", F.coalesce(F.lower(F.try_element_at("fields", F.col("field"))).contains(F.lower("expected")), F.lit(False)))
+    joined = cases.select("case_id", F.col("category").alias("_c"), F.col("multi").alias("_m")).join(answers.hint("merge"), "case_id", "left")
+    held = assertions.join(answers.select("case_id", "fields").hint("merge"), "case_id", "left").withColumn("ok", F.coalesce(F.lower(F.try_element_at("fields", F.col("field"))).contains(F.lower("expected")), F.lit(False)))
     held = held.groupBy("case_id").agg(F.bool_and("ok").alias("_held"))
     ok = F.coalesce((alias(F.col("category")) == alias(F.col("_c"))) & (F.col("multi") == F.col("_m")), F.lit(False)) & F.coalesce("_held", F.lit(True))
-    return joined.join(held, "case_id", "left").select("case_id", ok.alias("passed"), "latency_ms")
+    return joined.join(held.hint("merge"), "case_id", "left").select("case_id", ok.alias("passed"), "latency_ms")
 
 
 def evaluation(judged: DataFrame) -> DataFrame:
     """Passed cases, percentage of all, whole mean latency."""
     return judged.agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed"), F.round(100 * F.avg(F.col("passed").cast("int")), 1).alias("accuracy"), F.floor(F.avg("latency_ms")).alias("mean_latency_ms"))
+
+
+def with_attachments(messages: DataFrame, attachments: DataFrame, key_column: str = "message_id") -> DataFrame:
+    """messages with their attachment rows (key, pos, …) as an array in their order, empty without any; attachments of no message are left out."""
+    rows = [c for c in attachments.columns if c != key_column]
+    held = attachments.groupBy(key_column).agg(F.array_sort(F.collect_list(F.struct("pos", *(c for c in rows if c != "pos")))).alias("attachments"))
+    joined = messages.join(held.hint("merge"), key_column, "left")
+    return joined.withColumn("attachments", F.coalesce("attachments", F.array().cast(held.schema["attachments"].dataType)))

@@ -50,7 +50,7 @@ def view_focus(messages: DataFrame, facts: DataFrame) -> DataFrame:
         .when((status == "NOT_STATED") & critical & ~F.col("_none"), named_item(6, "missing", "MISSING_CRITICAL_FIELD", "Critical Field Unstated: "))
     )
     of = messages.select("envelope_id", irrelevant.alias("_none"), *(c.alias(f"_{k}") for k, c in held.items()))
-    rows = facts.join(of, "envelope_id").withColumn("k", kind).filter("k is not null")
+    rows = facts.join(of.hint("merge"), "envelope_id").withColumn("k", kind).filter("k is not null")
     warning = F.when(F.col("k.rank") == 6, F.concat(F.lit("Critical regulatory field '"), label, F.lit("' is NOT_STATED.")))
     return whole.unionByName(rows.select("envelope_id", F.col("k.rank"), F.col("pos").cast("int").alias("pos"), "k.item", "k.category", "k.field", "k.headline", warning.alias("warning")))
 
@@ -58,6 +58,6 @@ def view_focus(messages: DataFrame, facts: DataFrame) -> DataFrame:
 def view_gate(messages: DataFrame, items: DataFrame) -> DataFrame:
     """(envelope_id, n_focus, n_warnings, gate): failed messages are blocked; items (conflicts among them) warn unless the message is not relevant."""
     counts = items.groupBy("envelope_id").agg(F.count("*").alias("n_focus"), F.count("warning").alias("n_warnings"))
-    rows = messages.select("envelope_id", "status", F.coalesce(F.lower("primary_category").rlike(IRRELEVANT), F.lit(False)).alias("_none")).join(counts, "envelope_id", "left").na.fill(0, ["n_focus", "n_warnings"])
+    rows = messages.select("envelope_id", "status", F.coalesce(F.lower("primary_category").rlike(IRRELEVANT), F.lit(False)).alias("_none")).join(counts.hint("merge"), "envelope_id", "left").na.fill(0, ["n_focus", "n_warnings"])
     gate = F.when(F.col("status") == "FAILED", BLOCKED).when(~F.col("_none") & (F.col("n_focus") > 0), WARNED).otherwise(READY)
     return rows.select("envelope_id", "n_focus", "n_warnings", gate.alias("gate"))

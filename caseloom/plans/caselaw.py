@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cases as C
+from ..operators import review as R
 from .catalog import LETTER, _SQL_TRIAGE, letters, query
 
 _UN = "('not stated', 'none', 'unknown', '')"
@@ -39,6 +40,39 @@ def flat_record(t):
     return C.flat_record(C.section_facts(_answers(t)), ["patient_identifier", "product_or_topic", "reporter_name", "treated_indication", "indication"])
 
 
+_SQL_PLACED = """ev as (select p_partkey as k, i as pos, ['patient', 'product'][i % 2 + 1] as part, ['email', 'pdf', 'image', 'table_cell'][(p_partkey + i) % 4 + 1] as source_type, ['SUPPORTS', 'CONTRADICTS', 'INSUFFICIENT', null][(p_partkey + 2 * i) % 4 + 1] as result, (i % 5)::double / 4 as confidence, (p_partkey * i % 7)::double / 7 as relevance,
+ case when (p_partkey + i) % 2 = 1 then i + 1 end as page, (p_partkey + i) % 8 = 1 as has_box, case when (p_partkey + i) % 3 = 0 then 0 end as char_start, case when (p_partkey + i) % 3 = 0 then 5 end as char_end, case when (p_partkey + i) % 5 = 2 then 'body' end as section, p_name || ' ' || i as snippet from part, unnest(range(6)) as n(i) where p_partkey % 11 > 0),
+sc as (select *, case when result = 'SUPPORTS' then 50 + 20 * confidence when result = 'INSUFFICIENT' then 10::double else 0 end + case when has_box and page is not null and source_type in ('pdf', 'image') then 100 when char_end > char_start and source_type not in ('pdf', 'image') then 80 when page is not null and source_type in ('pdf', 'image') then 40 when section <> '' then 20 else 5 end::double + 10 * relevance as score from ev where result is distinct from 'CONTRADICTS'),
+be as (select *, case when (has_box and source_type in ('pdf', 'image')) or (source_type = 'email' and char_start is not null) then 'LEVEL_1_EXACT_VISUAL' when page > 0 then 'LEVEL_2_PAGE_TEXT' else 'LEVEL_3_SNIPPET_ONLY' end as level from sc qualify row_number() over (partition by k, part order by score desc, pos) = 1)"""
+
+
+@query(f"""with {_SQL_ANS}, u as (select k, unnest(fields) as field, coalesce(unnest(vals), 'Not stated') as value from a), {_SQL_PLACED}
+select u.k as envelope_id, max(value) filter (field = 'patient_identifier') as patient_identifier, case when u.k % 3 = 0 then 'Told ' || u.k when u.k % 3 = 1 and u.k % 2 = 0 then 'Summary' when u.k % 5 = 0 then 'Review' else 'Not stated' end as narrative,
+ coalesce((select string_agg(part || ':' || pos || ':' || snippet || ':' || level, '|' order by part) from be where be.k = u.k), '') as cited from u group by u.k""")
+def flat_case(t):
+    """Records with the narrative that stands in for a missing one, and each section's best citation."""
+    k, i = F.col("envelope_id"), F.col("pos")
+    cases = t("part").select(F.col("p_partkey").alias("envelope_id")).select(k, F.when(k % 3 == 0, F.concat(F.lit("Told "), k.cast("string"))).otherwise("Not stated").alias("clinical_narrative"), F.when((k % 3 == 1) & (k % 2 == 0), "Summary").otherwise("").alias("document_summary"), F.when(k % 5 == 0, "Review").alias("reviewer_summary"))
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    rows = t("part").filter("p_partkey % 11 > 0").select(F.col("p_partkey").alias("envelope_id"), "p_name", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos"))
+    evidence = rows.select(
+        "envelope_id", "pos", pick(("patient", "product"), i).alias("part"), pick(("email", "pdf", "image", "table_cell"), k + i).alias("source_type"), pick(("SUPPORTS", "CONTRADICTS", "INSUFFICIENT", None), k + 2 * i).alias("result"), ((i % 5) / 4.0).alias("confidence"), ((k * i % 7) / 7.0).alias("relevance"),
+        F.when((k + i) % 2 == 1, i + 1).alias("page"), ((k + i) % 8 == 1).alias("has_box"), F.when((k + i) % 3 == 0, 0).alias("char_start"), F.when((k + i) % 3 == 0, 5).alias("char_end"), F.when((k + i) % 5 == 2, "body").alias("section"), F.concat_ws(" ", "p_name", i.cast("string")).alias("snippet"),
+    )
+    got = C.flat_case(C.section_facts(_answers(t)), ["patient_identifier"], cases, evidence)
+    shown = F.transform(F.array_sort(F.map_entries("section_citations")), lambda e: F.concat_ws(":", e["key"], e["value"]["pos"].cast("string"), e["value"]["snippet"], e["value"]["level"]))
+    return got.select("envelope_id", "patient_identifier", "narrative", F.coalesce(F.array_join(shown, "|"), F.lit("")).alias("cited"))
+
+
+@query("""with a as (select l_orderkey as k, count(*) as n, string_agg(l_linenumber || ':' || l_partkey, ',' order by l_linenumber, l_partkey) as files from lineitem where l_linenumber % 3 > 0 group by 1)
+select o_orderkey as message_id, o_orderstatus as status, coalesce(n, 0)::int as n_files, coalesce(files, '') as files from orders left join a on k = o_orderkey""")
+def message_attachments(t):
+    messages = t("orders").select(F.col("o_orderkey").alias("message_id"), F.col("o_orderstatus").alias("status"))
+    files = t("lineitem").filter("l_linenumber % 3 > 0").select(F.col("l_orderkey").alias("message_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("file"))
+    name = lambda a: F.concat_ws(":", a["pos"].cast("string"), a["file"].cast("string"))
+    return R.with_attachments(messages, files).select("message_id", "status", F.size("attachments").alias("n_files"), F.array_join(F.transform("attachments", name), ",").alias("files"))
+
+
 @query(f"""with l as (select l_orderkey as k, case when l_linenumber % 4 = 0 then '' else 'Test Nr ' || l_linenumber end as name, l_linenumber as n, l_partkey as p from lineitem), f as (select k, name, n, p from l where name <> '')
 select k as envelope_id, 'lab' as kind, 'lab_test_' || replace(lower(name), ' ', '_') as field, name || ': ' || p || ' mg' as value from f
 union all select k, 'drug', 'concomitant_drug_' || row_number() over (partition by k order by n, p), case when n % 2 = 0 then 'Drug ' || p else 'Not stated' end || ' (' || case when n % 3 = 0 then 'Not stated' else n || ' mg' end || ')' from l""")
@@ -116,7 +150,7 @@ def status_steps(t):
     m = t("documents").select(k.alias("message_id"), F.element_at(F.array(*map(F.lit, ("RECEIVED", "PROCESSING", "REVIEWED"))), (k % 3 + 1).cast("int")).alias("status"))
     results = t("documents").filter(k % 4 < 2).select(k.alias("message_id"), F.when(k % 4 == 0, "MI").otherwise(none).alias("primary"), F.lit(0.5).alias("confidence"), F.when(k % 4 == 1, "broken").alias("error"))
     done, audit = C.processed(m, results)
-    return done.join(audit.select("message_id", F.col("reviewer_comments").alias("comments")), "message_id", "left")
+    return done.join(audit.select("message_id", F.col("reviewer_comments").alias("comments")).hint("merge"), "message_id", "left")
 
 
 @query("""with c as (select o_orderkey as m, o_orderkey % 2 = 0 as icsr, o_orderkey % 3 = 0 as pqc, o_orderkey % 5 <> 0 as clinical from orders where o_orderkey % 7 <> 0), old as (select o_orderkey as m from orders where o_orderkey % 4 = 0)
@@ -172,7 +206,7 @@ def article_reviews(t):
     articles = t("part").select(k.alias("article_id"), F.lit("PENDING").alias("review_status"), (k % 2 == 0).alias("is_reportable"), F.lit(None).cast("string").alias("exclusion_reason"))
     actions = t("part").filter(k % 5 < 2).select(k.alias("article_id"), (k % 3 == 0).alias("accept"), F.lit("rev").alias("reviewer"), F.when(k % 4 == 1, True).alias("is_reportable"), F.lit(None).cast("string").alias("exclusion_reason"))
     done, audit = C.review_articles(articles, actions, F.lit("2025-01-01").cast("timestamp"))
-    return done.join(audit.select("article_id", F.col("original_value").alias("before")), "article_id", "left").select("article_id", "review_status", "is_reportable", "before")
+    return done.join(audit.select("article_id", F.col("original_value").alias("before")).hint("merge"), "article_id", "left").select("article_id", "review_status", "is_reportable", "before")
 
 
 @query("""with c as (select 'CASE-' || s_suppkey as id, 'mail/' || s_suppkey || '.eml' as email, case when s_suppkey % 2 = 0 then 'pdf/' || s_suppkey // 2 || '.pdf' end as pdf from supplier),
@@ -214,7 +248,7 @@ def truth_envelopes(t):
     cases = t("part").select(k.alias("case_id"), F.slice(F.array(F.lit("c1"), F.lit("c2"), F.lit("c3")), 1, n).alias("categories"), F.create_map(F.lit("bio_marker"), k.cast("string"), F.lit("Biopsy"), F.lit("x")).alias("labs"), F.when(n > 1, F.create_map(F.lit("x_y_z"), n.cast("string"))).alias("diagnostics"))
     labs = C.lab_rows(cases, "case_id", "labs", "diagnostics").groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "test_name", "value"))), lambda x: F.concat_ws("=", x["test_name"], x["value"])), ",").alias("labs"))
     shown = F.array_join(F.transform("labels", lambda x: F.concat(x["category"], F.lit(":"), F.format_number(x["confidence"], 2))), ",")
-    return C.truth_envelopes(cases).select("case_id", "primary_category", "is_multi_label", shown.alias("labels")).join(labs, "case_id", "left")
+    return C.truth_envelopes(cases).select("case_id", "primary_category", "is_multi_label", shown.alias("labels")).join(labs.hint("merge"), "case_id", "left")
 
 
 @query("""with f as (select event_id as k, (event_id % 100) / 100.0::double as c from events where event_id % 3 = 0)

@@ -80,7 +80,7 @@ def envelopes(t):
 select e as envelope_id, fact_id, state, n_supports, 4 as n_facts, n_prints, n_before, n_after from s join n using (e)""")
 def verify_envelope(t):
     facts, _, metrics = E.verify_envelope(*envelopes(t))
-    return facts.join(metrics, "envelope_id").select("envelope_id", "fact_id", "state", "n_supports", F.col("n_facts").cast("int"), "n_prints", "n_before", "n_after")
+    return facts.join(metrics.hint("merge"), "envelope_id").select("envelope_id", "fact_id", "state", "n_supports", F.col("n_facts").cast("int"), "n_prints", "n_before", "n_after")
 
 
 @query(f"""with {_SQL_ENV}, o as (select e, fact_id, evidence_id, (row_number() over (partition by e order by pos, i) - 1) // 3 + 1 as batch from j where rule = 'deterministic')

@@ -81,7 +81,7 @@ def evidence_merge(t):
     found = got.groupBy("document_id", "field").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "relevance"))).alias("f"))
     docs = t("documents").select(F.col("doc_id").alias("document_id"), F.split("text", "\n")[0].alias("first"))
     none = F.lit(None)
-    rows = found.join(docs, "document_id").withColumn("all", H.merge_evidence(F.array(item(F.col("first"), none, none)), F.transform("f", lambda x: item(x["text"], x["relevance"], x["rank"]))))
+    rows = found.join(docs.hint("merge"), "document_id").withColumn("all", H.merge_evidence(F.array(item(F.col("first"), none, none)), F.transform("f", lambda x: item(x["text"], x["relevance"], x["rank"]))))
     return rows.select("document_id", "field", F.size("all").alias("n"), F.array_join(F.transform("all", lambda x: x["rank"].cast("string")), ",", "-").alias("ranks"))
 
 
@@ -130,7 +130,7 @@ _SQL_EVIDENCE = f"""{SQL_CHUNKS}, ev as (select ch.document_id, pos, ch.text as
 def evidence(t):
     docs = t("documents").select(F.col("doc_id").alias("document_id"), F.split("text", "\n")[0].alias("value"))
     p, even = F.col("pos"), lambda names, i: F.element_at(F.array(*map(F.lit, names)), i.cast("int") + 1)
-    rows = E.chunk_lines(t("documents")).withColumnRenamed("text", "snippet").join(docs, "document_id")
+    rows = E.chunk_lines(t("documents")).withColumnRenamed("text", "snippet").join(docs.hint("merge"), "document_id")
     return rows.withColumns({
         "source_type": even(("email", "pdf", "image", "table_cell"), p % 4), "result": even(("SUPPORTS", "CONTRADICTS", "INSUFFICIENT", None), (F.col("document_id") + p) % 4), "confidence": (p % 5) / 4.0, "relevance": (p % 7) / 7.0,
         "page": F.when(p % 2 == 1, p), "has_box": p % 8 == 1, "char_start": F.when(p % 3 == 0, 0), "char_end": F.when(p % 3 == 0, F.length("snippet")), "section": F.when(p % 5 == 2, "body"),

@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
+from ..operators.shared import scratch
 from ..sources.mail import read_mail, write_mail
 from ..streaming import mailbox
 from ..streaming.intake import intake, load
 from .catalog import query
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir, which driver and executors share; a local one only where none is set and one machine does all."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def _letters(t, where: str, number):
     d = t("documents").filter(where)
     own = F.col("doc_id").cast("string")

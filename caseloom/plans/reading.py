@@ -8,6 +8,7 @@ from ..functions import anchors, jsonfix
 from ..functions import language as G
 from ..functions import sentences as S
 from ..functions import text as T
+from ..operators import cases as C
 from .catalog import query
 
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
@@ -105,8 +106,8 @@ def snippet_anchor(t):
     docs = t("documents").select("doc_id", "text", line.alias("line"))
     k = F.col("doc_id") % 4
     own = F.when(k == 0, F.col("line")).when(k == 1, F.regexp_replace("line", " ", "  ")).when(k == 2, F.concat(F.lit("Seen: x; "), F.col("line")))
-    pairs = docs.select("doc_id", F.explode(_runs(F.col("text"))).alias("run")).join(items.select("n", F.explode(_runs(F.col("item"))).alias("run")), "run").select("doc_id", "n").distinct()
-    found = docs.join(pairs, "doc_id").join(items, "n").select("doc_id", "text", F.col("item").alias("snippet"))
+    pairs = docs.select("doc_id", F.explode(_runs(F.col("text"))).alias("run")).join(items.select("n", F.explode(_runs(F.col("item"))).alias("run")).hint("merge"), "run").select("doc_id", "n").distinct()
+    found = docs.join(pairs.hint("merge"), "doc_id").join(items.hint("merge"), "n").select("doc_id", "text", F.col("item").alias("snippet"))
     rows = docs.select("doc_id", "text", own.alias("snippet")).unionByName(found)
     place = anchors.anchor(F.col("text"), F.col("snippet"), F.lit(None).cast("int"), F.lit(None).cast("int"))
     return rows.withColumn("x", place).select("doc_id", "snippet", "x.state", "x.tier", "x.char_start", "x.char_end")
@@ -119,3 +120,20 @@ def question_grounding(t):
     rows = t("conversations").filter("role = 'user'").select("conv_id", "turn", "text", F.posexplode(T.questions(F.col("text"))).alias("n", "q"))
     bare = F.trim(F.regexp_replace("q", r"^(\(?[0-9]+[.)]|-|\*|•)\s*", ""))
     return rows.withColumn("bare", bare).select("conv_id", "turn", (F.col("n") + 1).cast("long").alias("n"), (F.position(F.lower("bare"), F.lower("text")) - 1).cast("long").alias("char_start"), F.length("bare").cast("long").alias("n_chars"))
+
+
+# Citations of a user's turn: what the assistant says to it, under the second question's number, and the turn itself in a note.
+@query("""with q as (select conv_id, turn, text, case when text like '%?%' then list_transform(list_filter(string_split(text, '?'), lambda x: length(trim(x)) > 5), lambda x: trim(x)) else [trim(text)] end as qs from conversations where role = 'user'),
+u as (select conv_id, turn, text, unnest(f) as q, generate_subscripts(f, 1) as n from (select *, list_filter(case when len(qs) = 0 then [''] else qs end, lambda x: length(x) > 5) as f from q)),
+k as (select conv_id, turn - 1 as turn, text as reply from conversations where role = 'assistant' and conv_id % 2 = 0 and text <> ''),
+r as (select u.*, trim(regexp_replace(q, '^([(]?[0-9]+[.)]|-|[*]|•)\\s*', '')) as bare, n = 2 and reply is not null as by_key, conv_id % 3 = 0 and turn % 4 = 0 as by_turn, reply is not null and (contains(lower(reply), lower(trim(q))) or (length(trim(q)) > 20 and contains(lower(reply), lower(trim(q))[1:20]))) as by_reply from u left join k using (conv_id, turn))
+select conv_id, turn, n::bigint as n, case when by_key then 'key' when by_reply or by_turn then 'snippet' when length(bare) > 5 and contains(lower(text), lower(bare)) then 'body' end as tier, case when not (by_key or by_reply or by_turn) and length(bare) > 5 and contains(lower(text), lower(bare)) then position(lower(bare) in lower(text))::bigint - 1 else -1 end as char_start from r""")
+def question_citations(t):
+    turns = t("conversations")
+    users = turns.filter("role = 'user'")
+    case = lambda turn: F.struct("conv_id", turn.alias("turn")).alias("case_id")
+    asked = users.select(case(F.col("turn")), F.col("text").alias("body"), F.posexplode(T.questions(F.col("text"))).alias("n", "question"))
+    replies = turns.filter("role = 'assistant' and conv_id % 2 = 0").select(case(F.col("turn") - 1), F.lit(0).alias("pos"), F.lit("mi_question_2").alias("name"), F.col("text").alias("snippet"))
+    own = users.filter("conv_id % 3 = 0 and turn % 4 = 0").select(case(F.col("turn")), F.lit(1).alias("pos"), F.lit("note").alias("name"), F.concat(F.lit("Note: "), F.col("text")).alias("snippet"))
+    got = C.ground_questions(asked, replies.unionByName(own))
+    return got.select("case_id.conv_id", "case_id.turn", (F.col("n") + 1).cast("long").alias("n"), "tier", F.coalesce(F.col("char_start").cast("long"), F.lit(-1)).alias("char_start"))

@@ -176,7 +176,7 @@ def override_category(t):
     m = t("customer").select(k.alias("message_id"), F.when(k % 2 == 0, "ICSR").otherwise("PQC").alias("primary_category"), F.lit("TRIAGED").alias("status"))
     actions = t("customer").select(k.alias("message_id"), F.when(k % 3 == 0, "MI").alias("new_category"), F.lit(None).cast("string").alias("reviewer_username"), F.lit("why").alias("justification"))
     done, audit = R.override(m, actions)
-    return done.join(audit.select("message_id", F.col("original_value").alias("original")), "message_id", "left").select(F.col("message_id").alias("k"), F.col("primary_category").alias("category"), "status", "original")
+    return done.join(audit.select("message_id", F.col("original_value").alias("original")).hint("merge"), "message_id", "left").select(F.col("message_id").alias("k"), F.col("primary_category").alias("category"), "status", "original")
 
 
 @query("""with f as (select c_custkey as k, 'subject' as col, c_name as e, case when c_custkey % 4 = 0 then upper(c_name) || '!' else c_name end as g from customer union all select c_custkey, 'sender', c_mktsegment, case when c_custkey % 6 = 0 then null else c_mktsegment end from customer)

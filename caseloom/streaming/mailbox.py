@@ -10,29 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of
+from ..functions.language import file_flavor
+from ..operators.shared import written
 from ..sources.mail import mail_stream
 
-# What in a file's name says what it is, in this order; anything else is a digital form.
-FLAVORS = (("digital_form", ("cioms", "fda", "form")), ("scanned_handwritten", ("clinic", "handwritten")), ("literature_article", ("article", "journal")))
 MESSAGES = "number long, filename string, message_id string, date string, sender string, sender_email string, recipient string, subject string, raw_body string, status string, n_attachments int, batch long"
 ATTACHMENTS = "message_id string, pos int, filename string, content_type string, size_bytes long, flavor string, bytes binary, batch long"
 AUDIT = "message_id string, reviewer_username string, action string, target_field string, original_value string, new_value string, reviewer_comments string, ts timestamp, batch long"
 TABLES = {"messages": MESSAGES, "attachments": ATTACHMENTS, "audit_events": AUDIT}
 
 
-def flavor(filename: Column) -> Column:
-    low, out = F.lower(filename), F.lit(None).cast("string")
-    for name, words in FLAVORS:
-        out = F.coalesce(out, F.when(any_of(low, words), name))
-    return F.coalesce(out, F.lit("digital_form"))
-
-
 def received(mail: DataFrame, source: str, now: Column) -> dict[str, DataFrame]:
     """What new mail becomes: messages with status RECEIVED, their attachments by place, an audit row for each."""
     n = F.greatest(F.coalesce(F.size("attachments"), F.lit(0)), F.lit(0))
     rows = mail.select(*(c for c in mail.columns if c not in ("body_text", "attachments")), F.col("body_text").alias("raw_body"), F.lit("RECEIVED").alias("status"), n.alias("n_attachments"))
-    files = mail.select("message_id", F.posexplode("attachments").alias("pos", "a")).select("message_id", "pos", "a.filename", "a.content_type", "a.size_bytes", flavor(F.col("a.filename")).alias("flavor"), "a.bytes")
+    files = mail.select("message_id", F.posexplode("attachments").alias("pos", "a")).select("message_id", "pos", "a.filename", "a.content_type", "a.size_bytes", file_flavor(F.col("a.filename")).alias("flavor"), "a.bytes")
     said = F.concat(F.lit(f"Ingested from {source} ("), F.coalesce("filename", F.lit("")), F.lit(") with "), n.cast("string"), F.lit(" attachments"))
     lit = lambda value, name: F.lit(value).alias(name)
     audit = mail.select("message_id", lit("SYSTEM_INGESTOR", "reviewer_username"), lit("MESSAGE_INGESTED", "action"), lit("STATUS", "target_field"), lit("NEW", "original_value"), lit("RECEIVED", "new_value"), said.alias("reviewer_comments"), now.alias("ts"))
@@ -56,8 +48,8 @@ def put(mail: DataFrame, folder: str, batch: int, source: str = "mail", now: Col
     spark = mail.sparkSession
     known = table(spark, folder, "messages").filter(F.col("batch") != batch).select("message_id").distinct()
     first = mail.groupBy("message_id").agg(F.min_by(F.struct(*mail.columns), F.struct("number", "filename")).alias("m")).select("m.*")
-    # a file of its own: the tables below are written from the same rows, whatever happens to the mailbox meanwhile
-    new = first.join(known.hint("merge"), "message_id", "left_anti").checkpoint()
+    # the tables below are written from the same rows, whatever happens to the mailbox meanwhile
+    new = written(first.join(known.hint("merge"), "message_id", "left_anti"), "new-mail")
     rows = received(new, source, F.current_timestamp() if now is None else now)
     for name in ("attachments", "audit_events", "messages"):
         placed = rows[name].withColumn("batch", F.lit(batch).cast("long"))
