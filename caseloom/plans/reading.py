@@ -8,6 +8,7 @@ from ..functions import anchors, jsonfix
 from ..functions import language as G
 from ..functions import sentences as S
 from ..functions import text as T
+from ..operators import anchoring as P
 from ..operators import cases as C
 from .catalog import query
 
@@ -137,3 +138,36 @@ def question_citations(t):
     own = users.filter("conv_id % 3 = 0 and turn % 4 = 0").select(case(F.col("turn")), F.lit(1).alias("pos"), F.lit("note").alias("name"), F.concat(F.lit("Note: "), F.col("text")).alias("snippet"))
     got = C.ground_questions(asked, replies.unionByName(own))
     return got.select("case_id.conv_id", "case_id.turn", (F.col("n") + 1).cast("long").alias("n"), "tier", F.coalesce(F.col("char_start").cast("long"), F.lit(-1)).alias("char_start"))
+
+
+# A line of each document with every sixth word changed and one left out, its first two words, and a text that is nowhere.
+_SQL_SNIPPETS = """d as (select doc_id, text, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 40) as ls from documents),
+l as (select doc_id, text, regexp_extract_all(coalesce(ls[len(ls) // 2 + 1], text), '[^\x20\x09-\x0D]+') as w from d),
+sn as (select doc_id, text, 1 as n, array_to_string(list_filter(list_transform(w, lambda x, i: case when i % 6 = 0 then 'zz' when i = 9 then null else x end), lambda x: x is not null), ' ') as snippet from l
+ union all select doc_id, text, 2, array_to_string(w[1:2], ' ') from l union all select doc_id, text, 3, 'qq qq qq qq' from l),
+tw as (select doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') as w from documents), tr as (select doc_id, unnest(range(0, len(w) - 2)) as place, w from tw where len(w) >= 3), tk as (select doc_id, place, array_to_string(w[place + 1:place + 3], ' ') as run from tr),
+sw as (select doc_id, n, regexp_extract_all(lower(snippet), '[^\x20\x09-\x0D]+') as w from sn), sr as (select doc_id, n, unnest(range(0, len(w) - 2)) as p0, w from sw where len(w) >= 3), sk as (select doc_id, n, p0, array_to_string(w[p0 + 1:p0 + 3], ' ') as run from sr),
+v as (select sk.doc_id, n, place - p0 as diagonal, count(distinct p0) as votes, min(place) as f, max(place) as l from sk join tk using (doc_id, run) group by all),
+nv as (select doc_id, n, diagonal, votes, sum(votes) over w as alls, min(f) over w as f, max(l) over w as l from v window w as (partition by doc_id, n order by diagonal range between 2 preceding and 2 following)),
+be as (select * from nv qualify row_number() over (partition by doc_id, n order by alls desc, votes desc, diagonal) = 1),
+raw as (select doc_id, length(regexp_extract(text, '^[\x20\x09-\x0D]*')) as lead, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') as raws from documents)"""
+
+
+@query(f"""with {_SQL_SNIPPETS} select sn.doc_id as document_id, sn.n, case when alls is not null then 'runs' when trim(snippet) <> '' and contains(lower(text), lower(trim(snippet))) then 'clause' end as tier,
+ case when alls is not null then lead + coalesce(list_sum(list_transform(raws[1:f], lambda x: length(x))), 0) when trim(snippet) <> '' and contains(lower(text), lower(trim(snippet))) then position(lower(trim(snippet)) in lower(text)) - 1 else -1 end::bigint as char_start,
+ case when alls is not null then lead + coalesce(list_sum(list_transform(raws[1:l + 2], lambda x: length(x))), 0) + length(regexp_replace(raws[l + 3], '[\x20\x09-\x0D]+$', '')) when trim(snippet) <> '' and contains(lower(text), lower(trim(snippet))) then position(lower(trim(snippet)) in lower(text)) - 1 + length(trim(snippet)) else -1 end::bigint as char_end
+ from sn left join be on be.doc_id = sn.doc_id and be.n = sn.n join raw on raw.doc_id = sn.doc_id""")
+def snippet_placing(t):
+    """Changed lines, short clauses and strange texts looked for in their documents."""
+    got = P.place_snippets(changed_snippets(t), t("documents").select(F.col("doc_id").alias("document_id"), "text"))
+    end = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c)
+    return got.select("document_id", "n", "tier", end("char_start"), end("char_end"))
+
+
+def changed_snippets(t):
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 40)
+    middle = F.coalesce(F.try_element_at(lines, (F.floor(F.size(lines) / 2) + 1).cast("int")), F.col("text"))
+    w = F.regexp_extract_all(middle, F.lit(f"[^{P.SPACE}]+"), F.lit(0))
+    changed = F.array_join(F.filter(F.transform(w, lambda x, i: F.when((i + 1) % 6 == 0, "zz").when(i == 8, F.lit(None)).otherwise(x)), lambda x: x.isNotNull()), " ")
+    texts = F.array(F.struct(F.lit(1).alias("n"), changed.alias("snippet")), F.struct(F.lit(2).alias("n"), F.array_join(F.slice(w, 1, 2), " ").alias("snippet")), F.struct(F.lit(3).alias("n"), F.lit("qq qq qq qq").alias("snippet")))
+    return t("documents").select(F.col("doc_id").alias("document_id"), F.inline(texts))
