@@ -270,11 +270,12 @@ def retrieve_hybrid(facts: DataFrame, chunks: DataFrame, k: int = 3, least: floa
     dealt = embed(chunk_terms(chunks.repartition("document_id")), F.col("text"))
     scored = with_lexical(candidates(asked, dealt, k, least))
     lex, sem = F.col("lexical"), F.col("semantic")
-    scored = scored.withColumn("relevance", fused(lex, sem)).withColumn("strategy", strategy(lex, sem)).filter(F.col("relevance") >= least)
+    scored = scored.withColumn("relevance", fused(lex, sem)).withColumn("strategy", strategy(lex, sem))
     flag = lambda name: F.col(name) if name in chunks.columns else F.lit(False)
     table = flag("is_table") & F.col("field").rlike("^(" + "|".join(STRUCTURED) + ")")
     best = Window.partitionBy("document_id", *by).orderBy(F.desc("relevance"), F.desc(table), F.desc(flag("has_box")), "pos")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    # what is under ``least`` comes last, so it is left out after ranking: a filter before it would be pushed into the scores and multiply their expressions
+    return scored.withColumn("rank", F.row_number().over(best)).filter((F.col("rank") <= k) & (F.col("relevance") >= least))
 
 
 def retrieve_for_envelopes(facts: DataFrame, evidence: DataFrame, chunks: DataFrame, k: int = 3, least: float = 0.15) -> DataFrame:
