@@ -19,6 +19,12 @@ def _spread(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"\s+", " "))
 
 
+def _unspread(text: Column, spread: Column, n: Column) -> Column:
+    """How many characters of a text the first ``n`` of it have been, before each run of white space became one space."""
+    runs = F.slice(F.regexp_extract_all(text, F.lit(r"\s+"), F.lit(0)), F.lit(1), F.regexp_count(F.substring(spread, F.lit(1), n), F.lit(" ")))
+    return F.aggregate(runs, n.cast("int"), lambda total, run: total + F.length(run) - 1)
+
+
 def anchor(text: Column, snippet: Column, start: Column, end: Column) -> Column:
     """struct(state, tier, char_start, char_end), places from 0.
 
@@ -33,8 +39,11 @@ def anchor(text: Column, snippet: Column, start: Column, end: Column) -> Column:
     agrees = _spread(given).contains(F.left(_spread(s), F.lit(15))) | _spread(s).contains(F.left(_spread(given), F.lit(15)))
     first = F.position(ls, low)
     again = F.position(ls, low, first + 1)
-    pattern = F.regexp_replace(F.regexp_replace(ls, r"([\\\[\](){}.*+?^$|])", r"\\$1"), r"\s+", r"\\s+")
-    loose, n_loose = F.regexp_instr(low, pattern), F.regexp_count(low, pattern)
+    # white space made one space on both sides and looked for as it is: a pattern of a long snippet would go too deep
+    spread, one = F.regexp_replace(low, r"\s+", " "), F.regexp_replace(ls, r"\s+", " ")
+    loose = F.position(one, spread)
+    loose_again = F.position(one, spread, loose + F.length(one))
+    loose_start, loose_end = _unspread(low, spread, loose - 1), _unspread(low, spread, loose - 1 + F.length(one))
     long_ = F.length(_spread(s)) >= 10
     clauses = F.filter(F.transform(F.split(s, r"[.;\n]+"), lambda c: F.lower(F.trim(c))), lambda c: F.length(c) >= 20)
     seen = F.transform(clauses, lambda c: F.struct(F.position(c, low).alias("at"), F.length(c).alias("n"), c.alias("c")))
@@ -45,8 +54,8 @@ def anchor(text: Column, snippet: Column, start: Column, end: Column) -> Column:
         .when(F.coalesce(inside & agrees, F.lit(False)), _place("offsets", start, end - start))
         .when((first > 0) & (again == 0), _place("exact", first - 1, F.length(s)))
         .when(first > 0, _nowhere("MULTIPLE_OCCURRENCES"))
-        .when(long_ & (n_loose == 1), _place("spaced", loose - 1, F.length(F.regexp_substr(low, pattern))))
-        .when(long_ & (n_loose > 1), _nowhere("MULTIPLE_OCCURRENCES"))
+        .when(long_ & (loose > 0) & (loose_again == 0), _place("spaced", loose_start, loose_end - loose_start))
+        .when(long_ & (loose > 0), _nowhere("MULTIPLE_OCCURRENCES"))
         .when(F.size(only) > 0, _place("clause", F.get(only, F.lit(0))["at"] - 1, F.get(only, F.lit(0))["n"]))
         .when(many, _nowhere("MULTIPLE_OCCURRENCES")).otherwise(_nowhere("NOT_FOUND"))
     )
