@@ -29,3 +29,23 @@ def test_respaced_snippets_equal_a_pattern(spark):
         found = list(re.finditer(r"\s+".join(map(re.escape, re.split(r"\s+", snippet.strip(" ").lower()))), text.lower()))
         want = ("EXACT", "spaced", *found[0].span()) if len(found) == 1 else ("MULTIPLE_OCCURRENCES" if found else "NOT_FOUND", None, None, None)
         assert got == want or len(re.sub(r"\s+", " ", snippet.strip(" "))) < 10, (text, snippet)
+
+
+def test_toxicity_learns_from_rows_beyond_any_sample(spark):
+    from caseloom.llm.toxicity import Toxicity, toxicity
+
+    # 5,400 labelled rows; a second sign of toxic texts stands in long ones only, over 2,000 words
+    filler = [f"w{i}" for i in range(50)]
+    rows = []
+    for i in range(7200):
+        long_, bad = i % 60 == 0, i % 9 == 0
+        text = [filler[(i * 7 + j * (1 + i % 5)) % 50] for j in range(2100 if long_ else 12)]
+        if bad or (long_ and i % 120 == 0):
+            text[i % 11] = "latevile" if long_ else "vileword"
+        rows.append((i, " ".join(text), int(bad or (long_ and i % 120 == 0))))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int")
+    probe = docs.unionByName(spark.createDataFrame([(10_000, "w1 latevile w2"), (10_001, "w1 w3 w2")], "doc_id long, text string"))
+    got = {r.doc_id: r for r in toxicity(probe, labels, Toxicity()).collect()}
+    assert got[10_000].score > got[10_001].score and got[10_000].predicted == 1 and got[10_001].predicted == 0
+    out = [(got[i].predicted, y) for i, _, y in rows if got[i].held_out]
+    assert sum(p == y for p, y in out) >= 0.97 * len(out)
