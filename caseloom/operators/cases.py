@@ -11,6 +11,7 @@ from ..functions import view as V
 from ..functions.jsonfix import parsed
 from .ledger import STATUSES
 from .retrieval import best_evidence, citation_level
+from .shared import dealt
 
 UNSTATED = "Not stated"
 # Fields of each section in order, with the key of an answer that each is read from and what normalises it.
@@ -50,7 +51,7 @@ def section_facts(answers: DataFrame, sections: tuple[str, ...] = tuple(SECTIONS
         facts = [fact_row(F.lit(field), get(k), NORMALISED[field](get(k)) if field in NORMALISED else None, get("status")) for field, k in SECTIONS[name]]
         placed = F.array(*(F.struct(F.lit(name).alias("section"), F.lit(i).alias("pos"), f.alias("f")) for i, f in enumerate(facts)))
         rows.append(F.when(F.col(name).isNotNull(), placed))
-    return answers.select(key_column, F.inline(F.flatten(F.array_compact(F.array(*rows))))).select(key_column, "section", "pos", "f.*")
+    return dealt(answers, key_column).select(key_column, F.inline(F.flatten(F.array_compact(F.array(*rows))))).select(key_column, "section", "pos", "f.*")
 
 
 def lab_facts(cases: DataFrame, key_column: str = "envelope_id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cases as C
 from ..operators import review as R
+from ..operators.shared import dealt
 from .catalog import LETTER, _SQL_TRIAGE, letters, query
 
 _UN = "('not stated', 'none', 'unknown', '')"
@@ -54,7 +55,7 @@ def flat_case(t):
     k, i = F.col("envelope_id"), F.col("pos")
     cases = t("part").select(F.col("p_partkey").alias("envelope_id")).select(k, F.when(k % 3 == 0, F.concat(F.lit("Told "), k.cast("string"))).otherwise("Not stated").alias("clinical_narrative"), F.when((k % 3 == 1) & (k % 2 == 0), "Summary").otherwise("").alias("document_summary"), F.when(k % 5 == 0, "Review").alias("reviewer_summary"))
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
-    rows = t("part").filter("p_partkey % 11 > 0").select(F.col("p_partkey").alias("envelope_id"), "p_name", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos"))
+    rows = dealt(t("part").filter("p_partkey % 11 > 0"), "p_partkey").select(F.col("p_partkey").alias("envelope_id"), "p_name", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos"))
     evidence = rows.select(
         "envelope_id", "pos", pick(("patient", "product"), i).alias("part"), pick(("email", "pdf", "image", "table_cell"), k + i).alias("source_type"), pick(("SUPPORTS", "CONTRADICTS", "INSUFFICIENT", None), k + 2 * i).alias("result"), ((i % 5) / 4.0).alias("confidence"), ((k * i % 7) / 7.0).alias("relevance"),
         F.when((k + i) % 2 == 1, i + 1).alias("page"), ((k + i) % 8 == 1).alias("has_box"), F.when((k + i) % 3 == 0, 0).alias("char_start"), F.when((k + i) % 3 == 0, 5).alias("char_end"), F.when((k + i) % 5 == 2, "body").alias("section"), F.concat_ws(" ", "p_name", i.cast("string")).alias("snippet"),

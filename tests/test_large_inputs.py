@@ -49,3 +49,14 @@ def test_toxicity_learns_from_rows_beyond_any_sample(spark):
     assert got[10_000].score > got[10_001].score and got[10_000].predicted == 1 and got[10_001].predicted == 0
     out = [(got[i].predicted, y) for i, _, y in rows if got[i].held_out]
     assert sum(p == y for p, y in out) >= 0.97 * len(out)
+
+
+def test_records_are_dealt_before_they_become_facts(spark):
+    from caseloom.operators.ledger import unfold
+    from caseloom.operators.shared import DEALT, dealt
+
+    rows = spark.range(3 * DEALT).coalesce(1).select(F.col("id").alias("k"), F.col("id").cast("string").alias("a"), F.lit("x").alias("b"))
+    facts = unfold(rows, "k", ["a", "b"])
+    sizes = [n for (n,) in facts.groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
+    assert len(sizes) == 3 and sum(sizes) == 6 * DEALT and max(sizes) < 3 * DEALT
+    assert dealt(rows.limit(0), "k").count() == 0
