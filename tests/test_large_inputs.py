@@ -60,3 +60,14 @@ def test_records_are_dealt_before_they_become_facts(spark):
     sizes = [n for (n,) in facts.groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
     assert len(sizes) == 3 and sum(sizes) == 6 * DEALT and max(sizes) < 3 * DEALT
     assert dealt(rows.limit(0), "k").count() == 0
+
+
+def test_candidates_are_judged_in_tasks_by_number_of_rows(spark):
+    from caseloom.operators.envelope import distinct_facts, judge_candidates
+    from caseloom.plans.casework import envelopes
+
+    facts, evidence = envelopes(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"))
+    judged = judge_candidates(distinct_facts(facts), evidence)
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [envelope_id") >= 2  # else as much as is read of packed rows would be sorted at once
+    assert judged.count() == evidence.count()
