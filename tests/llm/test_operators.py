@@ -173,6 +173,21 @@ def test_toxicity(spark):
     assert {x.score for x in toxicity(docs, labels.filter("toxic = 0")).collect()} == {0.1}
 
 
+def test_toxicity_moves_reach_the_driver_in_parts(spark, monkeypatch):
+    from caseloom.llm import toxicity as module
+
+    docs = spark.createDataFrame([(i, f"word{i % 7} filler{i % 11} " + ("vile" if i % 4 == 0 else "kind")) for i in range(300)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    scores = lambda: [x.score for x in toxicity(docs, labels, Toxicity(epochs=1)).orderBy("doc_id").collect()]
+    wanted, real, taken = scores(), type(docs).collect, []
+    monkeypatch.setattr(module, "MOVES", 16)
+    monkeypatch.setattr(module, "BLOCKS", 1)
+    monkeypatch.setattr(type(docs), "collect", lambda self: (taken.append(self.columns), real(self))[1])
+    got = scores()
+    assert got == pytest.approx(wanted, abs=1e-3)
+    assert taken and not any("moves" in columns for columns in taken)  # neither all networks' moves at once
+
+
 def test_toxicity_thresholds_follow_the_whole_tables_ratio(spark):
     r, rows = random.Random(4), []
     for i in range(2700):  # of nine rows one is toxic; sign0 to sign9 say so less and less
