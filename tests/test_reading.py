@@ -102,6 +102,14 @@ def test_no_likeness_is_over_its_bound(spark):
     assert sum(r.most < 59.5 for r in sent) > 20
 
 
+def test_windows_cut_by_ends_take_one_pass(monkeypatch):
+    real, calls = fuzzy.common, []
+    monkeypatch.setattr(fuzzy, "common", lambda *args: (calls.append(1), real(*args))[1])
+    rng = random.Random(8)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (300, 310))
+    assert fuzzy.partial(a, b) > 40 and len(calls) <= 12  # a beginning or an ending is no window of its own
+
+
 def test_fuzzy_entailment_of_all_documents(spark):
     """The whole query on the smallest tables against the plain rule in Python."""
     import __spark_entry__
