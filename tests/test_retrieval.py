@@ -139,3 +139,18 @@ def test_checks_are_counted_while_a_table_is_written(spark, tmp_path):
     assert [r[5] for r in none] == [True, True, False, False, True]
     with pytest.raises(ValueError, match="one name"):
         A.write_audited(rows, str(tmp_path / "x"), "x", checks[:1] * 2)
+
+
+def test_copies_of_a_text_are_embedded_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def noted(texts):
+        with open(f"{folder}/calls", "a") as f:
+            f.write(f"{len(texts)}\n")
+        return [[float(len(x))] for x in texts]
+
+    rows = spark.createDataFrame([("same",)] * 40 + [("other text",)], "t string").coalesce(1)
+    got = [r.vector for r in H.embedder(noted)(rows, F.col("t")).collect()]
+    assert got == [[4.0]] * 40 + [[10.0]]
+    with open(f"{folder}/calls") as f:
+        assert sum(map(int, f)) <= 8  # texts of all calls; 41 before
