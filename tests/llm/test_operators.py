@@ -188,6 +188,19 @@ def test_toxicity_moves_reach_the_driver_in_parts(spark, monkeypatch):
     assert taken and not any("moves" in columns for columns in taken)  # neither all networks' moves at once
 
 
+def test_toxicity_shuffles_texts_that_may_have_a_label(spark):
+    from caseloom.llm.toxicity import labelled_rows, perhaps_labelled, usable_labels
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = docs.filter("doc_id % 5 = 0").select("doc_id", F.lit(1).alias("toxic"))
+    usable = {r.doc_id for r in usable_labels(labels).collect()}
+    assert usable <= (kept := {r.doc_id for r in perhaps_labelled(docs, usable_labels(labels)).collect()}) and len(kept) < len(usable) + 30
+    assert {r.text for r in labelled_rows(docs, labels).collect()} == {f"text {i}" for i in usable}
+    named = labels.select(F.col("doc_id").cast("string"), "toxic")  # ids of another type
+    assert labelled_rows(docs, named).count() == len(usable)
+    assert labelled_rows(docs.withColumn("doc_id", F.col("doc_id").cast("string")), named).count() == len(usable)
+
+
 def test_toxicity_thresholds_follow_the_whole_tables_ratio(spark):
     r, rows = random.Random(4), []
     for i in range(2700):  # of nine rows one is toxic; sign0 to sign9 say so less and less
