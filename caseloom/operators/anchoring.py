@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import dealt
+
 SPACE = r"\x20\x09-\x0D"
+#: Texts and snippets to a task, before they become runs.
+TEXTS = 5_000
 
 
 def words(text: Column) -> Column:
@@ -21,6 +25,20 @@ def word_runs(rows: DataFrame, by: list[str], text: str, k: int) -> DataFrame:
     return held.select(*by, F.posexplode(runs).alias("place", "run"))
 
 
+def shared_runs(snippets: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(document_id, n, at, place): each run of a snippet (document_id, n, snippet), wherever its document's text (document_id, text) has it too.
+
+    Texts and snippets are dealt by document before they become runs, which are many times their size and stay where they are.
+    """
+    own = snippets.select("document_id", "n", F.col("snippet").alias("text"), F.lit(True).alias("_asks"))
+    there = texts.select("document_id", F.lit(None).cast(snippets.schema["n"].dataType).alias("n"), "text", F.lit(False).alias("_asks"))
+    both = dealt(own.unionByName(there).filter(F.col("document_id").isNotNull()), "document_id", most=TEXTS)
+    runs = word_runs(both, ["document_id", "n", "_asks"], "text", k)
+    asks, places = F.collect_list(F.when(F.col("_asks"), F.struct("n", F.col("place").alias("at")))), F.collect_list(F.when(~F.col("_asks"), F.col("place")))
+    met = runs.groupBy("document_id", "run").agg(asks.alias("_of"), places.alias("_places")).filter((F.size("_of") > 0) & (F.size("_places") > 0))
+    return met.select("document_id", "_places", F.inline("_of")).select("document_id", "n", "at", F.explode("_places").alias("place"))
+
+
 def place_snippets(snippets: DataFrame, texts: DataFrame, k: int = 3, slack: int = 2) -> DataFrame:
     """snippets (document_id, n, snippet) with tier, share, char_start and char_end in their document's text (document_id, text).
 
@@ -28,11 +46,10 @@ def place_snippets(snippets: DataFrame, texts: DataFrame, k: int = 3, slack: int
     left out, moves the diagonal by one, so votes within ``slack`` count together; most votes win, then the diagonal's own, then the earlier place. The
     span is that of the runs that voted; share: how many of the snippet's runs did. Tier "clause": a snippet without a run in common, or of fewer words,
     where it stands as it is. Else all are null.
-    A document's runs are joined by (document, run), so a long document is spread over many tasks.
+    Texts move, their runs don't.
     """
     own = ["document_id", "n"]
-    asked = word_runs(snippets, own, "snippet", k).withColumnRenamed("place", "at")
-    met = asked.join(word_runs(texts, ["document_id"], "text", k).hint("merge"), ["document_id", "run"])
+    met = shared_runs(snippets, texts, k)
     votes = met.groupBy(*own, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.countDistinct("at").alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"))
     near = Window.partitionBy(*own).orderBy("diagonal").rangeBetween(-slack, slack)
     near_votes = votes.select(*own, "diagonal", "votes", F.sum("votes").over(near).alias("all"), F.min("first").over(near).alias("first"), F.max("last").over(near).alias("last"))

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from caseloom.operators.anchoring import place_snippets
+from caseloom.operators.anchoring import place_snippets, shared_runs
 from caseloom.operators.cases import ground_questions, narrative
 from caseloom.operators.review import with_attachments
 from caseloom.plans.reading import changed_snippets
@@ -34,6 +34,16 @@ def _vote(text, snippet, k=3, slack=2):
     return ("clause", at, at + len(snippet.strip())) if at >= 0 else (None, None, None)
 
 
+def test_texts_move_and_their_runs_do_not(spark, capsys):
+    snippets = spark.createDataFrame([(0, 1, "b c d e"), (0, 2, "b c d"), (None, 1, "a b c")], "document_id long, n int, snippet string")
+    texts = spark.createDataFrame([(0, "a b c d e"), (0, "b c d"), (None, "a b c"), (1, "b c d")], "document_id long, text string")
+    got = shared_runs(snippets, texts, 3)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 0, 0), (0, 1, 0, 1), (0, 1, 1, 2), (0, 2, 0, 0), (0, 2, 0, 1)]
+    place_snippets(snippets, texts).explain()
+    moved = [x for x in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning" in x]
+    assert moved and not any("run#" in x for x in moved)
+
+
 def test_places_equal_a_plain_vote(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     snippets = changed_snippets(lambda name: docs)
