@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -218,20 +220,29 @@ def _cells(row: Column) -> Column:
     return F.transform(row, lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "\n", " ")))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What ``then`` makes of a value: a lambda's variable, so that it isn't computed again wherever, and for each element for which, it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def row_text(headers: Column, cells: Column) -> Column:
     """A table's row as "header: value" parts; its cells where all are empty."""
     pairs = F.zip_with(_cells(headers), _cells(cells), lambda h, v: F.when(F.coalesce(v, F.lit("")) != "", F.when(F.coalesce(h, F.lit("")) != "", F.concat(h, F.lit(": "), v)).otherwise(v)))
     said = F.array_compact(F.slice(pairs, 1, F.least(F.size(headers), F.size(cells))))
-    return F.when(F.size(said) > 0, F.array_join(said, " | ")).otherwise(F.array_join(_cells(cells), " "))
+    return _once(said, lambda x: F.when(F.size(x) > 0, F.array_join(x, " | ")).otherwise(F.array_join(_cells(cells), " ")))
 
 
 def markdown(rows: Column) -> Column:
     """A table (array of rows, the first one the header) as markdown; short rows are padded, long ones cut."""
-    clean = F.transform(rows, _cells)
-    width = F.size(clean[0])
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    body = F.transform(F.slice(clean, 2, 1 << 20), lambda r: line(F.slice(F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.lit(0), width - F.size(r)))), 1, width)))
-    return F.array_join(F.concat(F.array(line(clean[0]), line(F.array_repeat(F.lit("---"), width))), body), "\n")
+
+    def table(head: Column) -> Column:
+        width = F.size(head)
+        fitted = lambda r: F.slice(F.concat(_cells(r), F.array_repeat(F.lit(""), F.greatest(F.lit(0), width - F.size(r)))), 1, width)
+        body = F.transform(F.slice(rows, F.lit(2), F.size(rows)), lambda r: line(fitted(r)))
+        return F.array_join(F.concat(F.array(line(head), line(F.array_repeat(F.lit("---"), width))), body), "\n")
+
+    return _once(_cells(rows[0]), table)
 
 
 def header_text(sender: Column, address: Column, date: Column, subject: Column, message_id: Column) -> Column:

@@ -197,3 +197,13 @@ def test_every_benchmark_item_is_looked_for(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.doc_id, r.snippet, r.tier, r.char_start) for r in __spark_entry__.queries()["snippet_anchor"](spark, str(tmp_path)).collect()}
     assert {(i, item(j), "exact", text.index(item(j))) for i, text in docs for j in (i, 199 - i)} <= got
+
+
+def test_a_table_is_cleaned_once(spark):
+    from caseloom.functions.view import markdown, row_text
+
+    rows = [["a\nb", " c "], ["1"], ["2", None, "cut"]]
+    got = spark.createDataFrame([(rows,), (None,)], "rows array<array<string>>").select(markdown(F.col("rows")).alias("md"), F.transform("rows", lambda r: row_text(F.col("rows")[0], r)).alias("texts")).collect()
+    assert got[0].md == "| a b | c |\n| --- | --- |\n| 1 |  |\n| 2 |  |" and got[1].md is None
+    assert got[0].texts == ["a b: a b | c: c", "a b: 1", "a b: 2"]
+    assert str(markdown(F.col("rows"))).count("regexp_replace") == 2  # the header's and, in one lambda, the others': not one for each use
