@@ -1,8 +1,10 @@
 """Retrieval by blocks against all pairs, bounds, embedders that fail, batches against a plain fold, audits while writing."""
 
 import random
+from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +156,35 @@ def test_copies_of_a_text_are_embedded_once(spark, tmp_path):
     assert got == [[4.0]] * 40 + [[10.0]]
     with open(f"{folder}/calls") as f:
         assert sum(map(int, f)) <= 8  # texts of all calls; 41 before
+
+
+def test_each_part_and_pair_of_words_is_hashed_once(monkeypatch):
+    """Digests of many texts at once are those of hashlib, at every length around a block's, and no text is hashed again for a second word that holds it."""
+    rng = random.Random(5)
+    texts = ["é" * (n % 40) + "".join(rng.choice("abc𝒳 ") for _ in range(n)) for n in range(130)] * 2
+    assert H.md5_buckets(pa.array(texts)[3:]).tolist() == [md5(x.encode()).digest()[-1] % 128 for x in texts[3:]]
+    hashed, plain = [], H.md5_buckets
+    monkeypatch.setattr(H, "md5_buckets", lambda x: hashed.extend(x.to_pylist()) or plain(x))
+    words = [["".join(rng.choice("ab𝒳") for _ in range(9)) for _ in range(60)] for _ in range(20)] + [None, []]
+    got = H.hashed_vectors(pa.array(words, pa.list_(pa.string())))
+    assert len(hashed) == len({(len(x) if len(x) < 5 else 9, x) for x in hashed})
+    for row, own in zip(got, words, strict=True):
+        grams = [g for w in own or [] for g in [w, w, *(w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1))]] + [g for a, b in zip(own or [], (own or [])[1:]) for g in [f"{a}_{b}"] * 3]
+        assert row.tolist() == np.bincount([md5(g.encode()).digest()[-1] % 128 for g in grams] or [0], [1] * len(grams) or [0], 128).tolist()
+
+
+def test_cosines_of_broken_vectors_are_nothing():
+    left = pa.array([[[1.0, 0.0], [], None, [float("nan"), 1.0], [1.0]], [], [[3.0, 4.0]]], pa.list_(pa.list_(pa.float64())))
+    right = pa.array([[[2.0, 0.0], [-1.0, 0.0]], [[1.0]], []], pa.list_(pa.list_(pa.float64())))
+    assert H.cosines.func(left, right).to_pylist() == [[[1.0, 0.0], [0.0, 0.0], [0.0, 0.0], [0.0, 0.0], [0.0, 0.0]], [], [[]]]
+
+
+def test_words_stay_where_they_are_made(spark):
+    """Neither Python nor a shuffle gets the words of chunks, which are larger than their texts."""
+    facts = spark.createDataFrame([(0, "field", "rare value")], "document_id long, field string, value string")
+    plan = H.retrieve_hybrid(facts, spark.createDataFrame([(0, 0, "a rare value")], "document_id long, pos long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "MapInArrow" in line or "RepartitionByExpression" in line or "ArrowEvalPython" in line:
+            assert "_held" not in line, line
+    below = plan[plan.index("RepartitionByExpression") :]
+    assert "_held" not in below
