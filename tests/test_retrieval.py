@@ -188,3 +188,35 @@ def test_words_stay_where_they_are_made(spark):
             assert "_held" not in line, line
     below = plan[plan.index("RepartitionByExpression") :]
     assert "_held" not in below
+
+
+def test_batches_of_runs_are_those_of_a_plain_fold():
+    """Sizes, ways through a run and batches' numbers, all rows at once: null ids are never alike, a null length leaves ``most_items`` as the only bound."""
+    rng = random.Random(7)
+    runs = [[(rng.choice([None, 1, 2, 3]), rng.choice([None, *range(1, 9)] if r % 2 else range(1, 9)), rng.randint(1, 40)) for _ in range(rng.randint(1, 90))] for r in range(40)]
+    ids, items, onces = (pa.array([[x[i] for x in run] for run in runs], pa.list_(pa.int64())) for i in range(3))
+    sizes = []
+    for run in runs:
+        for start in range(len(run)):
+            chars, seen, n = 0, [], 0
+            for own, item, once in run[start : start + 7]:
+                if chars is not None and chars >= 90:
+                    break
+                added = 0 if own is not None and own in seen else once
+                chars, n = None if chars is None or item is None else chars + item + added, n + 1
+                seen.append(own)
+            sizes.append(n)
+    got = H.batch_sizes(ids, items, onces, 7, 90)
+    assert got.tolist() == sizes
+    lists = H._by_steps(ids, lambda part: H.batch_sizes(ids[part], items[part], onces[part], 7, 90))
+    leads, starts = H.run_leads(lists, 7), [rng.randrange(7) for _ in runs]
+    places = H._by_steps(lists, lambda part: H.batch_places(lists[part], pa.array(starts[part], pa.int32()))).to_pylist()
+    for own, lead, start, place in zip(lists.to_pylist(), leads.tolist(), starts, places, strict=True):
+        for first in range(7):
+            at, begun = first, []
+            while at < len(own):
+                begun.append(at)
+                at += own[at]
+            assert lead[first] == at - len(own)
+            if first == start:
+                assert place == [sum(b <= i for b in begun) for i in range(len(own))]
