@@ -220,3 +220,11 @@ def test_batches_of_runs_are_those_of_a_plain_fold():
             assert lead[first] == at - len(own)
             if first == start:
                 assert place == [sum(b <= i for b in begun) for i in range(len(own))]
+
+
+def test_a_filter_on_vectors_does_not_make_them_twice(spark):
+    texts = spark.createDataFrame([(0, "a b"), (1, "")], "document_id long, text string")
+    for embed in (H.gram_vectors, H.embedder(lambda texts: [[1.0]] * len(texts))):
+        rows = embed(texts, F.col("text")).select("document_id", F.posexplode("vector").alias("bucket", "weight")).filter("weight > 0")
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, plan
