@@ -173,6 +173,24 @@ def test_each_part_and_pair_of_words_is_hashed_once(monkeypatch):
         assert row.tolist() == np.bincount([md5(g.encode()).digest()[-1] % 128 for g in grams] or [0], [1] * len(grams) or [0], 128).tolist()
 
 
+def test_few_texts_take_no_digests_side_by_side(monkeypatch):
+    """An embedder that fails is asked for a few texts at a time: these are hashed one by one, words that an earlier call had not again, with the same vectors."""
+    rng = random.Random(6)
+    words = [["".join(rng.choice("abé𝒳_1") for _ in range(rng.randrange(80))) for _ in range(rng.randrange(12))] for _ in range(50)] + [None, []]
+    lists = pa.array(words, pa.list_(pa.string()))
+    calls, plain = [], H.md5_buckets
+    monkeypatch.setattr(H, "md5_buckets", lambda x: calls.append(len(x)) or plain(x))
+    few = H.hashed_vectors(lists)
+    assert not calls and few.shape == (52, 128) and H.hashed_vectors(lists[7:9]).tolist() == few[7:9].tolist()
+    own = [["known", "words"], ["known"]]
+    first = H.hashed_vectors(pa.array(own)).tolist()
+    monkeypatch.setattr(H, "_bucket", lambda text: calls.append(text) or md5(text.encode()).digest()[-1] % 128)
+    assert H.hashed_vectors(pa.array(own)).tolist() == first and calls == ["known_words"]
+    calls.clear()
+    monkeypatch.setattr(H, "FEW", 0)
+    assert H.hashed_vectors(lists).tolist() == few.tolist() and calls
+
+
 def test_cosines_of_broken_vectors_are_nothing():
     left = pa.array([[[1.0, 0.0], [], None, [float("nan"), 1.0], [1.0]], [], [[3.0, 4.0]]], pa.list_(pa.list_(pa.float64())))
     right = pa.array([[[2.0, 0.0], [-1.0, 0.0]], [[1.0]], []], pa.list_(pa.list_(pa.float64())))
