@@ -110,6 +110,23 @@ def test_windows_cut_by_ends_take_one_pass(monkeypatch):
     assert fuzzy.partial(a, b) > 40 and len(calls) <= 12  # a beginning or an ending is no window of its own
 
 
+def test_windows_of_a_long_string_are_looked_at_together(monkeypatch):
+    """The best of all windows, whatever the number of pieces that a pass takes; not a pass for every few windows."""
+    real, calls = fuzzy.common, []
+    rng = random.Random(9)
+    for letters, n, m in (("abcdefgh ", 60, 900), ("ab", 40, 300), ("abé𝒳", 9, 200), ("".join(map(chr, range(0x4E00, 0x4E00 + 400))), 500, 700)):
+        a, b = ("".join(rng.choice(letters) for _ in range(k)) for k in (n, m))
+        if n == 60:
+            b = b[:500] + a[:25] + "?" + a[26:] + b[500:]
+        windows = [b[max(0, i) : i + n] for i in range(1 - n, len(b))]
+        want = max(200.0 * real(a, w) / (n + len(w)) for w in windows)
+        monkeypatch.setattr(fuzzy, "common", lambda *args: (calls.append(1), real(*args))[1])
+        for lanes in (1 << 16, 200):
+            monkeypatch.setattr(fuzzy, "LANES", lanes)
+            assert abs(fuzzy.partial(a, b) - want) < 1e-9 and fuzzy.partial(b, a, want) == want and fuzzy.partial(a, b, 100.0) == 100.0
+    assert len(calls) <= 4
+
+
 def test_fuzzy_entailment_of_all_documents(spark):
     """The whole query on the smallest tables against the plain rule in Python."""
     import __spark_entry__
