@@ -8,12 +8,14 @@ A message's number is the digits at the end of its file's name (``inbox_000121.e
 messages in rising order and never again, so a number is a high-water mark: everything up to it was taken. Options:
 
 - ``after``: numbers up to this one are left out (a table's mark; see ``mark``). So a stream whose checkpoint is lost goes on where its table ends.
-- ``most``: most files that a task reads (1,000).
+- ``most``: most files that a task reads (1,000); of a shelf, most numbers.
 - ``per_batch``: most files that a micro-batch takes; the others wait for the next. All, if not given, as one that runs to the present end should.
 - ``glob``: names of files, ``*.eml`` if not given.
 
-The folder is any that pyarrow's file systems open (local, hdfs, s3, …). The driver lists names and sizes; mails are read and parsed in tasks, a
-file at a time. A file that can't be parsed gives a row with its number, its name and ``error``; one that is gone gives none.
+The folder is any that pyarrow's file systems open (local, hdfs, s3, …). Mails lie in it, or on its *shelves*: a subfolder named by a number k, in nine
+digits or more, has the mails k * 1,000 to k * 1,000 + 999 (others there aren't looked at). Of shelves the driver knows the names only, and tasks list them: what it holds and sends out
+is a thousandth of the mails. It lists itself what lies in the folder without a shelf, so a large mailbox, and what ``write_mail`` writes, is on shelves. Mails
+are read and parsed in tasks, a file at a time. A file that can't be parsed gives a row with its number, its name and ``error``; one that is gone gives none.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from email.errors import MessageError
 from email.mime.multipart import MIMEMultipart
 from email.mime.text import MIMEText
 from fnmatch import fnmatch
+from heapq import merge
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,11 +70,24 @@ def parsed(name: str, raw: bytes) -> tuple:
         return (*empty, f"{type(e).__name__}: {e}"[:200])
 
 
+#: Numbers to a shelf.
+SHELF = 1000
+#: Tasks beyond which several shelves go to one.
+TASKS = 10_000
+
+
 @dataclass
 class Files(InputPartition):
     paths: list[str]
 
 
+@dataclass
+class Shelves(InputPartition):
+    paths: list[str]
+    after: int
+    upto: int | None
+
+
 class _Folder:
     def __init__(self, options: dict):
         self.path, self.glob = options["path"], options.get("glob", "*.eml")
@@ -82,21 +99,68 @@ class _Folder:
 
         return FileSystem.from_uri(self.path) if ":" in self.path.split("/")[0] else (LocalFileSystem(), self.path)
 
-    def files(self, after: int, upto: int | None = None) -> list[tuple[int, str]]:
-        """(number, path) of the files beyond a number, and up to one, in order."""
-        from pyarrow.fs import FileSelector, FileType
+    def found(self, path: str) -> list:
+        from pyarrow.fs import FileSelector
 
-        system, path = self.open()
-        found = [(number_of(x.base_name), x.path) for x in system.get_file_info(FileSelector(path, allow_not_found=True)) if x.type == FileType.File and fnmatch(x.base_name, self.glob)]
-        return sorted(x for x in found if x[0] > after and (upto is None or x[0] <= upto))
+        return self.open()[0].get_file_info(FileSelector(path, allow_not_found=True))
 
-    def partitions(self, files: list[tuple[int, str]]) -> list[InputPartition]:
+    def files(self, found: list, after: int, upto: int | None = None) -> list[tuple[int, str]]:
+        """(number, path) of the files beyond a number, and up to one, in order."""
+        from pyarrow.fs import FileType
+
+        files = [(number_of(x.base_name), x.path) for x in found if x.type == FileType.File and fnmatch(x.base_name, self.glob)]
+        return sorted(x for x in files if x[0] > after and (upto is None or x[0] <= upto))
+
+    def listed(self, after: int, upto: int | None = None) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
+        """The files without a shelf, and (number, path) of the shelves, that may have such numbers."""
+        from pyarrow.fs import FileType
+
+        found = self.found(self.open()[1])
+        shelves = [(int(x.base_name), x.path) for x in found if x.type == FileType.Directory and re.fullmatch(r"[0-9]{9}|[1-9][0-9]{9,}", x.base_name)]
+        return self.files(found, after, upto), sorted(x for x in shelves if x[0] * SHELF + SHELF - 1 > after and (upto is None or x[0] * SHELF <= upto))
+
+    def on_shelf(self, shelf: str, after: int, upto: int | None = None) -> list[tuple[int, str]]:
+        """(number, path) of a shelf's files beyond a number, and up to one, in order."""
+        first = int(shelf.rsplit("/", 1)[-1]) * SHELF
+        last = first + SHELF - 1
+        return self.files(self.found(shelf), max(after, first - 1), last if upto is None else min(upto, last))
+
+    def latest(self, after: int) -> int:
+        """The last number of the next ``per_batch`` files beyond one; that one, if there are none. Looks at one shelf after the other, and at no more than it needs."""
+        files, shelves = self.listed(after)
+        if self.per_batch is None:
+            top = files[-1][0] if files else after
+            for k, shelf in reversed(shelves):
+                if k * SHELF + SHELF - 1 <= top:
+                    break
+                if found := self.on_shelf(shelf, top):
+                    return found[-1][0]
+            return top
+        on_shelves = (x for _, shelf in shelves for x in self.on_shelf(shelf, after))
+        last = after
+        for last, _ in islice(merge(files, on_shelves), self.per_batch):
+            pass
+        return last
+
+    def partitions(self, after: int, upto: int | None = None) -> list[InputPartition]:
+        files, shelves = self.listed(after, upto)
         paths = [p for _, p in files]
-        return [Files(paths[i : i + self.most]) for i in range(0, len(paths), self.most)] or [Files([])]
-
-    def rows(self, partition: Files) -> Iterator[tuple]:
+        out = [Files(paths[i : i + self.most]) for i in range(0, len(paths), self.most)]
+        if self.most < SHELF:
+            for k, shelf in shelves:
+                for low in range(k * SHELF - 1, (k + 1) * SHELF - 1, self.most):
+                    high = min(low + self.most, (k + 1) * SHELF - 1)
+                    if high > after and (upto is None or low < upto):
+                        out.append(Shelves([shelf], max(low, after), high if upto is None else min(high, upto)))
+        else:
+            each = max(self.most // SHELF, -(-len(shelves) // TASKS))
+            out += [Shelves([p for _, p in shelves[i : i + each]], after, upto) for i in range(0, len(shelves), each)]
+        return out or [Files([])]
+
+    def rows(self, partition: Files | Shelves) -> Iterator[tuple]:
         system, _ = self.open()
-        for path in partition.paths:
+        paths = partition.paths if isinstance(partition, Files) else (p for shelf in partition.paths for _, p in self.on_shelf(shelf, partition.after, partition.upto))
+        for path in paths:
             try:
                 with system.open_input_stream(path) as file:
                     raw = file.read()
@@ -110,7 +174,7 @@ class _Table(DataSourceReader):
         self.folder = _Folder(options)
 
     def partitions(self) -> list[InputPartition]:
-        return self.folder.partitions(self.folder.files(self.folder.after))
+        return self.folder.partitions(self.folder.after)
 
     def read(self, partition: Files) -> Iterator[tuple]:
         return self.folder.rows(partition)
@@ -125,15 +189,13 @@ class _Stream(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:  # noqa: N802
         """The last number of the next ``per_batch`` files beyond the one that was given out last."""
-        at = self.folder.after if self.ahead is None else self.ahead
-        files = self.folder.files(at)[: self.folder.per_batch]
-        self.ahead = files[-1][0] if files else at
+        self.ahead = self.folder.latest(self.folder.after if self.ahead is None else self.ahead)
         return {"number": self.ahead}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         if self.ahead is None:  # a batch that is run again after a restart
             self.ahead = end["number"]
-        return self.folder.partitions(self.folder.files(start["number"], end["number"]))
+        return self.folder.partitions(start["number"], end["number"])
 
     def commit(self, end: dict) -> None:
         self.ahead = max(end["number"], -1 if self.ahead is None else self.ahead)
@@ -174,18 +236,21 @@ def composed(number: int, message_id: str | None, sender: str | None, subject: s
 
 
 def write_mail(mails: DataFrame, folder: str) -> None:
-    """Write mails (number, message_id, sender, subject, text, attachment, content) as files of a mailbox, in tasks.
+    """Write mails (number, message_id, sender, subject, text, attachment, content) as files on the shelves of a mailbox, in tasks.
 
     A file is named by its number, so one that is written again is the same file.
     """
     names = ["number", "message_id", "sender", "subject", "text", "attachment", "content"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = _Folder({"path": folder}).open()
-        system.create_dir(path, recursive=True)
+        (system, path), shelf = _Folder({"path": folder}).open(), None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with system.open_output_stream(f"{path}/inbox_{row[0]:012d}.eml") as file:
+                name = f"inbox_{row[0]:012d}.eml"
+                if shelf != (of := f"{path}/{number_of(name) // SHELF:09d}"):
+                    system.create_dir(of, recursive=True)
+                    shelf = of
+                with system.open_output_stream(f"{of}/{name}") as file:
                     file.write(composed(*row))
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 

@@ -1,11 +1,12 @@
 """Mail as a source and a stream, and a mailbox's table whose batches can be run again."""
 
+import pickle
 import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.sources.mail import MailSource, mail_stream, read_mail
+from caseloom.sources.mail import MailSource, mail_stream, read_mail, write_mail
 from caseloom.streaming import mailbox
 
 NOW = None  # the present
@@ -92,3 +93,34 @@ def test_stream_takes_so_many_files_a_batch(spark, box, tmp_path):
         query.stop()
     assert [s for s in seen if s] == [[2, 3], [4, 5]]
     assert MailSource.name() == "mail"
+
+
+def test_the_driver_holds_shelves_not_mails(spark, box, tmp_path):
+    """What planning gives for mails that are written grows by the shelf, and tables and streams have every mail once, beside those without a shelf."""
+    numbers = spark.range(2500).selectExpr("id * 2 as number", "null as message_id", "'a@b' as sender", "'s' as subject", "'t' as text", "null as attachment", "null as content")
+    write_mail(numbers, str(box))
+    reader = MailSource({"path": str(box)}).reader(None)
+    assert sum(len(pickle.dumps(p)) for p in reader.partitions()) < 3000
+    _put(box, 1, "one@x")
+    _put(box, 7001, "last@x")
+    (box / "old").mkdir()
+    _put(box / "old", 3, "three@x")  # no shelf
+    every = sorted([*range(0, 5000, 2), 1, 7001])
+    assert sorted(r.number for r in read_mail(spark, str(box)).select("number").collect()) == every
+    for options in ({"after": 1998}, {"after": 2001, "most": 300}, {"after": 4999, "most": 2500}):
+        frame = spark.read.format("mail").options(**options).load(str(box))
+        assert sorted(r.number for r in frame.select("number").collect()) == [n for n in every if n > options["after"]]
+    seen = []
+    query = mail_stream(spark, str(box), after=10, per_batch=900).writeStream.foreachBatch(lambda rows, batch: seen.append(sorted(r.number for r in rows.select("number").collect()))).option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    later = [n for n in every if n > 10]
+    assert [s for s in seen if s] == [later[i : i + 900] for i in range(0, len(later), 900)]
+    table = str(tmp_path / "t")
+    mailbox.fetch(spark, str(box), table, str(tmp_path / "c2"))
+    assert mailbox.mark(spark, table) == 7001 and mailbox.table(spark, table, "messages").count() == len(every)
+    write_mail(numbers.filter("number < 4").withColumn("number", numbers.number + 10_000), str(box))
+    mailbox.fetch(spark, str(box), table, str(tmp_path / "c2"))
+    assert [r.number for r in mailbox.table(spark, table, "messages").filter("batch > 0").orderBy("number").collect()] == [10_000, 10_002]
